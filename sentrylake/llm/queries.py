@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, neardup, packing, quality
+from . import chat, decontam, langid, linededup, neardup, packing, quality, substring
 
 #: where the vocabulary files of public tokenizers lie; a parameter of every operator that reads one
 WORD_BPE = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(table(spark, sf_dir, "documents")).drop("intervals")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
@@ -72,7 +76,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op4_line_dedup, op5_decontaminate, op7_near_duplicates, op8_pack, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op2_language, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op7_near_duplicates, op8_pack, op9_quality, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
