@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, neardup, packing, quality, substring
+from . import chat, decontam, langid, lattice, linededup, neardup, packing, quality, substring
 
 #: where the vocabulary files of public tokenizers lie; a parameter of every operator that reads one
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(bucket_of("doc_id", 5) == 1, F.lit(False))
+    scored = lattice.score(docs.withColumn("train", ~held_out), tokenizer_path(PIECES))
+    return scored.select("doc_id", F.coalesce(bucket_of("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -76,7 +84,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op7_near_duplicates, op8_pack, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op2_language, op3_lattice_score, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op7_near_duplicates, op8_pack, op9_quality, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
