@@ -43,7 +43,7 @@ class LevelledRuns:
             .write.bucketBy(self.buckets, *KEY)
             .sortBy(*KEY)
             .option("path", self.scratch.path(name))
-            .option("compression", "zstd")
+            .option("compression", "snappy")
             .saveAsTable(name)
         )
         return name
