@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lattice, linededup, neardup, packing, quality, substring
+from . import chat, decontam, langid, lattice, linededup, neardup, packing, quality, substring, surrogate
 
 #: where the vocabulary files of public tokenizers lie; a parameter of every operator that reads one
 WORD_BPE = "word_bpe_49k.json"
@@ -29,6 +29,12 @@ def bucket_of(doc_id: str, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed run: the key is a deployment's secret, taken from the session where it is set."""
+    key = spark.conf.get("spark.sentrylake.surrogate.key", "change this key")
+    return surrogate.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key.encode()).select("doc_id", "n_entities", "text")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False))
@@ -84,7 +90,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_lattice_score, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op7_near_duplicates, op8_pack, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op1_surrogates, op2_language, op3_lattice_score, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op7_near_duplicates, op8_pack, op9_quality, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
