@@ -1,0 +1,237 @@
+"""Seeded synthetic attacks: templates, single-field operations, scenarios, quotas, manifest and labels.
+
+Every draw is a hash of row keys and seed, so a run is the same in any partitioning. Counts, times and fields are
+expressions over template rows; plans (who, when, how many) are small tables.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sentrylake.functions import predicates as P
+
+ACCOUNT = ["DomainName", "UserName"]
+#: fields that each operation may change; fixed values
+CHANGES = {"retarget": {"UserName", "DomainName", "SubjectUserName", "SubjectDomainName"}, "times": {"Time", "day"}, "source": {"Source"}, "loghost": {"LogHost"}, "retype": {"LogonType", "LogonTypeDescription"}, "failures": {"EventID", "FailureReason", "Status", "Time", "day"}}
+
+
+def between(low: int, high: int, *keys: Column) -> Column:
+    """A whole number of [low, high]."""
+    return (low + F.floor(P.hash_uniform(*keys) * (high - low + 1))).cast("long")
+
+
+# ---------------------------------------------------------------- templates
+
+
+def template_pool(events: DataFrame, first: int, last: int, peers_per_group: int = 200, seed: int = 42) -> DataFrame:
+    """Training events only: all of the accounts' own, and a capped, hash-ordered pool per entity type and event id for peers."""
+    train = events.filter(F.col("day").between(first, last)).withColumn("entity_type", P.entity_type(F.col("UserName")))
+    order = Window.partitionBy("entity_type", "EventID").orderBy(F.xxhash64("event_id", F.lit(seed)), "event_id")
+    peers = train.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= peers_per_group).drop("r").withColumn("origin", F.lit("peer"))
+    return train.withColumn("origin", F.lit("own")).unionByName(peers)
+
+
+def pick(pool: DataFrame, by: list[str], n: int, seed: int, replace: bool = False) -> DataFrame:
+    """``n`` templates per key by hash order; with replacement, the same template may come again under another ``copy``."""
+    if not replace:
+        w = Window.partitionBy(*by).orderBy(F.xxhash64("event_id", F.lit(seed)), "event_id")
+        return pool.withColumn("copy", F.row_number().over(w)).filter(F.col("copy") <= n)
+    numbered = pool.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("event_id")) - 1)
+    draws = pool.groupBy(*by).agg(F.count("*").alias("size")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draws = draws.withColumn("place", F.floor(P.hash_uniform(*[F.col(c) for c in by], F.col("copy"), F.lit(seed)) * F.col("size")).cast("int")).drop("size")
+    return draws.join(numbered, [*by, "place"]).drop("place")
+
+
+# ---------------------------------------------------------------- operations on one field
+
+
+def retarget(events: DataFrame, domain: Column, user: Column) -> DataFrame:
+    """Another account; the subject follows only where it mirrored the old account."""
+    out = events
+    for subject, old, new in (("SubjectUserName", "UserName", user), ("SubjectDomainName", "DomainName", domain)):
+        if subject in events.columns:
+            out = out.withColumn(subject, F.when(F.col(subject).eqNullSafe(F.col(old)), new).otherwise(F.col(subject)))
+    return out.withColumn("DomainName", domain).withColumn("UserName", user)
+
+
+def at_times(events: DataFrame, time: Column) -> DataFrame:
+    return events.withColumn("Time", time.cast("long")).withColumn("day", (F.floor(F.col("Time") / P.DAY) + 1).cast("int"))
+
+
+def retype(events: DataFrame, logon_type: int) -> DataFrame:
+    out = events.withColumn("LogonType", F.lit(logon_type))
+    return out.withColumn("LogonTypeDescription", F.lit(P.LOGON_TYPES.get(logon_type, "Unknown"))) if "LogonTypeDescription" in events.columns else out
+
+
+def as_failures(events: DataFrame, reason: str = "Unknown user name or bad password.") -> DataFrame:
+    return events.withColumn("EventID", F.lit(4625)).withColumn("FailureReason", F.lit(reason))
+
+
+def changed_fields(before: DataFrame, after: DataFrame, key: str = "event_id") -> DataFrame:
+    """Per row the fields that differ, null-safe."""
+    shared = [c for c in before.columns if c in after.columns and c != key]
+    j = before.select(key, *[F.col(c).alias(f"a_{c}") for c in shared]).join(after.select(key, *[F.col(c).alias(f"b_{c}") for c in shared]), key)
+    differs = [F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in shared]
+    return j.select(key, F.array_compact(F.array(*differs)).alias("fields"))
+
+
+def burst(start: Column, seconds: int, *keys: Column) -> Column:
+    """A moment within ``seconds`` after the start, never past midnight."""
+    day_end = (F.floor(start / P.DAY) + 1) * P.DAY - 1
+    return F.least(start + between(0, max(seconds - 1, 0), *keys), day_end)
+
+
+def spread(day: Column, from_hour: int, to_hour: int, *keys: Column) -> Column:
+    """A moment of the day in an hour window that may wrap over midnight; it stays on the day."""
+    hours = (to_hour - from_hour) % 24 or 24
+    return (day - 1) * P.DAY + F.pmod(from_hour * 3600 + between(0, hours * 3600 - 1, *keys), F.lit(P.DAY))
+
+
+def compressed_night(time: Column) -> Column:
+    """The whole day laid into the five hours from one o'clock."""
+    base = F.floor(time / P.DAY) * P.DAY
+    return base + 3600 + F.floor((time - base) * 5 / 24)
+
+
+# ---------------------------------------------------------------- who and how many
+
+
+def victims(events: DataFrame, eval_days: list[int], exclude: DataFrame | None = None, kind: str = "User") -> DataFrame:
+    """Accounts of a kind active on evaluation days, each with its first such day, without the excluded."""
+    rows = events.filter(F.col("day").isin(*eval_days) & (P.entity_type(F.col("UserName")) == kind)).groupBy(*ACCOUNT).agg(F.min("day").alias("day"), F.count("*").alias("n"))
+    return rows if exclude is None else rows.join(exclude.select(*ACCOUNT).distinct(), ACCOUNT, "left_anti")
+
+
+def dormant(events: DataFrame, day: int, least_gap: int) -> DataFrame:
+    """Accounts whose last activity before the day lies at least ``least_gap`` days back and who are idle on it."""
+    last = events.groupBy(*ACCOUNT).agg(F.max(F.when(F.col("day") < day, F.col("day"))).alias("last_day"), F.bool_or(F.col("day") == day).alias("there"))
+    return last.filter(~F.col("there") & (F.lit(day) - F.col("last_day") >= least_gap)).select(*ACCOUNT, "last_day", (F.lit(day) - F.col("last_day")).alias("gap"))
+
+
+def dominant_type(events: DataFrame, least_share: float = 0.9) -> DataFrame:
+    n = events.groupBy(*ACCOUNT, "LogonType").agg(F.count("*").alias("n"))
+    s = n.groupBy(*ACCOUNT).agg(F.max_by("LogonType", F.struct("n", -F.col("LogonType"))).alias("LogonType"), (F.max("n") / F.sum("n")).alias("share"))
+    return s.filter(F.col("share") >= least_share)
+
+
+def low_off_hours(events: DataFrame, most: float = 0.1) -> DataFrame:
+    return events.groupBy(*ACCOUNT).agg((F.count_if(P.off_hours(F.col("Time"))) / F.count("*")).alias("off_hours_ratio")).filter(F.col("off_hours_ratio") <= most)
+
+
+def unseen_sources(events: DataFrame, low: float, high: float) -> DataFrame:
+    """account, Source: sources of a popularity band (by accounts) that the account never used, as candidates of one hash-chosen each."""
+    popular = events.filter(P.profile_source(F.col("Source"))).groupBy("Source").agg(F.count_distinct(F.struct(*ACCOUNT)).alias("n"))
+    band = popular.withColumn("q", F.percent_rank().over(Window.orderBy("n", "Source"))).filter(F.col("q").between(low, high)).select("Source")  # one row a machine
+    numbered = band.withColumn("i", F.row_number().over(Window.orderBy("Source")) - 1)
+    size = numbered.agg(F.count("*").alias("size"))
+    # several hash draws per account instead of all pairs; the first unseen one is taken
+    who = events.select(*ACCOUNT).distinct().crossJoin(F.broadcast(size)).filter("size > 0").withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    drawn = who.withColumn("i", F.floor(P.hash_uniform(*[F.col(c) for c in ACCOUNT], F.col("try")) * F.col("size")).cast("int")).join(numbered, "i")
+    fresh = drawn.join(events.select(*ACCOUNT, "Source").distinct(), [*ACCOUNT, "Source"], "left_anti")
+    return fresh.groupBy(*ACCOUNT).agg(F.min_by("Source", "try").alias("Source"))
+
+
+def quota(rows: int, rate: float) -> int:
+    """Anomalies to add so that they are ``rate`` of all rows."""
+    return math.ceil(rate * rows / (1 - rate))
+
+
+def shares(total: int, weights: dict[str, float], room: dict[str, int] | None = None, rounds: int = 3) -> dict[str, int]:
+    """Largest remainder; what exceeds a scenario's room is dealt again, up to ``rounds`` times."""
+    out, left, open_ = dict.fromkeys(weights, 0), total, dict(weights)
+    for _ in range(rounds):
+        if left <= 0 or not open_:
+            break
+        whole = sum(open_.values())
+        exact = {k: left * w / whole for k, w in open_.items()}
+        deal = {k: int(v) for k, v in exact.items()}
+        for k in sorted(exact, key=lambda k: (deal[k] - exact[k], k))[: left - sum(deal.values())]:
+            deal[k] += 1
+        for k, n in deal.items():
+            take = n if room is None else min(n, room[k] - out[k])
+            out[k] += take
+            left -= take
+            if room is not None and out[k] >= room[k]:
+                open_.pop(k)
+    return out
+
+
+# ---------------------------------------------------------------- scenarios: template rows in, injected rows out
+
+
+def brute_force(own: DataFrame, plan: DataFrame, seed: int = 42, failures: int = 30, seconds: int = 600) -> DataFrame:
+    """A burst of wrong passwords on each victim of ``plan`` (account, day, start)."""
+    one = own.groupBy(*ACCOUNT).agg(F.min_by(F.struct(*[c for c in own.columns if c not in ACCOUNT and c != "day"]), "event_id").alias("t"))
+    rows = plan.join(one, ACCOUNT).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(failures)))).select(*ACCOUNT, "start", "copy", "t.*")
+    return as_failures(at_times(rows, burst(F.col("start"), seconds, F.col("event_id"), F.col("copy"), F.lit(seed)))).drop("start", "copy")
+
+
+def password_spraying(own: DataFrame, plan: DataFrame, source: str, seed: int = 42, seconds: int = 1800) -> DataFrame:
+    """One source, one wrong password for every victim."""
+    return brute_force(own, plan, seed, 1, seconds).withColumn("Source", F.lit(source))
+
+
+def off_hours_shift(events: DataFrame) -> DataFrame:
+    return at_times(events, compressed_night(F.col("Time")))
+
+
+def workstation_burst(own: DataFrame, sources: DataFrame, copies: int = 5, seed: int = 42, jitter: int = 300) -> DataFrame:
+    """The victim's day replayed several times with jitter, from a source it never used."""
+    rows = own.drop("Source").join(sources, ACCOUNT).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    return at_times(rows, burst(F.col("Time"), jitter, F.col("event_id"), F.col("copy"), F.lit(seed))).drop("copy")
+
+
+def dormant_wakeup(events: DataFrame, who: DataFrame, from_day: int, day: int) -> DataFrame:
+    """Deletes the activity of [from_day, day) so that the account wakes up on ``day``."""
+    gone = events.join(who.select(*ACCOUNT).distinct(), ACCOUNT, "left_semi").filter((F.col("day") >= from_day) & (F.col("day") < day)).select("event_id")
+    return events.join(gone, "event_id", "left_anti")
+
+
+def logon_type_switch(events: DataFrame, to: int = 5) -> DataFrame:
+    return retype(events, to)
+
+
+def lateral_fanout(own: DataFrame, hosts: DataFrame, per_victim: int = 10, seed: int = 42) -> DataFrame:
+    """Successes on many hosts: each victim's rows walk a hash-ordered list of hosts (``host`` column)."""
+    numbered = hosts.withColumn("i", F.row_number().over(Window.orderBy(F.xxhash64("host", F.lit(seed)), "host")) - 1)  # one row a machine
+    size = numbered.agg(F.count("*").alias("size"))
+    one = own.groupBy(*ACCOUNT).agg(F.min_by(F.struct(*[c for c in own.columns if c not in ACCOUNT]), "event_id").alias("t")).select(*ACCOUNT, "t.*").drop("LogHost")
+    rows = one.crossJoin(F.broadcast(size)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(per_victim - 1))))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64(*ACCOUNT, F.lit(seed)) + F.col("copy"), F.col("size")).cast("int")).join(numbered, "i").withColumnRenamed("host", "LogHost")
+    return at_times(rows.withColumn("EventID", F.lit(4624)).withColumn("FailureReason", F.lit(None).cast("string")), burst(F.col("Time"), 3600, F.col("copy"), F.lit(seed))).drop("i", "size", "copy")
+
+
+SCENARIOS = {f.__name__: f for f in (brute_force, password_spraying, off_hours_shift, workstation_burst, dormant_wakeup, logon_type_switch, lateral_fanout)}
+
+
+# ---------------------------------------------------------------- manifest and labels
+
+
+def labels_from_manifest(manifest: DataFrame) -> DataFrame:
+    """One positive row per account-day; a manifest's ``days`` may list several, separated by semicolons. Repeats are an error."""
+    rows = manifest.select(P.normal_domain(F.col("DomainName")).alias("DomainName"), "UserName", "scenario", "campaign_id", F.explode(F.split(F.col("days").cast("string"), ";")).alias("d"))
+    rows = rows.select("DomainName", "UserName", F.expr("try_cast(trim(d) AS INT)").alias("day"), F.lit(1).alias("is_anomaly"), F.lit(False).alias("eval_exclude"), "scenario", "campaign_id")
+    if rows.groupBy("DomainName", "UserName", "day").count().filter("count > 1").limit(1).count():
+        raise ValueError("an account-day is labelled twice")
+    return rows
+
+
+def check_run(base: DataFrame, run: DataFrame, injected: DataFrame) -> dict[str, int]:
+    """Differences that must be 0: rows added besides the injected, and accounts injected twice a day by several scenarios."""
+    extra = run.count() - base.count() - injected.count()
+    twice = injected.groupBy(*ACCOUNT, "day").agg(F.count_distinct("scenario").alias("n")).filter("n > 1").count() if "scenario" in injected.columns else 0
+    return {"unexplained_rows": extra, "account_days_with_two_scenarios": twice}
+
+
+def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    only_a, only_b = a.select(*keys).distinct(), b.select(*keys).distinct()
+    return only_a.join(only_b, keys, "left_anti").withColumn("only_in", F.lit("a")).unionByName(only_b.join(only_a, keys, "left_anti").withColumn("only_in", F.lit("b")))
+
+
+def campaign_table(spark: SparkSession, scenario: str, members: int, size: int, seed: int) -> DataFrame:
+    """member, campaign_id: groups of ``size``; a last group of one joins the one before."""
+    n = max(1, members // size if members % size == 1 else -(-members // size))
+    return spark.range(members).select(F.col("id").alias("member"), F.concat(F.lit(f"{scenario}-{seed}-"), F.least(F.floor(F.col("id") / size), F.lit(n - 1)).cast("string")).alias("campaign_id"))
