@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, ascii_lower, fixed, split_words
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def shingles(words: str, k: int) -> Column:
@@ -39,7 +39,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("seq")).distinct()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_words long, n_hit long, n_items long, items array<string> (sorted), one row per document row."""
     scratch = Scratch(documents.sparkSession, "decontam")
     windows = scratch.write(item_windows(benchmark, window), "windows")
@@ -52,7 +52,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     for k in sorted(lengths):
         part = distinct.filter(F.least(F.size("seq"), F.lit(shingle)) == k).select(F.lit(k).alias("k"), "seq", F.posexplode(shingles("seq", k)).alias("at", "token"))
         tokens = part if tokens is None else tokens.unionByName(part)
-    counts = documents.select(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), "doc_id")
+    counts = documents.select(F.size(split_words(F.col("text"), GAP_ANY_CASE)).cast("long").alias("n_words"), "doc_id")
     if tokens is None:
         return counts.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
 
@@ -62,24 +62,27 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         each = words.select("doc_id", "w", F.lit(k).alias("k"), F.posexplode(shingles("w", k)).alias("p", "token"))
         seen = each if seen is None else seen.unionByName(each)
 
-    # rarity over all documents of the shingles that the benchmark has
+    # every place of a benchmark shingle in the documents, with the words that any window over it can have
     own = small(tokens.select("k", "token").distinct())
-    rarity = scratch.write(seen.select("k", "token").join(own, ["k", "token"], "left_semi").groupBy("k", "token").agg(F.count("*").alias("df")), "rarity")
-    rank = Window.partitionBy("seq").orderBy("df", "token", "at")
-    prefix = tokens.join(rarity, ["k", "token"]).withColumn("r", F.row_number().over(rank))
-    # a window with a shingle that no document has occurs nowhere: it isn't joined at all
+    at_least = F.greatest(F.col("p") - (window - F.col("k")), F.lit(0))
+    near = [F.expr("k"), F.col("token"), F.col("p"), at_least.alias("base"), F.slice("w", at_least + 1, F.col("p") - at_least + window).alias("near")]
+    if bounded:
+        places = seen.join(own, ["k", "token"], "left_semi").select("doc_id", *near)
+    else:  # positions travel to the shingles, the words only to places that matched
+        matched = seen.select("doc_id", "k", "p", "token").join(own, ["k", "token"], "left_semi")
+        places = words.join(matched, "doc_id").select("doc_id", *near)
+    places = scratch.write(places, "places")
+
+    # rarity over all documents; a window with a shingle that no document has occurs nowhere and isn't joined at all
+    rarity = places.groupBy("k", "token").agg(F.count("*").alias("df"))
+    prefix = tokens.join(rarity, ["k", "token"]).withColumn("r", F.row_number().over(Window.partitionBy("seq").orderBy("df", "token", "at")))
     complete = prefix.groupBy("seq").agg(F.count("*").alias("have"), F.first("k").alias("kk")).filter(F.col("have") == F.size("seq") - F.col("kk") + 1).select("seq")
     prefix = prefix.filter("r = 1").join(complete, "seq", "left_semi").select("k", "token", "at", "seq", F.size("seq").alias("len"))
     prefix = scratch.write(prefix, "prefix")
 
-    if bounded:
-        found = seen.join(small(prefix), ["k", "token"])
-    else:  # positions travel to the tokens, the words only to places that matched
-        places = seen.select("doc_id", "k", "p", "token").join(prefix, ["k", "token"])
-        found = words.join(places, "doc_id")
-    found = found.withColumn("start", F.col("p") - F.col("at"))
-    found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("w")))
-    found = found.filter(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("seq")).select("doc_id", "start", "len", "seq")
+    found = places.join(small(prefix), ["k", "token"]).withColumn("start", F.col("p") - F.col("at"))
+    found = found.filter((F.col("start") >= 0) & (F.col("start") - F.col("base") + F.col("len") <= F.size("near")))
+    found = found.filter(F.slice("near", F.greatest(F.col("start") - F.col("base") + 1, F.lit(1)).cast("int"), F.col("len")) == F.col("seq")).select("doc_id", "start", "len", "seq")
     found = scratch.write(found, "found")
 
     before = Window.partitionBy("doc_id").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
