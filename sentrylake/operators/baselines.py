@@ -94,8 +94,8 @@ def content_random(matrix: DataFrame, features: list[str]) -> DataFrame:
     return matrix.withColumn("random_score", P.hash_uniform(*[F.floor(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * 1e6) for c in features]))
 
 
-def ecdf(matrix: DataFrame, train: Column, feature: str, name: str, side: str = "left") -> DataFrame:
-    """Share of training values below (left), up to (right), or midway; null stays null.
+def ecdf_table(matrix: DataFrame, train: Column, feature: str, name: str, side: str = "left") -> DataFrame:
+    """_v and the share of training values below it (left), up to it (right), or midway.
 
     Values are counted before they are ordered, and ordered in two levels: totals of coarse buckets first, so no task
     holds all values. Only distinct values meet in a bucket.
@@ -108,15 +108,25 @@ def ecdf(matrix: DataFrame, train: Column, feature: str, name: str, side: str =
     base = buckets.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # at most 256 rows
     below = values.join(F.broadcast(base), "_b").withColumn("_below", F.col("_base") + F.coalesce(F.sum("_t").over(within), F.lit(0)))
     part = {"left": F.lit(0), "right": F.col("_t"), "mid": F.col("_t") / 2}[side]
-    table = below.select("_v", ((F.col("_below") + part) / F.nullif("_all", F.lit(0))).alias(name))
-    return matrix.join(table, F.col(feature).cast("double") == F.col("_v"), "left").drop("_v")
+    return below.select("_v", ((F.col("_below") + part) / F.nullif("_all", F.lit(0))).alias(name))
+
+
+def ecdf(matrix: DataFrame, train: Column, feature: str, name: str, side: str = "left") -> DataFrame:
+    """``matrix`` with the share as a column; null stays null."""
+    return with_shares(matrix, {feature: ecdf_table(matrix, train, feature, name, side)})
+
+
+def with_shares(matrix: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Joins each feature's table to the matrix. The tables come from the matrix itself, not from one another's results."""
+    out = matrix
+    for feature, table in tables.items():
+        out = out.join(table, F.col(feature).cast("double") == F.col("_v"), "left").drop("_v")
+    return out
 
 
 def ecdf_rules(matrix: DataFrame, train: Column, features: list[str]) -> DataFrame:
     """The greatest left ECDF over the features; null counts as 0."""
-    out = matrix
-    for i, c in enumerate(features):
-        out = ecdf(out, train, c, f"_e{i}")
+    out = with_shares(matrix, {c: ecdf_table(matrix, train, c, f"_e{i}") for i, c in enumerate(features)})
     parts = [F.coalesce(F.col(f"_e{i}"), F.lit(0.0)) for i in range(len(features))]
     return out.withColumn("ecdf_score", F.greatest(*parts, F.lit(0.0))).drop(*[f"_e{i}" for i in range(len(features))])
 

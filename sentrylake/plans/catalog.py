@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.functions import predicates as P
-from sentrylake.operators import baselines, cleaning, detectors, evaluation, history, injection, intraday, profiles, statistics
+from sentrylake.operators import baselines, cleaning, detectors, evaluation, history, injection, intraday, profiles, reporting, statistics
 from sentrylake.plans import features, grammar
 from sentrylake.sources import authlog
 from sentrylake.sources.authlog import AUTH_SQL
@@ -806,6 +806,92 @@ def i_labels(spark, d):
     return injection.labels_from_manifest(m.select("DomainName", "UserName", F.lit("brute_force").alias("scenario"), F.lit("c1").alias("campaign_id"), F.lit("22; 23").alias("days")))
 
 
+# ---------------------------------------------------------------- reports
+
+
+@query("j_last_before", ", r AS (SELECT event_id, DomainName, UserName, day FROM auth WHERE EventID = 4625) SELECT r.event_id, max(a.day) AS last_day FROM r LEFT JOIN auth a ON a.DomainName = r.DomainName AND a.UserName = r.UserName AND a.day < r.day GROUP BY r.event_id")
+def j_last_before(spark, d):
+    a = auth(spark, d)
+    rows = a.filter("EventID = 4625").select("event_id", "DomainName", "UserName", "day")
+    return reporting.last_before(rows, a, ["DomainName", "UserName"], "day", "day", "last_day").select("event_id", "last_day")
+
+
+@query("w_ranks", f"WITH {S_SQL} SELECT doc_id, row_number() OVER (PARTITION BY day ORDER BY score, doc_id) AS rank_ordinal, rank() OVER w AS rank_min, rank() OVER w + count(*) OVER (PARTITION BY day, score) - 1 AS rank_max, rank() OVER w + (count(*) OVER (PARTITION BY day, score) - 1) / 2 AS rank_average FROM s WINDOW w AS (PARTITION BY day ORDER BY score)", with_auth=False)
+def w_ranks(spark, d):
+    return reporting.ranks(scores(spark, d), "score", ["day"], ["doc_id"]).select("doc_id", "rank_ordinal", "rank_min", "rank_max", "rank_average")
+
+
+@query("w_rolling_mean", DAILY + " SELECT day, CASE WHEN count(v) OVER w >= 7 THEN round(avg(v) OVER w, 6) END AS v_rolling FROM dd WINDOW w AS (ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)")
+def w_rolling_mean(spark, d):
+    return reporting.rolling_mean(daily(spark, d), "v", 7, 7).select("day", "v_rolling")
+
+
+@query("a_weighted_mean", f"WITH {O_SQL} SELECT day, round(sum(cust * price) FILTER (cust IS NOT NULL) / sum(price) FILTER (cust IS NOT NULL), 4) AS weighted_mean FROM o GROUP BY day", with_auth=False)
+def a_weighted_mean(spark, d):
+    return rounded(reporting.weighted_mean(orders(spark, d), "cust", "price", ["day"]), 4)
+
+
+@query("a_top_values", ", n AS (SELECT day, LogHost, count(*) AS n FROM auth GROUP BY ALL) SELECT day, LogHost, n, CAST(r AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, LogHost) AS r FROM n) WHERE r <= 3")
+def a_top_values(spark, d):
+    return reporting.top_values(auth(spark, d), ["day"], "LogHost", 3)
+
+
+@query("a_mode", ", n AS (SELECT UserName, Source, count(*) AS n FROM auth WHERE Source IS NOT NULL GROUP BY ALL) SELECT UserName, Source, n FROM (SELECT *, row_number() OVER (PARTITION BY UserName ORDER BY n DESC, Source) AS r FROM n) WHERE r = 1")
+def a_mode(spark, d):
+    return reporting.mode(auth(spark, d), ["UserName"], "Source")
+
+
+@query("a_gap_histogram", f""", g AS (SELECT "Time" - lag("Time") OVER (PARTITION BY {K} ORDER BY "Time") AS gap FROM auth) SELECT gap, count(*) AS n FROM g WHERE gap <= 3000 GROUP BY gap""")
+def a_gap_histogram(spark, d):
+    return reporting.gap_histogram(auth(spark, d), 3000)
+
+
+@query("m_quantiles", f"WITH {O_SQL}, r AS (SELECT day, price, row_number() OVER (PARTITION BY day ORDER BY price) - 1 AS i, count(*) OVER (PARTITION BY day) AS n FROM o) SELECT day, round(min(price) FILTER (i = round_even(0.25 * (n - 1), 0)), 6) AS q25, round(min(price) FILTER (i = round_even(0.9 * (n - 1), 0)), 6) AS q90 FROM r GROUP BY day", with_auth=False)
+def m_quantiles(spark, d):
+    return reporting.quantiles(orders(spark, d), "price", ["day"], [0.25, 0.9])
+
+
+@query("v_scenarios", f"WITH {S_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, doc_id) AS dr, 100 * count(*) OVER (ORDER BY score DESC) / count(*) OVER () AS pct FROM s) SELECT source, count(*) AS n, round(avg(CAST(score >= 5000 AS INT)), 6) AS recall_threshold, round(avg(CAST(dr <= 3 AS INT)), 6) AS recall_daily, round(avg(CAST(pct <= 1 AS INT)), 6) AS recall_top1pct, round(median(pct), 6) AS median_rank_pct FROM r WHERE y = 1 GROUP BY source", with_auth=False)
+def v_scenarios(spark, d):
+    return reporting.scenario_detection(scores(spark, d), "score", "y", "source", ["doc_id"], 5000, 3)
+
+
+@query("v_budget_curve", f"WITH {S_SQL}, r AS (SELECT y, row_number() OVER (PARTITION BY day ORDER BY score DESC, doc_id) AS r FROM s) SELECT CAST(b AS INT) AS budget, round(count_if(r <= b) / count(*), 6) AS recall FROM r, (VALUES (1), (3), (10)) AS v(b) WHERE y = 1 GROUP BY b", with_auth=False)
+def v_budget_curve(spark, d):
+    return reporting.budget_curve(scores(spark, d), "score", "y", ["doc_id"], [1, 3, 10])
+
+
+@query("v_budget_needed", f"WITH {S_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, doc_id) AS r FROM s), p AS (SELECT source, r, row_number() OVER (PARTITION BY source ORDER BY r) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM r WHERE y = 1) SELECT source, CAST(min(r) FILTER (i = ceil(0.5 * (n - 1))) AS INT) AS k50, CAST(min(r) FILTER (i = ceil(0.8 * (n - 1))) AS INT) AS k80 FROM p GROUP BY source", with_auth=False)
+def v_budget_needed(spark, d):
+    return reporting.budget_needed(scores(spark, d), "score", "y", "source", ["doc_id"])
+
+
+@query("v_complementarity", f"WITH {S_SQL} SELECT concat_ws('+', CASE WHEN score >= 3000 THEN 'long' END, CASE WHEN quality = 0 THEN 'poor' END) AS models, count(*) AS n FROM s WHERE y = 1 GROUP BY models", with_auth=False)
+def v_complementarity(spark, d):
+    return reporting.complementarity(scores(spark, d).withColumn("long", F.col("score") >= 3000).withColumn("poor", F.col("quality") == 0), "y", ["long", "poor"])
+
+
+@query("v_daily_scoring")
+def v_daily_scoring(spark, d):
+    m = intraday.account_days(auth(spark, d)).withColumn("score", F.col("failure_ratio") + F.col("off_hours_ratio")).persist()  # read once per feature
+    return reporting.daily_scoring(m, F.col("day") <= SPLIT, ["failure_ratio", "off_hours_ratio", "total_logons", "distinct_hosts"], "score", KEYS, 1.2).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("v_review_set", f"WITH {O_SQL}, q AS (SELECT quantile_cont(price, [0.25, 0.5, 0.75, 0.99]) AS q FROM o WHERE train), t AS (SELECT * FROM o ORDER BY price DESC, o_orderkey LIMIT 20) SELECT 'price' AS model, o_orderkey, 'price' AS feature, round(price, 6) AS value, round((price - q[2]) / (q[3] - q[1]), 6) AS deviation, price > q[4] AS beyond_p99 FROM t, q", with_auth=False)
+def v_review_set(spark, d):
+    return reporting.review_set(orders(spark, d), F.col("train"), ["price"], ["price"], ["o_orderkey"], 20)
+
+
+@query("v_score_summary", f"WITH {O_SQL} SELECT 'price' AS model, count(price) AS n, round(avg(price), 4) AS mean, round(stddev_samp(price), 4) AS std, round(min(price), 4) AS min, round(max(price), 4) AS max, round(quantile_cont(price, 0.01), 4) AS p1, round(quantile_cont(price, 0.05), 4) AS p5, round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5), 4) AS p50, round(quantile_cont(price, 0.75), 4) AS p75, round(quantile_cont(price, 0.95), 4) AS p95, round(quantile_cont(price, 0.99), 4) AS p99 FROM o", with_auth=False)
+def v_score_summary(spark, d):
+    return rounded(reporting.score_summary(orders(spark, d), "price", "price"), 4)
+
+
+@query("d_candidates", ", l AS (SELECT max(day) FILTER (day < 25) AS last, bool_or(day = 25) AS there FROM auth GROUP BY DomainName, UserName), n AS (SELECT max(n) / sum(n) AS share FROM (SELECT DomainName, UserName, LogonType, count(*) AS n FROM auth GROUP BY ALL) GROUP BY DomainName, UserName) SELECT 'gap' AS kind, CAST(g AS DOUBLE) AS threshold, count_if(NOT there AND 25 - last >= g) AS accounts FROM l, (VALUES (2), (5)) AS v(g) GROUP BY g UNION ALL SELECT 'share', CAST(s AS DOUBLE), count_if(share >= s) FROM n, (VALUES (0.6), (0.8)) AS v(s) GROUP BY s")
+def d_candidates(spark, d):
+    return reporting.candidate_counts(auth(spark, d), 25, [2, 5], [0.6, 0.8])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

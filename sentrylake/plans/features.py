@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.functions import predicates as P
-from sentrylake.operators.history import ACCOUNT, KEYS, robust_z
+from sentrylake.operators.history import ACCOUNT, KEYS, at, robust_z
 from sentrylake.operators.intraday import evenness
 from sentrylake.plans.grammar import Feature, by_name
 
@@ -150,8 +150,6 @@ class Planner:
         return self._warm(b.withColumn(f.name, F.col("base") - mean), w, f.name)
 
     def _deviation(self, f: Feature, w: int) -> DataFrame:
-        from sentrylake.operators.history import at
-
         past = Window.partitionBy(*ACCOUNT).orderBy("day").rangeBetween(-w, -1)
         b = self.base(f).withColumn("p", F.collect_list("base").over(past))
         b = b.withColumn("p", F.sort_array(F.concat("p", F.array_repeat(F.lit(0.0), F.lit(w) - F.size("p")))))
