@@ -47,7 +47,7 @@ def document_figures(documents: DataFrame, keep: tuple[str, ...] = ("doc_id", "l
         "_words",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_inked") - F.size(F.array_distinct("_inked"))).cast("long").alias("n_dup_lines"),
         F.size("_inked").alias("_lines"),
     )
