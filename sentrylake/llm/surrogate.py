@@ -45,7 +45,7 @@ KINDS = {
     "name": rf"(?<!\w)(?:{TITLES['m']}|{TITLES['f']}|Dr|Prof)\.?[  ]+(?:[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+(?:[ -](?=[^\W\d_a-zà-öø-ÿа-я]))?){{1,3}}",
 }
 ENTITY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in KINDS.items()))
-TITLED = re.compile(rf"(?<!\w)(?:{TITLES['m']}|{TITLES['f']}|Dr|Prof)(?!\w)|(?i:password|passwd|pwd|token|secret|api[_-]?key)")
+TITLED = re.compile(rf"(?<!\w)(?:{TITLES['m']}|{TITLES['f']}|Dr|Prof)(?!\w)|(?i:password|passwd|pwd|token|secret|api[_-]?key)|AKIA|ASIA|gh[pousr]_|sk-|xox")
 SIGNED = re.compile(r"[0-9@]")
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηιο"}
