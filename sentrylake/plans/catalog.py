@@ -38,11 +38,25 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(f"`{n}`"), digits) + 0.0).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
+def as_bigint(sql: str) -> str:
+    """Every count_if( ) as BIGINT: the SQL engine counts in 128 bits otherwise."""
+    out, at = "", 0
+    while (found := sql.find("count_if(", at)) >= 0:
+        stop, depth = found + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[stop], 0)
+            stop += 1
+        out += sql[at:found] + f"CAST({sql[found:stop]} AS BIGINT)"
+        at = stop
+    return out + sql[at:]
+
+
 def query(name: str, sql: str | None = None, with_auth: bool = True):
     def keep(f):
         _QUERIES[name] = lambda spark, d: rounded(f(spark, d))
         if sql:
-            _SQL[name] = (f"WITH {AUTH_SQL}, " if with_auth and sql.lstrip().startswith(",") else f"WITH {AUTH_SQL} " if with_auth else "") + sql.lstrip().lstrip(",")
+            sql_ = as_bigint(sql)
+            _SQL[name] = (f"WITH {AUTH_SQL}, " if with_auth and sql.lstrip().startswith(",") else f"WITH {AUTH_SQL} " if with_auth else "") + sql_.lstrip().lstrip(",")
         return f
 
     return keep
