@@ -19,15 +19,16 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = scratch.write(large, "large")
+        large, hubs = scratch.write(large, "large"), least
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b"))
         after = small.filter("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         after = scratch.write(after.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "stars")
         new = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         scratch.drop(large)
+        scratch.drop(hubs)
         scratch.drop(now)
         now = after
         if mark == tuple(new):
