@@ -46,8 +46,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, in sequences of 2048 tokens."""
-    return packing.pack(docs.select("doc_id", "text"), tokenizer_path(WORD_BPE))
+    """The pieces of what is left, in sequences of 2048 tokens. A small word cache, as workers live on through all stages."""
+    return packing.pack(docs.select("doc_id", "text"), tokenizer_path(WORD_BPE), cache=250_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

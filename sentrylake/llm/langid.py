@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_slices
+from .shared import lean, text_slices
 
 BITS, LAST = 18, 0x33480
 
@@ -40,7 +40,7 @@ def letters() -> np.ndarray:
 def grams_by_row(column) -> "list[tuple[int, np.ndarray, np.ndarray]]":
     """(row, n-gram keys, row bounds): keys of each slice's rows in one array, bounds one longer than its rows."""
     table = letters()
-    for first, data, offsets in text_slices(column):
+    for first, data, offsets in text_slices(column, 256 << 10):
         heads = (data & 0xC0) != 0x80
         places = np.concatenate(([0], np.cumsum(heads)))[offsets]
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -95,7 +95,7 @@ def learn_profiles(labelled: DataFrame, size: int = 300, flush: int = 2_000_000)
                 yield from rows()
         yield from rows()
 
-    counts = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
+    counts = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(lean(count), "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     out: dict[str, list[int]] = {}
@@ -131,4 +131,4 @@ def predict(documents: DataFrame, profiles: dict[str, list[int]], size: int = 30
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rest.mapInArrow(answer, schema)
+    return rest.mapInArrow(lean(answer), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Scratch, gram_hashes, mix, text_slices, word_hashes, words_of
+from .shared import Scratch, gram_hashes, lean, mix, text_slices, trim, word_hashes, words_of
 
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -100,7 +100,7 @@ def sketched(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, bands, dtype=np.int32)), pa.array(out.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["doc_id", "n", "a", "b", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, a long, b long, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), "doc_id long, n long, a long, b long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], per_hundred: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -164,6 +164,8 @@ def verify(gathered: DataFrame, keys: list[str], k: int, per_hundred: int) -> Da
         sides = t.column("side").to_pylist()
         side = None if any(s is None for s in sides) or len(set(sides)) < 2 else np.array(sides)
         pairs = linked(sets, per_hundred, side)
+        if t.nbytes > 1 << 20:
+            trim()
         return pa.table({"u": pa.array([docs[i] for i, _ in pairs], pa.int64()), "v": pa.array([docs[j] for _, j in pairs], pa.int64())})
 
     return gathered.groupBy(*keys).applyInArrow(group, "u long, v long")

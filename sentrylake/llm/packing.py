@@ -16,20 +16,35 @@ extra columns are ignored. A sequence is padded to ``capacity``: rounding wastes
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, lean, text_slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _words: dict[str, bytes] = {}
 _tokenizer: list = [None, None]
 
 
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def plain_form(word: str) -> tuple[str, str]:
+    """A word and its one closing sign; the word lower-cased where that is ASCII. Their ids, one after the other, are the word's."""
+    base, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[:-1].isalpha() else (word, "")
+    return (base.lower() if base.isascii() and base.isalpha() else base), tail
+
+
 def token_bytes(texts: list[str], tokenizer_path: str, cache: int) -> "list[bytes]":
     """Little-endian 32-bit ids of each text, end token not included."""
     if _tokenizer[0] != tokenizer_path:
@@ -39,43 +54,44 @@ def token_bytes(texts: list[str], tokenizer_path: str, cache: int) -> "list[byte
         _tokenizer[:] = tokenizer_path, Tokenizer.from_file(tokenizer_path)
         _words.clear()
     split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = {w for words in split for w in words if w not in _words}
-    if len(_words) + len(new) > cache:
-        _words.clear()
-        new = {w for words in split for w in words}
-    new = list(new)
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
+    new = [w for w in set().union(*split) if w not in _words]
+    # the vocabulary is lower case and takes letters apart from signs: a word with capitals, a comma or a full stop is
+    # spelt from its plain form, which is mostly known
+    plain = [plain_form(w) for w in new]
+    ask = list({b for b, t in plain if b not in _words} | {t for _, t in plain if t and t not in _words})
+    for i in range(0, len(ask), 20_000):
+        part = ask[i : i + 20_000]
         for w, e in zip(part, _tokenizer[1].encode_batch_fast(part, add_special_tokens=False)):
-            _words[w] = np.array(e.ids, "<u4").tobytes()
+            _words[w] = little_endian(e.ids)
+    for w, (base, tail) in zip(new, plain):
+        if w not in _words:
+            _words[w] = _words[base] + _words[tail] if tail else _words[base]
     look = _words.__getitem__
-    return [b"".join(map(look, words)) for words in split]
+    out = [b"".join(map(look, words)) for words in split]
+    if len(_words) > cache:  # a full cache keeps the words it met first, which are the frequent ones
+        for w in {*new, *ask}:
+            del _words[w]
+    return out
 
 
-def cut(documents: DataFrame, tokenizer_path: str, end_id: int, capacity: int, cache: int = 500_000) -> DataFrame:
+def cut(documents: DataFrame, tokenizer_path: str, end_id: int, capacity: int, cache: int) -> DataFrame:
     """The pieces of every document: full sequences and a rest."""
 
     def pieces(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            out: list[tuple] = []
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < 2_000_000):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                for doc, own in zip(ids[at:stop], token_bytes([t or "" for t in texts[at:stop]], tokenizer_path, cache)):
+            ids, out = batch.column("doc_id").to_pylist(), []
+            for at, _, offsets in text_slices(batch.column("text"), 2 << 20):
+                texts = batch.column("text").slice(at, len(offsets) - 1).to_pylist()
+                for doc, own in zip(ids[at : at + len(texts)], token_bytes([t or "" for t in texts], tokenizer_path, cache)):
                     own += end_id.to_bytes(4, "little")
                     n = len(own) // 4
                     for s in range(0, n, capacity):
                         part = own[4 * s : 4 * (s + capacity)]
                         out.append((doc, s, len(part) // 4, zlib.crc32(part), n))
-                at = stop
             names = [c.split()[0] for c in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(pieces), PIECES)
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -181,13 +197,16 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-
     return plan
 
 
-def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, step: int = 8, buckets: int | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long), one row per piece."""
+def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, step: int = 8, buckets: int | None = None, cache: int = 800_000) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long), one row per piece.
+
+    ``cache`` bounds the words that a worker keeps spelt, at about 200 bytes each.
+    """
     if capacity % step:
         raise ValueError("capacity must be a multiple of step")
     spark = documents.sparkSession
     scratch = Scratch(spark, "pack")
-    pieces = scratch.write(cut(documents, tokenizer_path, end_id, capacity), "pieces")
+    pieces = scratch.write(cut(documents, tokenizer_path, end_id, capacity, cache), "pieces")
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = pieces.withColumn("cls", F.ceil(F.col("length") / step).cast("long")).withColumn("b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n)))
     per = pieces.groupBy("cls", "b").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -58,6 +59,28 @@ def tasks_for(spark: SparkSession, total_bytes: int, per_task: int = 24 << 20) -
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // per_task))
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def trim() -> None:
+    """Gives freed memory back. Workers live on from task to task, and their allocators would keep each one's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(function):
+    """A function of Arrow batches whose task ends with ``trim``."""
+
+    def run(batches):
+        yield from function(batches)
+        trim()
+
+    return run
+
+
 # ---------------------------------------------------------------- column expressions
 
 
