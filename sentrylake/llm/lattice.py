@@ -163,7 +163,9 @@ def score(documents: DataFrame, vocabulary_path: str, training: str = "train", c
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(training), F.lit(False)).alias("train"))
     facts = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"), F.count_if("train").alias("ends")).first()
     ends = int(facts["ends"])
-    docs = chunked(docs, tasks_for(spark, facts["bytes"], chunk_bytes))
+    chunks = tasks_for(spark, facts["bytes"], chunk_bytes)
+    # dealt out by as many partitions as there are chunks, so that a task's share doesn't grow with the input
+    docs = chunked(docs, chunks).repartition(chunks, "chunk")
 
     def vocabulary(key, t):
         seen: Counter = Counter()
@@ -234,4 +236,4 @@ def score(documents: DataFrame, vocabulary_path: str, training: str = "train", c
         )
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(read, schema)
+    return docs.select("chunk", "doc_id", "text").repartition(chunks, "chunk").groupBy("chunk").cogroup(back.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(read, schema)
