@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, gram_hashes, mix, text_slices, word_hashes, words_of
+from .shared import Scratch, gram_hashes, lean, mix, text_slices, word_hashes, words_of
 
 
 def minimizers(column, window: int, gram: int):
@@ -143,7 +143,7 @@ def marked(documents: DataFrame, window: int, gram: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(mins) if mins else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n), pa.array(whole), lists], ["doc_id", "t", "n_words", "whole", "mins"])
 
-    return documents.mapInArrow(work, MARKS)
+    return documents.mapInArrow(lean(work), MARKS)
 
 
 def segments(candidates: DataFrame, window: int, gram: int) -> DataFrame:
@@ -180,7 +180,7 @@ def segments(candidates: DataFrame, window: int, gram: int) -> DataFrame:
             )
             out.clear()
 
-    return candidates.mapInArrow(work, OCCURRENCES)
+    return candidates.mapInArrow(lean(work), OCCURRENCES)
 
 
 def single_windows(occurrences: DataFrame, window: int) -> DataFrame:
@@ -227,8 +227,10 @@ def drop_repeats(documents: DataFrame, window: int = 35, gram: int = 18, shard_w
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     marks = scratch.write(marked(docs, window, gram), "marks")
     places = marks.select("doc_id", "t", F.explode("mins").alias("key"))
-    twice = places.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    wanted = places.join(twice, "key").groupBy("doc_id", "t").agg(F.collect_set("key").alias("keys"))
+    # written, so that the join shuffles both sides and AQE can split a frequent key
+    twice = scratch.write(places.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "twice")
+    own = marks.select("doc_id", "t", F.explode(F.array_distinct("mins")).alias("key"))
+    wanted = own.join(twice, "key").groupBy("doc_id", "t").agg(F.collect_set("key").alias("keys"))
     wanted = wanted.withColumnsRenamed({"doc_id": "d", "t": "u"})
     candidates = scratch.write(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u"))).drop("d", "u"), "candidates")
     occurrences = scratch.write(segments(candidates, window, gram), "occurrences")
