@@ -1,7 +1,7 @@
-"""Detectors in NumPy behind Arrow: isolation forest, local outlier factor, one-class SVM (Nystroem features, SGD).
+"""Detectors in NumPy behind Arrow: isolation forest, local outlier factor, one-class SVM (Nystroem features).
 
-Fitting reads a bounded, seeded sample of training rows (``sample_rows``, documented per detector); scoring is a map over all rows.
-Fitted models are plain dictionaries of lists, so they are stored as JSON.
+Fitting reads all training rows, as distinct rows with their copies counted; none of them is gathered on the driver beyond the
+basis of the SVM. Models of the forest and the SVM are plain dictionaries of lists; scoring with them is a map over all rows.
 """
 
 from __future__ import annotations
@@ -17,13 +17,91 @@ from pyspark.sql import types as T
 from sentrylake.operators.baselines import ecdf
 
 
-def sample(train: DataFrame, features: list[str], rows: int, seed: int) -> np.ndarray:
-    """The rows with the least hashes: the same sample in any partitioning."""
-    order = F.xxhash64(*[F.col(c).cast("string") for c in features], F.lit(seed))
-    got = train.select(*[F.col(c).cast("double") for c in features]).orderBy(order).limit(rows).toPandas().to_numpy(float)
-    if not np.isfinite(got).all():
+def vector(features: list[str]):
+    """The features as one array of doubles; null is NaN, and -0.0 is 0.0."""
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) + 0.0 for c in features])
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A written table, as fitting reads it more than once."""
+    from sentrylake.llm.shared import Scratch  # the folder of spark.checkpoint.dir
+
+    return Scratch(df.sparkSession, "detectors").write(df, name)
+
+
+def distinct_rows(matrix: DataFrame, train, features: list[str]) -> DataFrame:
+    """id, x, copies: the distinct rows of ``matrix`` and how many training rows each stands for (0: only scored).
+
+    Copies are counted before they move. ``id`` hashes x under the first seed that gives no two rows the same one.
+    """
+    rows = matrix.select(vector(features).alias("x"), F.coalesce(train, F.lit(False)).alias("t"))
+    rows = kept(rows.groupBy("x").agg(F.count_if("t").alias("copies")), "rows")
+    odd = F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    found = rows.agg(F.sum("copies").alias("n"), F.count_if(odd & (F.col("copies") > 0)).alias("odd"), F.count("*").alias("rows")).first()
+    if not found["n"]:
+        raise ValueError("no training rows")
+    if found["odd"]:
         raise ValueError("features must be finite")
-    return got
+    for salt in range(16):
+        out = rows.select(F.xxhash64("x", F.lit(salt)).alias("id"), "x", "copies")
+        if out.agg(F.count_distinct("id")).first()[0] == found["rows"]:
+            return out.withColumn("salt", F.lit(salt))
+    raise RuntimeError("row hashes collide under every seed")
+
+
+def array2d(column, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def drawn(rows: DataFrame, draws: int, size: int, seed: int) -> tuple[DataFrame, int]:
+    """(draw, e, id, x) and the size: each draw's candidates, whose ``size`` least e are drawn from all training rows.
+
+    Every copy of a row has an exponential key of its own for each draw, so a draw is without replacement and a group of
+    copies gets its share; the j-th least key of c copies is the sum of j exponentials over c, c - 1, ... Keys hash id,
+    draw and number of the copy: the same draw in any partitioning. Only keys below a bound that leaves about
+    ``size + 16 * sqrt(size)`` of them move.
+    """
+    n = rows.agg(F.sum("copies")).first()[0]
+    size = min(size, n)
+    share = (size + 16 * math.sqrt(size) + 64) / n
+    bound = math.inf if share >= 1 else -math.log1p(-share)
+
+    def work(batches):
+        for b in batches:
+            ids, copies = (b.column(c).to_numpy() for c in ("id", "copies"))
+            base = mixed(ids.view(np.uint64) + np.uint64(seed))
+            for t in range(draws):
+                own, at, e, j = mixed(base + np.uint64(t)), np.arange(len(ids)), np.zeros(len(ids)), 0
+                where, keys = [], []
+                while len(at) and j < size:
+                    u = (mixed(own[at] + np.uint64(j)) >> np.uint64(11)) / 2.0**53
+                    e[at] -= np.log1p(-u) / (copies[at] - j)
+                    at = at[e[at] <= bound]
+                    where.append(at)
+                    keys.append(e[at])
+                    j += 1
+                    at = at[copies[at] > j]
+                where, keys = np.concatenate([*where, np.zeros(0, int)]), np.concatenate([*keys, np.zeros(0)])
+                if len(where):
+                    taken = b.select(["id", "x"]).take(pa.array(where))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), t)), pa.array(keys), *taken.columns], ["draw", "e", "id", "x"])
+
+    return rows.filter("copies > 0").select("id", "x", "copies").mapInArrow(work, "draw long, e double, id long, x array<double>"), size
+
+
+def in_order(t: pa.Table, size: int, width: int) -> np.ndarray:
+    """The drawn rows of one draw."""
+    order = np.lexsort((t.column("id").to_numpy(), t.column("e").to_numpy()))[:size]
+    if len(order) < size:
+        raise RuntimeError("a draw has too few candidates")
+    return array2d(t.column("x"), width)[order]
 
 
 def scored(matrix: DataFrame, features: list[str], name: str, function) -> DataFrame:
@@ -46,31 +124,39 @@ def mean_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def fit_forest(x: np.ndarray, trees: int = 150, size: int = 256, seed: int = 42) -> dict:
-    rng = np.random.default_rng(seed)
-    size = min(size, len(x))
-    depth = max(1, math.ceil(math.log2(max(size, 2))))
-    forest = []
-    for _ in range(trees):
-        nodes: list[list[float]] = []  # feature (-1: leaf), cut or path length, left, right
-        todo = [(x[rng.choice(len(x), size, replace=False)], 0, -1, 0)]
-        while todo:
-            part, level, parent, side = todo.pop()
-            at = len(nodes)
-            if parent >= 0:
-                nodes[parent][2 + side] = at
-            low, high = part.min(0), part.max(0)
-            split = np.flatnonzero(high > low)
-            if level >= depth or len(part) <= 1 or not len(split):
-                nodes.append([-1, level + mean_path(len(part)), 0, 0])
-                continue
-            f = int(rng.choice(split))
-            cut = float(rng.uniform(low[f], high[f]))
-            nodes.append([f, cut, 0, 0])
-            go = part[:, f] < cut
-            todo += [(part[go], level + 1, at, 0), (part[~go], level + 1, at, 1)]
-        forest.append(nodes)
-    return {"trees": forest, "norm": mean_path(size)}
+def tree(x: np.ndarray, rng: np.random.Generator) -> list[list[float]]:
+    depth = max(1, math.ceil(math.log2(max(len(x), 2))))
+    nodes: list[list[float]] = []  # feature (-1: leaf), cut or path length, left, right
+    todo = [(x, 0, -1, 0)]
+    while todo:
+        part, level, parent, side = todo.pop()
+        at = len(nodes)
+        if parent >= 0:
+            nodes[parent][2 + side] = at
+        low, high = part.min(0), part.max(0)
+        split = np.flatnonzero(high > low)
+        if level >= depth or len(part) <= 1 or not len(split):
+            nodes.append([-1, level + mean_path(len(part)), 0, 0])
+            continue
+        f = int(rng.choice(split))
+        cut = float(rng.uniform(low[f], high[f]))
+        nodes.append([f, cut, 0, 0])
+        go = part[:, f] < cut
+        todo += [(part[go], level + 1, at, 0), (part[~go], level + 1, at, 1)]
+    return nodes
+
+
+def fit_forest(rows: DataFrame, width: int, trees: int = 150, size: int = 256, seed: int = 42) -> dict:
+    """Each tree's ``size`` rows are drawn from all training rows; trees are grown by the tasks."""
+    candidates, size = drawn(rows, trees, size, seed)
+
+    def grow(t: pa.Table) -> pa.Table:
+        draw = t.column("draw")[0].as_py()
+        nodes = np.array(tree(in_order(t, size, width), np.random.default_rng([seed, draw])), float)
+        return pa.table({"draw": pa.array([draw]), "nodes": pa.array([nodes.ravel()], pa.list_(pa.float64()))})
+
+    grown = candidates.groupBy("draw").applyInArrow(grow, "draw long, nodes array<double>").orderBy("draw").collect()
+    return {"trees": [np.array(r["nodes"]).reshape(-1, 4).tolist() for r in grown], "norm": mean_path(size)}
 
 
 def forest_scores(model: dict):
@@ -97,65 +183,123 @@ def forest_scores(model: dict):
 # ---------------------------------------------------------------- local outlier factor
 
 
-def neighbours(x: np.ndarray, base: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and places of the k nearest base rows, in blocks."""
+def neighbours(x: np.ndarray, base: np.ndarray, k: int, spare: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and places of the k nearest base rows (all, if there are fewer), in blocks. Those chosen, and some spare ones, are measured exactly."""
+    k = min(k, len(base))
+    more = min(k + spare, len(base))
     d_out, i_out = np.zeros((len(x), k)), np.zeros((len(x), k), int)
     square = np.einsum("ij,ij->i", base, base)
-    for a in range(0, len(x), 1024):
-        part = x[a : a + 1024]
-        d = np.sqrt(np.maximum(np.einsum("ij,ij->i", part, part)[:, None] + square - 2 * part @ base.T, 0))
-        if skip_self:
-            d[np.arange(len(part)), np.arange(a, a + len(part))] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        d_out[a : a + 1024], i_out[a : a + 1024] = np.take_along_axis(d, near, 1), near
+    for a in range(0, len(x), 512):
+        part = x[a : a + 512]
+        near = np.argpartition(square - 2 * part @ base.T, more - 1, axis=1)[:, :more]
+        d = np.sqrt(((part[:, None] - base[near]) ** 2).sum(2))
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        d_out[a : a + 512], i_out[a : a + 512] = np.take_along_axis(d, order, 1), np.take_along_axis(near, order, 1)
     return d_out, i_out
 
 
-def fit_lof(x: np.ndarray, k: int = 20) -> dict:
-    """Distinct rows only; densities with the reach distances of the k nearest others."""
-    base = np.unique(x, axis=0)
-    k = max(1, min(k, len(base) - 1))
-    d, i = neighbours(base, base, k, True)
-    reach = d.max(1)
-    density = 1 / (np.maximum(d, reach[i]).mean(1) + 1e-10)
-    return {"base": base.tolist(), "k": k, "reach": reach.tolist(), "density": density.tolist()}
-
-
-def lof_scores(model: dict):
-    base, k = np.array(model["base"]), model["k"]
-    reach, density = np.array(model["reach"]), np.array(model["density"])
-
-    def score(x: np.ndarray) -> np.ndarray:
-        d, i = neighbours(x, base, k, False)
-        own = 1 / (np.maximum(d, reach[i]).mean(1) + 1e-10)
-        return density[i].mean(1) / own
-
-    return score
+def nearest(rows: DataFrame, n: int, width: int, k: int, block: int = 16_384) -> DataFrame:
+    """id, near (array of d and i, by distance): the k nearest training rows of every row, itself among them if it is one.
+
+    Rows and training rows are cut into blocks by hash; every pair of blocks is a group, and the nearest of each are merged.
+    """
+    blocks = max(-(-n // block), min(8, -(-n // 512)))
+    every, mine = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    asked = rows.select(mine.alias("q"), every.alias("b"), F.lit(False).alias("base"), "id", "x")
+    base = rows.filter("copies > 0").select(every.alias("q"), mine.alias("b"), F.lit(True).alias("base"), "id", "x")
+
+    def pair(t: pa.Table) -> pa.Table:
+        side, ids, x = t.column("base").to_numpy(), t.column("id").to_numpy(), array2d(t.column("x"), width)
+        if side.all() or not side.any():
+            return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.list_(pa.float64())), "i": pa.array([], pa.list_(pa.int64()))})
+        d, i = neighbours(x[~side], x[side], k)
+        bounds = pa.array(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32))
+        return pa.table({"id": ids[~side], "d": pa.ListArray.from_arrays(bounds, pa.array(d.ravel())), "i": pa.ListArray.from_arrays(bounds, pa.array(ids[side][i.ravel()]))})
+
+    found = asked.unionByName(base).groupBy("q", "b").applyInArrow(pair, "id long, d array<double>, i array<long>")
+    found = found.select("id", F.arrays_zip("d", "i").alias("near"))
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def lof_by_row(rows: DataFrame, width: int, k: int = 20) -> DataFrame:
+    """id, score. The base is every distinct training row; its densities leave out the row itself, scores don't."""
+    n = rows.filter("copies > 0").count()
+    if n < 2:
+        raise ValueError("the local outlier factor needs two distinct training rows")
+    k = max(1, min(k, n - 1))
+    near = kept(nearest(rows, n, width, k + 1), "near")
+    # all training rows are among their own k + 1, as only they are at distance 0
+    others = near.join(rows.filter("copies > 0").select("id"), "id").select("id", F.slice(F.filter("near", lambda p: p["i"] != F.col("id")), 1, k).alias("near"))
+    others = others.withColumn("reach", F.element_at("near", -1)["d"])
+    pairs = lambda df: df.select("id", F.explode("near").alias("p")).select("id", F.col("p.i").alias("i"), F.col("p.d").alias("d"))
+    far = F.avg(F.greatest("d", "reach")) + 1e-10
+    reach = kept(others, "others")
+    density = pairs(reach).join(reach.select(F.col("id").alias("i"), "reach"), "i").groupBy("id").agg((1 / far).alias("density"))
+    known = kept(density.join(reach.select("id", "reach"), "id").withColumnRenamed("id", "i"), "densities")
+    asked = pairs(near.select("id", F.slice("near", 1, k).alias("near")))
+    return asked.join(known, "i").groupBy("id").agg((F.avg("density") * far).alias("score"))
 
 
 # ---------------------------------------------------------------- one-class SVM
 
 
-def fit_svm(x: np.ndarray, components: int = 100, gamma: float | None = None, nu: float = 0.05, epochs: int = 5, seed: int = 42) -> dict:
-    rng = np.random.default_rng(seed)
-    gamma = gamma or 1.0 / (x.shape[1] * max(float(x.var()), 1e-12))
-    basis = x[rng.choice(len(x), min(components, len(x)), replace=False)]
+def fit_svm(rows: DataFrame, width: int, components: int = 100, gamma: float | None = None, nu: float = 0.05, seed: int = 42) -> dict:
+    """Nystroem features, then w and rho of least |w|^2 / 2 - rho + mean(max(0, rho - w z)) / nu over all training rows.
+
+    Newton steps on the hinge, rounded off over a width that shrinks; loss, gradient and curvature are sums per task.
+    """
+    train = rows.filter("copies > 0")
+    n, total = train.agg(F.sum("copies"), F.sum(F.col("copies") * F.aggregate("x", F.lit(0.0), lambda a, v: a + v))).first()
+    mean = total / (n * width)
+    spread = train.agg(F.sum(F.col("copies") * F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)))).first()[0] / (n * width)
+    gamma = gamma or 1.0 / (width * max(spread, 1e-12))
+    candidates, size = drawn(rows, 1, components, seed)
+    basis = in_order(candidates.toArrow(), size, width)
     kernel = np.exp(-gamma * ((basis[:, None] - basis[None]) ** 2).sum(2))
     u, s, _ = np.linalg.svd(kernel)
-    root = u / np.sqrt(np.maximum(s, 1e-12))
-    model = {"basis": basis.tolist(), "root": root.tolist(), "gamma": gamma}
-    z = nystroem(model, x)
-    w, rho, t = np.zeros(z.shape[1]), 0.0, 0
-    for _ in range(epochs):
-        for row in z[rng.permutation(len(z))]:
-            t += 1
-            rate = 1.0 / (nu * (t + 100))
-            inside = float(w @ row) < rho
-            w *= 1 - rate * nu
-            if inside:
-                w += rate * row
-            rho += rate * nu - rate * inside
-    return model | {"w": w.tolist(), "rho": rho}
+    model = {"basis": basis.tolist(), "root": (u / np.sqrt(np.maximum(s, 1e-12))).tolist(), "gamma": gamma}
+    m = size + 1
+
+    def sums(at: np.ndarray, soft: float) -> tuple[float, np.ndarray, np.ndarray]:
+        def work(batches):
+            loss, slope, bend = 0.0, np.zeros(m), np.zeros((m, m))
+            for b in batches:
+                c = b.column("copies").to_numpy().astype(float)
+                a = np.column_stack([-nystroem(model, array2d(b.column("x"), width)), np.ones(len(c))])
+                gap = a @ at
+                inner = (gap > 0) & (gap < soft)
+                loss += float(c @ np.where(inner, gap**2 / (2 * soft), np.maximum(gap - soft / 2, 0) * (gap > 0)))
+                slope += (c * np.clip(gap / soft, 0, 1)) @ a
+                bend += (a[inner] * (c[inner] / soft)[:, None]).T @ a[inner]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(([loss], slope, bend.ravel()))], pa.list_(pa.float64()))], ["v"])
+
+        def add(batches):
+            all_ = [array2d(b.column("v"), 1 + m + m * m).sum(0) for b in batches]
+            if all_:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(all_)], pa.list_(pa.float64()))], ["v"])
+
+        got = sum(np.array(r["v"]) for r in train.select("x", "copies").mapInArrow(work, "v array<double>").repartition(4).mapInArrow(add, "v array<double>").collect())
+        w, own, share = at.copy(), np.eye(m), nu * n
+        w[-1] = own[-1, -1] = 0
+        return w @ w / 2 - at[-1] + got[0] / share, w - np.eye(m)[-1] + got[1 : m + 1] / share, own + got[m + 1 :].reshape(m, m) / share
+
+    # the mean of z, and its own margin, to start from
+    w = (np.eye(m)[-1] - sums(np.eye(m)[-1] * 1e6, 1.0)[1])[:-1] * nu
+    at = np.concatenate((w, [w @ w]))
+    for soft in np.array([0.1, 1e-2, 1e-3, 1e-4, 1e-5]) * max(float(w @ w), 1e-3):
+        now, damp = sums(at, soft), 1e-6
+        for _ in range(200):
+            step = -np.linalg.solve(now[2] + damp * np.eye(m), now[1])
+            if -(now[1] @ step) < 1e-8:
+                break
+            new = sums(at + step, soft)
+            if new[0] < now[0]:
+                at, now, damp = at + step, new, max(damp / 100, 1e-9)
+            else:
+                damp *= 30
+        else:
+            raise RuntimeError("the one-class SVM did not converge")
+    return model | {"w": at[:-1].tolist(), "rho": float(at[-1])}
 
 
 def nystroem(model: dict, x: np.ndarray) -> np.ndarray:
@@ -169,16 +313,25 @@ def svm_scores(model: dict):
     return lambda x: rho - nystroem(model, x) @ w
 
 
-DETECTORS = {"iforest": (fit_forest, forest_scores), "lof": (fit_lof, lof_scores), "ocsvm": (fit_svm, svm_scores)}
+#: fit and scores; the local outlier factor has no model but the rows themselves
+DETECTORS = {"iforest": (fit_forest, forest_scores), "lof": (None, None), "ocsvm": (fit_svm, svm_scores)}
 ALIASES = {"isolation_forest": "iforest", "one_class_svm": "ocsvm", "local_outlier_factor": "lof"}
 
 
-def fit_and_score(matrix: DataFrame, train, features: list[str], detector: str, sample_rows: int = 20_000, seed: int = 42, **parameters) -> DataFrame:
-    """``matrix`` with ``<detector>_score``. ``sample_rows`` bounds what fitting reads."""
+def fit_and_score(matrix: DataFrame, train, features: list[str], detector: str, sample_rows: int | None = None, seed: int = 42, **parameters) -> DataFrame:
+    """``matrix`` with ``<detector>_score``, fitted on all training rows; on ``sample_rows`` of them only if a caller asks for that."""
     name = ALIASES.get(detector, detector)
     fit, make = DETECTORS[name]
-    model = fit(sample(matrix.filter(train), features, sample_rows, seed), **parameters)
-    return scored(matrix, features, f"{name}_score", make(model))
+    width, rows = len(features), distinct_rows(matrix, train, features)
+    if sample_rows is not None and rows.agg(F.sum("copies")).first()[0] > sample_rows:
+        some, size = drawn(rows, 1, sample_rows, seed)
+        some = some.orderBy("e", "id").limit(size).groupBy("id").agg(F.count("*").alias("copies"))
+        rows = kept(rows.drop("copies").join(some, "id", "left").withColumn("copies", F.coalesce("copies", F.lit(0))), "sample")
+    if name == "lof":
+        salt = rows.select("salt").first()[0]
+        scores = kept(lof_by_row(rows, width, **parameters).withColumnRenamed("id", "_id").withColumnRenamed("score", "lof_score"), "scores")
+        return matrix.drop("lof_score").withColumn("_id", F.xxhash64(vector(features), F.lit(salt))).join(scores, "_id", "left").drop("_id")
+    return scored(matrix, features, f"{name}_score", make(fit(rows, width, seed=seed, **parameters)))
 
 
 def by_segment(matrix: DataFrame, train, features: list[str], detector: str, segment: str, segments: list[str], **parameters) -> DataFrame:

@@ -589,7 +589,7 @@ def b_lof(spark, d):
 
 @query("b_ocsvm")
 def b_ocsvm(spark, d):
-    return detectors.fit_and_score(vectors(spark, d), F.col("train"), X, "ocsvm", sample_rows=2000).select("vec_id", "ocsvm_score")
+    return detectors.fit_and_score(vectors(spark, d), F.col("train"), X, "ocsvm").select("vec_id", "ocsvm_score")
 
 
 @query("b_segments")

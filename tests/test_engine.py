@@ -143,6 +143,37 @@ def test_detectors_rank_an_outlier_first(spark):
         assert got.orderBy(F.desc(f"{name}_score")).first()["id"] == 999, name
 
 
+def test_detectors_fit_on_all_rows(spark):
+    import numpy as np
+
+    # more rows than the former sample of 20,000, a fifth of them copies of one
+    x = np.concatenate([np.random.default_rng(2).normal(size=(20_400, 2)), np.full((5_100, 2), 0.25)])
+    df = spark.createDataFrame([(i, *map(float, v), True) for i, v in enumerate(x)], "id int, a double, b double, train boolean")
+    rows = detectors.distinct_rows(df, F.col("train"), ["a", "b"])
+    assert rows.agg(F.sum("copies"), F.count("*")).first()[:] == (25_500, 20_401)
+    draws, size = detectors.drawn(rows, 40, 256, 1)
+    got = [detectors.in_order(t, size, 2) for t in (draws.filter(F.col("draw") == d).toArrow() for d in (0, 7, 39))]
+    again = detectors.drawn(rows.repartition(7), 40, 256, 1)[0].filter("draw = 7").toArrow()
+    assert np.array_equal(got[1], detectors.in_order(again, size, 2)) and all(len(g) == 256 for g in got)
+    assert all(25 < (g == 0.25).all(1).sum() < 80 for g in got)  # 51 expected
+    # every row's neighbours, by brute force over all distinct rows
+    base = np.unique(x, axis=0)
+    gap = lambda p: np.sqrt(((base - p) ** 2).sum(1))
+    near = lambda p: np.argsort(gap(p), kind="stable")
+    others = lambda i: near(base[i])[1:21]
+    reach = lambda i: np.sort(gap(base[i]))[20]
+    density = lambda i: 1 / (np.mean([max(gap(base[i])[j], reach(j)) for j in others(i)]) + 1e-10)
+    lof = {r["id"]: r["lof_score"] for r in detectors.fit_and_score(df, F.col("train"), ["a", "b"], "lof").collect()}
+    assert len(lof) == 25_500 and len({lof[i] for i in range(20_400, 25_500)}) == 1
+    for i in (3, 11_111, 25_000):
+        mine = near(x[i])[:20]
+        own = 1 / (np.mean([max(gap(x[i])[j], reach(j)) for j in mine]) + 1e-10)
+        assert abs(lof[i] - np.mean([density(j) for j in mine]) / own) < 1e-9
+    # about nu of all training rows are outside
+    svm = detectors.fit_and_score(df, F.col("train"), ["a", "b"], "ocsvm", components=30)
+    assert abs(svm.filter("ocsvm_score > 0").count() / 25_500 - 0.05) < 0.01
+
+
 def test_quotas():
     assert injection.quota(99, 0.01) == 1
     assert injection.shares(10, {"a": 1, "b": 1, "c": 1}) == {"a": 4, "b": 3, "c": 3}
