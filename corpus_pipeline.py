@@ -16,14 +16,14 @@ from sentrylake.llm.queries import WORD_BPE, table, tokenizer_path
 from sentrylake.llm.shared import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: a text whose nearest profile shares next to nothing with it is in none of the languages
-LEAST_LANGUAGE_SCORE = 0.15
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; profiles are learned from the labelled ones."""
-    found = langid.predict(docs.select(*COLUMNS), langid.learn_profiles(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+    """Documents whose language can be told; profiles and the least score of each language are learned from the labelled ones."""
+    found = Scratch(spark, "language").write(langid.predict(docs.select(*COLUMNS), langid.learn_profiles(docs)), "found")
+    told = F.lit(False)
+    for lang, least in langid.least_scores(found).items():
+        told = told | ((F.col("lang_pred") == lang) & (F.col("score") >= least))
+    return found.filter(told).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

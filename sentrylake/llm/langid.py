@@ -132,3 +132,14 @@ def predict(documents: DataFrame, profiles: dict[str, list[int]], size: int = 30
 
     schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rest.mapInArrow(lean(answer), schema)
+
+
+def least_scores(predicted: DataFrame, low: float = 0.05, share: float = 0.6) -> dict[str, float]:
+    """Each predicted language's least score: ``share`` of a low quantile of its labelled documents that were told right.
+
+    The share leaves room for short and odd texts. A language without such documents takes the least of the others.
+    """
+    right = F.when(F.col("lang") == F.col("lang_pred"), F.col("score"))
+    found = predicted.filter("lang_pred <> 'und'").groupBy("lang_pred").agg(F.percentile_approx(right, low).alias("q")).collect()
+    known = [r["q"] for r in found if r["q"] is not None]
+    return {r["lang_pred"]: share * (min(known) if r["q"] is None else r["q"]) for r in found if known}

@@ -349,5 +349,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()) == [0, 3, 4, 7]
 
 
+def test_language_stage_drops_junk_and_unlearned_languages(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import random
+
+    r = random.Random(5)
+    english = "the children went to school early in the morning when the sun was not yet over the town and they were talking about what to do with the rest of that day after their work was done".split()
+    german = "die kinder gingen am morgen in die schule als die sonne noch nicht aufgegangen war und sie sprachen davon was sie mit dem rest des tages machen wollten wenn die arbeit getan ist".split()
+    texts = [" ".join(r.choice(w) for _ in range(120)) for w in (english, german) for _ in range(20)]
+    langs = ["en"] * 20 + ["de"] * 20
+    texts += ["the sun", "when they went to school", "die sonne", "und sie gingen in die schule"]
+    texts += [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (20, 300, 3000)]
+    texts += ["wszystkie dzieci poszły do szkoły wcześnie rano kiedy słońce jeszcze nie wzeszło nad miastem i rozmawiały o tym co będą robić", "zzzz qqqq " * 30]
+    kept = pipeline.language(spark, docs(spark, texts, langs + [None] * 9).select(*pipeline.COLUMNS), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(44))
+
+
 def test_scratch_uses_the_session_folder(spark):
     assert isinstance(spark.range(1).schema, T.StructType) and shared.work_dir(spark).startswith(("file:", "/"))
