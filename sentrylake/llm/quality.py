@@ -19,7 +19,7 @@ from .shared import Scratch, split_words
 
 WHITE = r"[\x20\x09-\x0D]"
 #: ratio: (the least spread that counts, whether a low value is also outside)
-RATIOS = {"symbol_ratio": (0.02, False), "repeat_ratio": (0.08, False), "dup_line_ratio": (0.10, False), "mean_word": (0.8, True)}
+RATIOS = {"symbol_ratio": (0.02, False), "repeat_ratio": (0.03, False), "dup_line_ratio": (0.03, False), "mean_word": (0.8, True)}
 
 
 def with_repeated_words(df: DataFrame, words: str, name: str, k: int = 5) -> DataFrame:

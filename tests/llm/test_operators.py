@@ -275,6 +275,17 @@ def test_quality(spark, edge):
     assert (rows[73]["n_words"], rows[73]["n_dup_lines"], rows[71]["n_repeat_words"]) == (5, 1, 150)
 
 
+def test_each_quality_ratio_rejects_alone(spark):
+    lines = lambda seed, same: "\n".join("so" if i < same else f"{prose(seed * 50 + i, 6)}" for i in range(40))
+    mixed = lambda seed, same: "\n".join(x for pair in zip(lines(seed, 0).split("\n"), ["so"] * same + lines(seed + 500, 0).split("\n")[same:]) for x in pair)
+    texts = [mixed(i, 0) for i in range(70)]
+    texts += [mixed(80, 12), prose(900, 130) + " " + prose(901, 10) + " " + prose(902, 20) + " " + prose(901, 10), " ".join(w + "#" * (i % 2) for i, w in enumerate(prose(903, 150).split())), " ".join(w * 3 for w in prose(904, 150).split())]
+    got = {r["doc_id"]: r for r in quality.adaptive_filter(docs(spark, texts).withColumn("source", F.lit("s")).withColumn("lang", F.lit("x"))).collect()}
+    assert all(got[i]["kept"] for i in range(70))
+    assert got[70]["n_dup_lines"] == 11 and got[70]["n_repeat_words"] == 0 and 0.1 < got[71]["n_repeat_words"] / got[71]["n_words"] < 0.2 and got[71]["n_dup_lines"] == 0
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in (70, 71, 72, 73))
+
+
 def test_chat_round_trip(spark):
     schema = "conv_id long, turn long, role string, text string, window long"
     said = [(1, i, r, t, 9) for i, (r, t) in enumerate([("system", "be [brief] <|end|>\n"), ("user", "\\<|user|>\\\\"), ("assistant", "x" * 4000), ("user", None), ("assistant", "</s>[INST]"), ("assistant", "")])]
