@@ -34,9 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id."""
+    """One document of each group stays, the one with the least doc_id; those without a doc_id are in no group."""
     groups = neardup.near_duplicates(docs.select("doc_id", "text"))
-    return docs.select(*COLUMNS).join(groups.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.select(*COLUMNS).join(groups.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -376,5 +376,11 @@ def test_language_stage_drops_junk_and_unlearned_languages(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == list(range(44))
 
 
+def test_near_duplicate_stage_keeps_null_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    table = docs(spark, [prose(1, 80), prose(1, 80), prose(2, 80), prose(3, 80)]).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.col("doc_id"))).select(*pipeline.COLUMNS)
+    assert [r["doc_id"] for r in pipeline.near_duplicates(spark, table, "").orderBy("doc_id").collect()] == [None, 0, 2]
+
+
 def test_scratch_uses_the_session_folder(spark):
     assert isinstance(spark.range(1).schema, T.StructType) and shared.work_dir(spark).startswith(("file:", "/"))
