@@ -12,7 +12,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     """node, component (its smallest reachable node) of every node with an edge to another.
 
     ``edges`` has u and v (long). Each round links every node's neighbours to their least, first for larger then for
-    smaller neighbours; it ends when a round leaves only stars. Rounds are written tables, so they don't pile up lineage.
+    smaller neighbours; it ends when a round changes nothing, and
+    ``rounds`` without such an end is an error. Rounds are written tables, so they don't pile up lineage.
     A hub is a key of a two-sided join, which AQE splits.
     """
     now = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
@@ -34,5 +35,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if mark == tuple(new):
             break
         mark = tuple(new)
+    else:
+        raise RuntimeError(f"components did not converge in {rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -382,5 +382,11 @@ def test_near_duplicate_stage_keeps_null_ids(spark):
     assert [r["doc_id"] for r in pipeline.near_duplicates(spark, table, "").orderBy("doc_id").collect()] == [None, 0, 2]
 
 
+def test_components_say_when_they_did_not_converge(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError, match="converge"):
+        graph.components(path, shared.Scratch(spark, "t"), rounds=2)
+
+
 def test_scratch_uses_the_session_folder(spark):
     assert isinstance(spark.range(1).schema, T.StructType) and shared.work_dir(spark).startswith(("file:", "/"))
