@@ -38,23 +38,18 @@ def failure_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1
     )
 
 
-def new_sources(events: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every first sight of a source by an account. State: the account's sources, the latest ``most`` of them."""
+def new_sources(events: DataFrame) -> DataFrame:
+    """Every first sight of a source by an account. State: one flag for each account and source."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
-        known, out = set(seen), []
-        for frame in frames:
-            for row in frame.sort_values("Time").itertuples():
-                if row.Source and row.Source not in known:
-                    known.add(row.Source)
-                    seen.append(row.Source)
-                    out.append((key[0], key[1], row.Time, row.Source))
-        state.update((seen[-most:],))
+        first = min(int(frame["Time"].min()) for frame in frames)
+        out = [] if state.exists else [(key[0], key[1], first, key[2])]
+        state.update((True,))
         yield pd.DataFrame(out, columns=["DomainName", "UserName", "Time", "Source"])
 
     schema = "DomainName string, UserName string, Time long, Source string"
-    return events.groupBy("DomainName", "UserName").applyInPandasWithState(step, schema, "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    known = events.filter("Source <> ''").select("DomainName", "UserName", "Source", "Time")
+    return known.groupBy("DomainName", "UserName", "Source").applyInPandasWithState(step, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def score_by_batch(events: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
