@@ -569,32 +569,36 @@ def b_duplicate_groups(spark, d):
 # ---------------------------------------------------------------- detectors (embeddings)
 
 
-def vectors(spark: SparkSession, d: str, width: int = 8) -> DataFrame:
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The embeddings with a column for each dimension, and these columns."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return e.select("vec_id", (F.col("vec_id") % 4 != 0).alias("train"), (F.col("label") % 2).alias("segment"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(width)])
-
-
-X = [f"x{i}" for i in range(8)]
+    x = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    parts = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(x)]
+    return e.select("vec_id", (F.col("vec_id") % 4 != 0).alias("train"), (F.col("label") % 2).alias("segment"), *parts), x
 
 
 @query("b_isolation_forest")
 def b_isolation_forest(spark, d):
-    return detectors.fit_and_score(vectors(spark, d), F.col("train"), X, "iforest", trees=50).select("vec_id", "iforest_score")
+    v, x = vectors(spark, d)
+    return detectors.fit_and_score(v, F.col("train"), x, "iforest", trees=50).select("vec_id", "iforest_score")
 
 
 @query("b_lof")
 def b_lof(spark, d):
-    return detectors.fit_and_score(vectors(spark, d), F.col("train"), X, "lof").select("vec_id", "lof_score")
+    v, x = vectors(spark, d)
+    return detectors.fit_and_score(v, F.col("train"), x, "lof").select("vec_id", "lof_score")
 
 
 @query("b_ocsvm")
 def b_ocsvm(spark, d):
-    return detectors.fit_and_score(vectors(spark, d), F.col("train"), X, "ocsvm").select("vec_id", "ocsvm_score")
+    v, x = vectors(spark, d)
+    return detectors.fit_and_score(v, F.col("train"), x, "ocsvm").select("vec_id", "ocsvm_score")
 
 
 @query("b_segments")
 def b_segments(spark, d):
-    return detectors.by_segment(vectors(spark, d), F.col("train"), X, "iforest", "segment", [0, 1], trees=20).select("vec_id", "segment", "iforest_score")
+    v, x = vectors(spark, d)
+    return detectors.by_segment(v, F.col("train"), x, "iforest", "segment", [0, 1], trees=20).select("vec_id", "segment", "iforest_score")
 
 
 # ---------------------------------------------------------------- evaluation (labels of documents, scored by length)

@@ -174,6 +174,19 @@ def test_detectors_fit_on_all_rows(spark):
     assert abs(svm.filter("ocsvm_score > 0").count() / 25_500 - 0.05) < 0.01
 
 
+def test_detector_queries_see_every_dimension(spark, tmp_path):
+    import numpy as np
+
+    from sentrylake.plans import catalog
+
+    x = np.random.default_rng(4).normal(size=(120, 12))
+    x[4, :8] = x[0, :8]  # alike in the first 8 dimensions alone
+    spark.createDataFrame([(i, i % 2, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name, score in (("b_isolation_forest", "iforest_score"), ("b_lof", "lof_score")):
+        got = {r["vec_id"]: r[score] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+        assert len(got) == 120 and got[0] != got[4], name
+
+
 def test_quotas():
     assert injection.quota(99, 0.01) == 1
     assert injection.shares(10, {"a": 1, "b": 1, "c": 1}) == {"a": 4, "b": 3, "c": 3}
