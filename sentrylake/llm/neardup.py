@@ -1,23 +1,29 @@
 r"""Near-duplicate groups by fast similarity sketches, banding and exact verification.
 
-1. One pass over the texts gives each document's shingle-set size, a 128-bit set hash and the hashes of its sketch
-   bands. Equal sets fall into one class, represented by its smallest doc_id, whatever its size.
+1. One pass over the texts gives each document's shingle-set size, a 128-bit BLAKE2 digest of its word sequence and the
+   hashes of its sketch bands. Equal sequences fall into one class, represented by its smallest doc_id, whatever its size.
 2. Representatives that share a band are candidates. Each bucket links its members to its least one only (no pairs), and
    connected components of these links are the candidate groups.
-3. Texts of candidate representatives travel to their group once; their full shingle sets are intersected there and
-   links at the threshold kept (a spanning forest of them). A group beyond ``most_members`` or ``most_shingles`` isn't gathered:
-   its buckets are cut into blocks by hash, and each pair of blocks of one bucket is such a task.
+3. Texts of candidate representatives travel to their group once; their full shingle sets are intersected there, as sets
+   of words and not of hashes, and links at the threshold kept (a spanning forest of them). A group beyond
+   ``most_members`` or ``most_shingles`` isn't gathered: its buckets are cut into blocks by hash, as many as keep both
+   bounds, and each pair of blocks of one bucket is such a task.
 4. Components of the verified links give the groups. Nothing but counts reaches the driver.
 
 At 24 bands of 5 coordinates a pair at the threshold of 0.85 is missed with probability below 1e-6 (7e-5 at 0.8).
+Hashes only choose candidates and count shingles; what is linked was compared word by word or by a cryptographic digest.
 
 Defined results: null text, or text without words, has no shingles and is alone; fewer than k words are one shingle;
 rows of one doc_id are one node; a null doc_id is linked with nothing and is kept; ties don't occur, as components are
-named by the least doc_id; an empty table gives an empty result; extra columns are ignored.
+named by the least doc_id; an empty table gives an empty result; extra columns are ignored. doc_id
+is cast to long, so text that is no number raises an error. One text is never split: a worker needs memory for the
+shingles of its longest text, about 60 bytes a word.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +52,28 @@ def shingle_sets(column, k: int):
                 yield first + i, np.zeros(0, np.uint64)
 
 
+def exact_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as numbers that are equal where all words are equal, and nowhere else."""
+    numbers: dict[bytes, int] = {}
+    parts = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
+    bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    grams = flat
+    for j in range(1, k):  # a run of j + 1 words is a numbered run of j words and one more word
+        grams = np.unique(grams[: max(0, len(flat) - j)] * len(numbers) + flat[j:], return_inverse=True)[1]
+    few: dict[bytes, int] = {}
+    out = []
+    for a, b, own in zip(bounds, bounds[1:], parts):
+        if b - a >= k:
+            out.append(np.unique(grams[a : b - k + 1]))
+        else:  # one shingle, unlike every longer one
+            out.append(np.array([-1 - few.setdefault(own.tobytes(), len(few))] if b > a else [], np.int64))
+    return out
+
+
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """Fast similarity sketches, t coordinates each. Sets must not be empty.
 
@@ -69,12 +97,11 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
 
 
 def sketched(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), a and b (set hash), bands array<long> (null for an empty set)."""
+    """doc_id, n (set size), digest (of the words, null for none), bands array<long>."""
 
     def work(batches):
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
-            a, b = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
             out = np.zeros((batch.num_rows, bands), np.uint64)
             held: list[np.ndarray] = []
             where: list[int] = []
@@ -91,16 +118,18 @@ def sketched(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
             for i, own in shingle_sets(batch.column("text"), k):
                 if len(own):
-                    n[i], a[i], b[i] = len(own), own.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(own + _SEED))
+                    n[i] = len(own)
                     held.append(own)
                     where.append(i)
                     if len(own) > 1 << 18 or len(held) >= 512:
                         flush()
             flush()
+            words = [b" ".join((t or "").encode().lower().split()) for t in batch.column("text").to_pylist()]
+            digests = pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in words], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, bands, dtype=np.int32)), pa.array(out.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["doc_id", "n", "a", "b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), digests, lists], ["doc_id", "n", "digest", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), "doc_id long, n long, a long, b long, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), "doc_id long, n long, digest binary, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], per_hundred: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -158,9 +187,7 @@ def verify(gathered: DataFrame, keys: list[str], k: int, per_hundred: int) -> Da
 
     def group(t: pa.Table) -> pa.Table:
         docs = t.column("doc_id").to_numpy()
-        sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(docs)
-        for i, own in shingle_sets(t.column("text"), k):
-            sets[i] = own
+        sets = exact_sets(t.column("text").to_pylist(), k)
         sides = t.column("side").to_pylist()
         side = None if any(s is None for s in sides) or len(set(sides)) < 2 else np.array(sides)
         pairs = linked(sets, per_hundred, side)
@@ -186,11 +213,11 @@ def near_duplicates(
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_ = scratch.write(sketched(docs, shingle, bands, rows), "sketches")
     some = all_.filter("n > 0 and doc_id is not null")
-    classes = scratch.write(some.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    classes = scratch.write(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     placed = classes.select("rep", "n", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    buckets = placed.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
     stars = placed.join(buckets, "band").filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    # rows of one doc_id with different sets are one node already; their least class speaks for them
+    # rows of one doc_id with different words are one node already; their least class speaks for them
     group = scratch.write(components(stars, scratch), "candidates")
     weight = classes.groupBy("rep").agg(F.max("n").alias("n")).join(group, F.col("rep") == F.col("node")).groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
     weight = weight.withColumn("whole", (F.col("members") <= most_members) & (F.col("n") <= most_shingles)).select("component", "whole")
@@ -202,13 +229,13 @@ def near_duplicates(
     large = group.filter("not whole")
     if large.limit(1).count():
         inside = placed.join(large.select(F.col("node").alias("rep")), "rep").join(buckets, "band")
-        inside = inside.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        inside = inside.withColumn("blocks", F.ceil(F.greatest(F.col("members") / block, 2 * F.col("shingles") / most_shingles)).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         unit = inside.select("rep", "band", F.col("mine").cast("long").alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         unit = unit.select("band", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), F.col("rep").alias("doc_id"), "side")
         blocks = texts.join(unit, "doc_id").select("band", "lo", "hi", "doc_id", "side", "text")
         links = links.unionByName(scratch.write(verify(blocks, ["band", "lo", "hi"], shingle, threshold), "block-links"))
     # copies: every class of a document is one node with it
-    same = some.join(classes.drop("bands"), ["n", "a", "b"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    same = some.join(classes.select("digest", "rep"), "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = scratch.write(components(links.unionByName(same), scratch), "components")
     return (
         all_.join(found, F.col("doc_id") == F.col("node"), "left")

@@ -39,10 +39,22 @@ def little_endian(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+#: letters below this code point keep to the letters when composed and lower-cased, but for the one that ``isalpha`` tells
+EUROPEAN = "\u0530"
+
+
 def plain_form(word: str) -> tuple[str, str]:
-    """A word and its one closing sign; the word lower-cased where that is ASCII. Their ids, one after the other, are the word's."""
-    base, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[:-1].isalpha() else (word, "")
-    return (base.lower() if base.isascii() and base.isalpha() else base), tail
+    """A word and its one closing sign; the word lower-cased where that is ASCII. Their ids, one after the other, are the word's.
+
+    The sign is a pre-token of its own only after a letter of the composed and lower-cased word. U+0130 becomes a letter
+    and a mark, and marks join the sign, so the lower-cased word must be letters too; other scripts are not taken apart.
+    """
+    base, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
+    if not base.isalpha():
+        return word, ""
+    if base.isascii():
+        return base.lower(), tail
+    return (base, tail) if max(base) < EUROPEAN and base.lower().isalpha() else (word, "")
 
 
 def token_bytes(texts: list[str], tokenizer_path: str, cache: int) -> "list[bytes]":
@@ -197,9 +209,10 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-
     return plan
 
 
-def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, step: int = 8, buckets: int | None = None, cache: int = 800_000) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, step: int = 8, buckets: int | None = None, cache: int = 800_000, rank_rows: int = 500_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long), one row per piece.
 
+    Ranks are dealt to ``buckets``, by default one for every ``rank_rows`` pieces, so that a bucket doesn't grow with the input.
     ``cache`` bounds the words that a worker keeps spelt, at about 200 bytes each.
     """
     if capacity % step:
@@ -207,7 +220,7 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
     spark = documents.sparkSession
     scratch = Scratch(spark, "pack")
     pieces = scratch.write(cut(documents, tokenizer_path, end_id, capacity, cache), "pieces")
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces.count() // rank_rows)
     pieces = pieces.withColumn("cls", F.ceil(F.col("length") / step).cast("long")).withColumn("b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n)))
     per = pieces.groupBy("cls", "b").agg(F.count("*").alias("n"))
     base = F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -19,11 +20,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset (local mode)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir``. Only a local master, whose executors see its disk, gets a folder of its own."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(context, "_sentrylake_work", None):
         context._sentrylake_work = tempfile.mkdtemp(prefix="sentrylake-")
         atexit.register(shutil.rmtree, context._sentrylake_work, ignore_errors=True)
@@ -109,22 +112,14 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_power = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _power
-    if len(_power) < n:
-        _power = np.full(max(n, 1 << 20), _STEP, np.uint64)
-        _power[0] = 1
-        np.multiply.accumulate(_power, out=_power)
-    return _power
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit; distinct inputs stay distinct."""
+    """A 64-bit finaliser: every input bit reaches every output bit; distinct inputs stay distinct.
+
+    Its constants, and the step above, are the fixed values of the public SplitMix64 generator.
+    """
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
@@ -160,27 +155,29 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """64-bit hash of each word's bytes, the same wherever the word stands."""
-    size = 1 << max(20, int(len(data)).bit_length())
-    powers = _powers(size)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE[_FOLD] if fold else _BYTE)[data] * powers[: len(data)], out=total[1:])
-    sums = total[ends] - total[starts]
-    # scaled to one exponent, by the inverse power of the start
-    return mix(sums * _inverse(len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+_LOW_BYTES = np.concatenate(([0xFFFFFFFFFFFFFFFF], (np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)) - np.uint64(1))).astype(np.uint64)
 
 
-_inv = np.ones(1, np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, longest: int = 64) -> np.ndarray:
+    """64-bit hash of each word's bytes, the same wherever the word stands.
 
-
-def _inverse(n: int) -> np.ndarray:
-    global _inv
-    if len(_inv) < n:
-        _inv = np.full(max(n, 1 << 20), np.uint64(pow(int(_STEP), -1, 1 << 64)), np.uint64)
-        _inv[0] = 1
-        np.multiply.accumulate(_inv, out=_inv)
-    return _inv
+    Eight bytes at a time go through ``mix``, which is not linear; words over ``longest`` bytes take BLAKE2.
+    """
+    if fold:
+        data = _FOLD[data]
+    size = ends - starts
+    out = mix((size + 1).astype(np.uint64) * _STEP)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    rows = np.flatnonzero(size <= longest)
+    at, left = starts[rows], size[rows]
+    while len(rows):
+        part = padded[at[:, None] + np.arange(8)].view("<u8").ravel() & _LOW_BYTES[np.where(left < 8, left, 0)]
+        out[rows] = mix(out[rows] + _STEP ^ part)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > longest).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 _GRAM = mix(np.arange(1, 257, dtype=np.uint64) * _STEP) | np.uint64(1)

@@ -390,3 +390,52 @@ def test_components_say_when_they_did_not_converge(spark):
 
 def test_scratch_uses_the_session_folder(spark):
     assert isinstance(spark.range(1).schema, T.StructType) and shared.work_dir(spark).startswith(("file:", "/"))
+
+
+def test_packing_ids_are_the_tokenizers(vocabulary):
+    """Marks, signs and letters that change when lower-cased or composed, against the tokenizer on whole texts."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, r = str(vocabulary.path("word_bpe_49k.json")), random.Random(3)
+    pool = [*"İIıiſKΣσßÀéŞşЯ中हक़̇́̈.,.,.,  \n\t'’sdt-<|>1２\xa0\x0b\x85", "Türki", "the", "<|endoftext|>", "İSTANBUL", "ALİ"]
+    texts = ["TÜRKİ, var", "İSTANBUL İLİ.", "ALİ, geldi"] + ["".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(20_000)]
+    want = [packing.little_endian(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert packing.token_bytes(texts, path, 50_000) == want
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_in_a_polynomial_hash_are_not_linked(spark):
+    one, other = thue_morse(2048), thue_morse(2048).translate(str.maketrans("ab", "ba"))
+    texts = [f"{w} {w} {w} {w} {w} {w} {w}" for w in (one, other)] + [one, other, one.upper()]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+    assert len({s.tobytes() for s in neardup.exact_sets(texts, 5)}) == 4
+
+
+def test_exact_sets_are_the_sets_of_words():
+    texts = ["a b c d e f a b c d e", "A B c d e  f", "a b", "b a", "A\tb", None, "", "a b c d e"]
+    ours, sets = neardup.exact_sets(texts, 5), sets_of(texts)
+    assert [len(x) for x in ours] == [len(x) for x in sets]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert len(np.intersect1d(ours[i], ours[j])) == len(sets[i] & sets[j])
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_duplicates_miss_no_pair_at_the_threshold(spark, threshold):
+    """Changes that bring pairs to just above and below the threshold, against all pairs."""
+    r, texts = np.random.default_rng(threshold), []
+    for group in range(40):
+        words = prose(1000 + group, 200).split()
+        for _ in range(6):
+            own = list(words)
+            for at in r.choice(39, r.integers(0, 5), replace=False):
+                own[5 * at + 2] = f"x{r.integers(1000)}"
+            texts.append(" ".join(own))
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(spark, texts), threshold).collect()}
+    expected = brute_components(sets_of(texts), threshold)
+    assert [got[i] for i in range(len(texts))] == expected and 40 < len(set(expected)) < 200
