@@ -333,10 +333,10 @@ def test_every_kind_is_found_alone():
 
 
 def test_surrogate_collisions_are_drawn_again(spark):
-    """Four-digit passwords fill a third of their format, so first draws must collide."""
-    texts = [f"password={i:04d}" for i in range(0, 10_000, 3)]
-    table = docs(spark, texts)
-    for listed in (100_000, 10):
+    """Four-digit passwords fill a third of their format, so first draws must collide, or all of it, so that it must grow."""
+    for step, listed in ((3, 100_000), (3, 10), (1, 100_000)):
+        texts = [f"password={i:04d}" for i in range(0, 10_000, step)]
+        table = docs(spark, texts)
         out = [r["text"][9:] for r in surrogate.replace_entities(table, b"key", most_listed=listed).collect()]
         assert len(set(out)) == len(texts) and not set(out) & {t[9:] for t in texts}
 
@@ -439,3 +439,58 @@ def test_near_duplicates_miss_no_pair_at_the_threshold(spark, threshold):
     got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(spark, texts), threshold).collect()}
     expected = brute_components(sets_of(texts), threshold)
     assert [got[i] for i in range(len(texts))] == expected and 40 < len(set(expected)) < 200
+
+
+def rewritten(text):
+    parts, last = [], 0
+    for start, end, _, pieces in surrogate.entities(text):
+        parts += [text[last:start], *(surrogate.written(k, x, surrogate.draw(b"key", k, n, 0)) if k else x for k, n, x in pieces)]
+        last = end
+    return "".join(parts) + text[last:]
+
+
+def test_surrogates_keep_format_and_type():
+    out = rewritten("Mr JOHN SMITH and Mr John Smith")
+    assert re.fullmatch(r"Mr ([A-Z]+ [A-Z]+) and Mr (\w+ \w+)", out) and out[3:].split(" and ")[0] == out.split(" and Mr ")[1].upper() and "JOHN" not in out
+    for text, code in (("+44 20 7946 0958", "+44 "), ("+49 30 901820", "+49 "), ("+1 (569) 555-8554", "+1 ("), ("+420 601 123 456", "+420 ")):
+        out = rewritten(text)
+        assert out != text and out.startswith(code) and re.sub(r"\d", "0", out) == re.sub(r"\d", "0", text)
+    for text in ("2024-01-15 2020 2021 12", "1700000000000 ms", "10:30:45 std::x", "Don Quixote"):
+        assert rewritten(text) == text
+    iban = rewritten("DE89 3704 0044 0532 0130 00").replace(" ", "")
+    assert iban.startswith("DE") and int(iban[2:4]) == surrogate.iban_check("DE", iban[4:])
+    bad = rewritten("DE88370400440532013000")
+    assert int(bad[2:4]) != surrogate.iban_check("DE", bad[4:])
+    long, short = rewritten("2001:0db8:0000:0000:0000:0000:0000:0001 2001:db8::1").split()
+    assert long.startswith("2001:") and len(long) == 39 and surrogate.address(short) == long and not long.endswith(":0001")
+    assert re.fullmatch(r"[a-z]@\w+\.de", rewritten("a@bücher.de")) and "bücher" not in rewritten("a@bücher.de")
+
+
+def test_names_are_one_entity_wherever_they_stand():
+    assert "Petrov" not in (out := rewritten("Mr Ivan Petrov visited. Petrov said")) and out.split()[2].rstrip(".") == out.split()[-2]
+    pair = rewritten("Mr Jean Dupont et Mme Dupont").split()
+    assert pair[2] == pair[-1] != "Dupont"
+    both = rewritten("Dr Anna Brown; Mrs Anna Smith").replace(";", "").split()
+    assert both[1] == both[4] and both[1].endswith("a") and both[2] != both[5]
+    assert rewritten("Brown bread") == "Brown bread"
+
+
+@pytest.mark.parametrize("kind,norm", [("phone", "5551234"), ("card", "4041894974608795"), ("ssn", "946170896"), ("iban", "DE89370400440532013000"), ("ip", "10.1.2.3"), ("family", "smith"), ("email", "a@b.org"), ("password", "1234")])
+def test_late_attempts_grow_and_are_printed(kind, norm):
+    """A format without room gets longer, and what is checked for distinctness is what is printed."""
+    shape = {"phone": "555-1234", "ssn": "946-17-0896"}.get(kind, norm)
+    sizes = [len(surrogate.written(kind, shape, surrogate.draw(b"key", kind, norm, a))) for a in range(8, 14)]
+    assert sizes[-1] > len(shape) and sizes[-1] > sizes[0]
+    seen = [surrogate.written(kind, shape, surrogate.draw(b"key", kind, norm, a)) for a in range(30)]
+    faces = [surrogate.face(kind, surrogate.draw(b"key", kind, norm, a)) for a in range(30)]
+    assert [x == seen[0] for x in seen] == [x == faces[0] for x in faces]
+
+
+@pytest.mark.parametrize("unit", ["a", "a.", "1 ", "1-", "a@", "sk-", ":1", "A1", "'A", "Mr A", "token ", "+1"])
+def test_detection_is_linear(unit):
+    import time
+
+    text = (unit * 1_000_000)[:1_000_000] + " 1@"
+    began = time.perf_counter()
+    list(surrogate.entities(text))
+    assert time.perf_counter() - began < 5
