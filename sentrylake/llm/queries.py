@@ -133,5 +133,25 @@ c AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT u.b, c.r FROM c JOIN u ON u
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r) AS component_id, min(r) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id, n.n"""
 
 
+#: windows by recursion over the turns: tokens used so far, and characters written so far
+OP10_SQL = r"""
+WITH RECURSIVE a AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+b AS (SELECT *, length(regexp_replace(text, '[^\\<\[]', '', 'g')) AS signs, length(regexp_replace(role, '[^\\<\[]', '', 'g')) AS role_signs, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM a),
+c AS (SELECT *, CAST(ceil((length(text) + signs) / 3.0) AS BIGINT) + strlen(text) - length(text) + 6 AS n, length(text) + signs + length(role) + role_signs + 13 AS size, CASE WHEN i = 0 AND role = 'system' THEN 1 ELSE 0 END AS is_system FROM b),
+d AS (SELECT *, max(is_system) OVER p AS lowest, max(is_system * n) OVER p AS system_n, max(is_system * size) OVER p AS system_size, lag(n, 1) OVER o AS n1, lag(n, 2) OVER o AS n2, lag(size, 1) OVER o AS size1, lag(size, 2) OVER o AS size2, coalesce(floor(turn / 512) <> lag(floor(turn / 512)) OVER o, false) AS part_begins
+  FROM c WINDOW p AS (PARTITION BY conv_id), o AS (PARTITION BY conv_id ORDER BY i)),
+e AS (SELECT *, coalesce(i - 1 >= lowest AND n1 <= least(192, 1024 - system_n - n), false) AS one, coalesce(i - 2 >= lowest AND n1 + n2 <= least(192, 1024 - system_n - n), false) AS two FROM d),
+f AS (SELECT *, CASE WHEN two THEN n1 + n2 WHEN one THEN n1 ELSE 0 END AS again_n, CASE WHEN two THEN size1 + size2 WHEN one THEN size1 ELSE 0 END AS again_size FROM e),
+r AS (
+  SELECT conv_id, i, n AS used, size AS chars FROM f WHERE i = 0
+  UNION ALL
+  SELECT f.conv_id, f.i, CASE WHEN used + n <= 1024 AND NOT part_begins THEN used + n ELSE system_n + again_n + n END, chars + size + CASE WHEN used + n <= 1024 AND NOT part_begins THEN 0 ELSE system_size + again_size END FROM r JOIN f ON f.conv_id = r.conv_id AND f.i = r.i + 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(max(chars) AS BIGINT) AS formatted_chars
+FROM b JOIN r USING (conv_id, i) GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op10_chat": OP10_SQL}

@@ -494,3 +494,25 @@ def test_detection_is_linear(unit):
     began = time.perf_counter()
     list(surrogate.entities(text))
     assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("limits", [{}, {"block_turns": 40}, {"most_turns": 7}, {"most_bytes": 900}])
+def test_chat_windows_are_filled(spark, limits):
+    """Every way of dealing a conversation out gives the turns back, and spans end only where the next turn does not fit."""
+    r = np.random.default_rng(4)
+    said = [(c, None if c == 3 else i, "system" if i == 0 and c != 2 else "assistant" if i % 2 else "user", f"{i:03d} " + "word " * int(r.integers(1, 60))) for c in (1, 2, 3, None) for i in range(150)]
+    said += said[:1]
+    windows = chat.budgeted_windows(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"), budget=400, history_tokens=80, **limits)
+    got = {x["conv_id"]: x for x in chat.read_back(windows).collect()}
+    for conv in (1, 2, 3, None):
+        turns = sorted(((-1 if t is None else t, role, x) for c, t, role, x in said if c == conv))
+        assert got[conv]["n_turns"] == len(turns)
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{x}\n" for _, role, x in turns).encode()).hexdigest()
+        assert got[conv]["loss_sha256"] == hashlib.sha256("".join(x for _, role, x in turns if role == "assistant").encode()).hexdigest()
+    rows = windows.filter("conv_id is not null and conv_id < 3").orderBy("conv_id", "window").collect()
+    assert all(w["n_tokens"] <= 400 for w in rows)
+    assert all(w["formatted"].startswith("<|system|>") for w in rows if w["conv_id"] == 1)
+    assert all(w["n_repeated"] > 0 for w in rows if w["conv_id"] == 1 and w["window"] > 0)
+    if not limits:
+        full = [w["n_tokens"] for a, w in zip(rows[1:], rows) if a["conv_id"] == w["conv_id"]]
+        assert len(full) > 20 and np.mean(full) > 0.8 * 400
