@@ -1,10 +1,15 @@
 r"""LM scoring by subword lattices: the marginal likelihood of a text over all its segmentations.
 
-The pieces of an existing vocabulary and its rank scores give a first unigram distribution; the expected piece counts
-of all training words under it (forward-backward, one pass over the word table) give the final one. Texts are words,
-each led by the word sign, and an end. No piece spans words, so the log-space forward recursion of a text is the sum of
-its words' recursions, and each distinct word is solved once, in the word table. Any character can also be spelt by its
-byte pieces, so every text has a positive probability.
+The lattice of a text has the pieces of an existing vocabulary as arcs, weighted by the vocabulary's scores, byte pieces
+for any character, and one arc for each whole word that training texts have. A text is its words, each led by the word sign, and
+an end. No arc spans words, so the log-space forward recursion of a text is the sum of its words' recursions, and each
+distinct word is solved once, in the word table.
+
+The vocabulary's scores are ranks, so a piece of rank r weighs (r + 10) ** -t; the exponent t is fitted to the training
+words. These weights alone give ``vocabulary_score``. For ``score`` they are the prior, worth ``prior`` pieces, of the expected piece
+counts of the distinct training words (forward-backward, two passes over the word table), and whole-word arcs carry
+the training counts less an absolute discount; what is discounted is the mass of the pieces. Either is a probability over
+all texts: pieces led by the word sign share the mass that ends a word.
 
 Texts are dealt to chunks that follow the input's size. A chunk sends its distinct words with their counts to the word
 table and gets back its words with their counts and likelihoods: what is shuffled grows with the chunks' vocabularies,
@@ -12,7 +17,7 @@ not with tokens, and no table is broadcast but the vocabulary file's.
 
 Defined results: null or empty text is its end token; rows not marked for training teach nothing; with no training
 rows the vocabulary's own scores hold; equal rows count each and get equal scores; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored; doc_id is cast to long, so text that is no number raises an error.
 """
 
 from __future__ import annotations
@@ -156,8 +161,21 @@ def chunked(documents: DataFrame, chunks: int) -> DataFrame:
     return documents.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
 
-def score(documents: DataFrame, vocabulary_path: str, training: str = "train", chunk_bytes: int = 16 << 20, alpha: float = 0.1) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens long, base_score, score double per row; ``training`` names a boolean column."""
+def fitted_exponent(expected: np.ndarray) -> float:
+    """The t whose weights (rank + 10) ** -t make the expected piece counts most likely: their mean log rank is the weights' own."""
+    logs = np.log(np.arange(len(expected)) + 10.0)
+    if not expected.sum():
+        return 1.0
+    wanted, low, high = float(expected @ logs / expected.sum()), 0.0, 8.0
+    for _ in range(60):
+        t = (low + high) / 2
+        weights = np.exp(-t * logs)
+        low, high = (t, high) if float(weights @ logs / weights.sum()) > wanted else (low, t)
+    return (low + high) / 2
+
+
+def score(documents: DataFrame, vocabulary_path: str, training: str = "train", chunk_bytes: int = 16 << 20, prior: float = 2000.0) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens long, base_score, score, vocabulary_score double per row; ``training`` names a boolean column."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "lattice")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(training), F.lit(False)).alias("train"))
@@ -181,49 +199,67 @@ def score(documents: DataFrame, vocabulary_path: str, training: str = "train", c
 
     chunk_words = scratch.write(docs.groupBy("chunk").applyInArrow(vocabulary, "chunk int, word binary, n long"), "chunk-words")
     counts = scratch.write(chunk_words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    n, v = int(tokens) + ends, int(kinds) + (ends > 0)
+    told = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    tokens, kinds, once, twice = map(int, told)
+    n, v = tokens + ends, kinds + (ends > 0)
 
     pieces = read_vocabulary(vocabulary_path)
-    first = -np.log(np.arange(len(pieces)) + 10.0)
-    first -= np.log(np.exp(first).sum())
+    ranks = np.log(np.arange(len(pieces)) + 10.0)
 
-    def expect(batches):
-        lattice, expected = Lattice(pieces, first), np.zeros(len(pieces))
-        for batch in batches:
-            words = [w.decode() for w in batch.column("word").to_pylist()]
-            lattice.words(words, expected, batch.column("c").to_numpy().astype(float))
-        at = np.flatnonzero(expected)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(expected[at])], ["piece", "n"])
-
-    learned = np.zeros(len(pieces))
-    for r in counts.filter("c > 0").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # as many rows as the vocabulary file has
-        learned[r["piece"]] = r["n"]
-    total = learned.sum() + ends
-    log_p = np.log((learned + alpha) / (total + alpha * (len(pieces) + 1))) if total else first + np.log(0.999)
-    log_end = float(np.log((ends + alpha) / (total + alpha * (len(pieces) + 1)))) if total else float(np.log(0.001))
+    def expected_counts(log_p: np.ndarray) -> np.ndarray:
+        """Expected piece counts of the distinct training words; as many rows as the vocabulary file has come back."""
+
+        def expect(batches):
+            lattice, expected = Lattice(pieces, log_p), np.zeros(len(pieces))
+            for batch in batches:
+                lattice.words([w.decode() for w in batch.column("word").to_pylist()], expected, np.ones(batch.num_rows))
+            at = np.flatnonzero(expected)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(expected[at])], ["piece", "n"])
+
+        out = np.zeros(len(pieces))
+        for r in counts.filter("c > 0").select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            out[r["piece"]] = r["n"]
+        return out
+
+    own = -ranks - np.logaddexp.reduce(-ranks)
+    learned = own
+    if kinds:
+        expected = expected_counts(own)
+        t = fitted_exponent(expected)
+        own = -t * ranks - np.logaddexp.reduce(-t * ranks)
+        for step in range(2):
+            learned = np.log((expected + prior * np.exp(own)) / (expected.sum() + prior))
+            if not step:
+                expected = expected_counts(learned)
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once + twice else 0.5
+    # one token more than there are, half of it an end and half of it an unknown word
+    log_end = float(np.log((ends + 0.5) / (n + 1)))
+    log_new = float(np.log((discount * kinds + 0.5) / (n + 1)))
+    log_word = float(np.log1p(-np.exp(log_end)))
 
     def solve(batches):
-        lattice = Lattice(pieces, log_p)
+        trained, bare = Lattice(pieces, learned), Lattice(pieces, own)
         for batch in batches:
-            found = lattice.words([w.decode() for w in batch.column("word").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], ["word", "c", "lp"])
+            words, c = [w.decode() for w in batch.column("word").to_pylist()], batch.column("c").to_numpy()
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.maximum(c - discount, 0) / (n + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.logaddexp(whole, log_new + trained.words(words))), pa.array(log_word + bare.words(words))], ["word", "c", "lp", "vp"])
 
-    solved = scratch.write(counts.select("word", "c").mapInArrow(solve, "word binary, c long, lp double"), "solved")
+    solved = scratch.write(counts.select("word", "c").mapInArrow(solve, "word binary, c long, lp double, vp double"), "solved")
     back = chunk_words.select("chunk", "word").join(solved, "word")
     unit = n + 0.5 * (v + 1)
 
     def read(left, right):
         place = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        c, lp = right.column("c").to_numpy(), right.column("lp").to_numpy() / LOG10
+        c, lp, vp = right.column("c").to_numpy(), right.column("lp").to_numpy() / LOG10, right.column("vp").to_numpy() / LOG10
         base = np.log10((c + 0.5) / unit)
-        end_base, end_known = float(np.log10((ends + 0.5) / unit)), int(ends > 0)
+        end_base, end_known, end_own = float(np.log10((ends + 0.5) / unit)), int(ends > 0), log_end / LOG10
         out: list[tuple] = []
         for text in left.column("text").to_pylist():
             words = text.encode().lower().split()
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            out.append((len(words) + 1, int((c[at] > 0).sum()) + end_known, float(base[at].sum()) + end_base, float(lp[at].sum()) + log_end / LOG10))
-        cols = list(zip(*out)) if out else [[]] * 4
+            out.append((len(words) + 1, int((c[at] > 0).sum()) + end_known, float(base[at].sum()) + end_base, float(lp[at].sum()) + end_own, float(vp[at].sum()) + end_own))
+        cols = list(zip(*out)) if out else [[]] * 5
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
@@ -232,8 +268,9 @@ def score(documents: DataFrame, vocabulary_path: str, training: str = "train", c
                 "train_tokens": pa.array([n] * left.num_rows, pa.int64()),
                 "base_score": pa.array(cols[2], pa.float64()),
                 "score": pa.array(cols[3], pa.float64()),
+                "vocabulary_score": pa.array(cols[4], pa.float64()),
             }
         )
 
-    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, vocabulary_score double"
     return docs.select("chunk", "doc_id", "text").repartition(chunks, "chunk").groupBy("chunk").cogroup(back.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(read, schema)

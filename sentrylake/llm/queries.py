@@ -46,7 +46,7 @@ def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(bucket_of("doc_id", 5) == 1, F.lit(False))
     scored = lattice.score(docs.withColumn("train", ~held_out), tokenizer_path(PIECES))
-    return scored.select("doc_id", F.coalesce(bucket_of("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", F.coalesce(bucket_of("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary_score")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -516,3 +516,58 @@ def test_chat_windows_are_filled(spark, limits):
     if not limits:
         full = [w["n_tokens"] for a, w in zip(rows[1:], rows) if a["conv_id"] == w["conv_id"]]
         assert len(full) > 20 and np.mean(full) > 0.8 * 400
+
+
+def test_lattice_scores_of_documents(spark, vocabulary):
+    """Counts, base and both scores of documents against their definitions; a trained score beats the vocabulary's own on held-out texts."""
+    path = str(vocabulary.path("piece_bpe_32k.model"))
+    texts = [prose(i, 60) + (" Twice twice\x0bunseen" + str(i) if i % 3 else "") for i in range(40)] + [None, ""]
+    table = docs(spark, texts).withColumn("train", F.col("doc_id") % 4 != 1)
+    got = {r["doc_id"]: r for r in lattice.score(table, path, prior=50.0).collect()}
+    words = {i: [w.decode() for w in (t or "").encode().lower().split()] for i, t in enumerate(texts)}
+    train = [i for i in words if i % 4 != 1]
+    count = {}
+    for i in train:
+        for w in words[i]:
+            count[w] = count.get(w, 0) + 1
+    n, v, ends, kinds = sum(count.values()) + len(train), len(count) + 1, len(train), len(count)
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.9)
+
+    pieces = lattice.read_vocabulary(path)
+    ranks = np.log(np.arange(len(pieces)) + 10.0)
+    own = -ranks - np.log(np.exp(-ranks).sum())
+
+    def expected(weights):
+        out = np.zeros(len(pieces))
+        lattice.Lattice(pieces, weights).words(list(count), out, np.ones(kinds))
+        return out
+
+    first = expected(own)
+    t = lattice.fitted_exponent(first)
+    likelihood = lambda x: first @ (-x * ranks - np.log(np.exp(-x * ranks).sum()))
+    assert likelihood(t) > max(likelihood(t - 0.01), likelihood(t + 0.01))
+    own = -t * ranks - np.log(np.exp(-t * ranks).sum())
+    learned = np.log((first + 50 * np.exp(own)) / (first.sum() + 50))
+    second = expected(learned)
+    learned = np.log((second + 50 * np.exp(own)) / (second.sum() + 50))
+    trained, bare = lattice.Lattice(pieces, learned), lattice.Lattice(pieces, own)
+    end = np.log10((ends + 0.5) / (n + 1))
+    for i, own_words in words.items():
+        r, c = got[i], np.array([count.get(w, 0) for w in own_words])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own_words) + 1, int((c > 0).sum()) + 1, n)
+        assert r["base_score"] == pytest.approx(sum(np.log10((x + 0.5) / (n + 0.5 * (v + 1))) for x in [*c, ends]))
+        p = np.maximum(c - discount, 0) / (n + 1) + (discount * kinds + 0.5) / (n + 1) * np.exp(trained.words(own_words)) if own_words else c
+        assert r["score"] == pytest.approx(np.log10(p).sum() + end)
+        assert r["vocabulary_score"] == pytest.approx((np.log(1 - 10**end) * len(own_words) + bare.words(own_words).sum()) / np.log(10) + end)
+    held = [i for i in words if i % 4 == 1 and words[i]]
+    assert sum(got[i]["score"] for i in held) > 0.8 * sum(got[i]["vocabulary_score"] for i in held)
+
+
+def test_word_probabilities_do_not_exceed_one(vocabulary):
+    """All words of a small alphabet: pieces that begin one have 0.4, those that go on 0.5, so their sum tends to 0.4 / (1 - 0.5)."""
+    pieces = ["▁", "a", "b", "▁a", "ab", "<0xE2>"]
+    p = np.log([0.3, 0.2, 0.2, 0.1, 0.1, 0.1])
+    words = ["".join(x) for k in range(1, 9) for x in itertools.product("ab", repeat=k)]
+    byte = lattice.Lattice(pieces + [f"<0x{i:02X}>" for i in range(256) if i != 0xE2], np.concatenate((p, np.full(255, -50.0))))
+    assert 0.79 < np.exp(byte.words([""] + words)).sum() <= 0.8
