@@ -4,17 +4,20 @@ r"""Substring deduplication: passages of at least ``window`` words that stand an
    equal minimizers at equal places, so a window can only repeat if its minimizer does. Minimizer hashes are counted
    over all documents; texts with a repeated one are joined once and written.
 2. A minimizer's segment is the run of windows that it rules; every window lies in one segment. Equal segments are
-   counted before they move (copies of a passage are one row per task): what is counted twice repeats as a whole.
-   Where a minimizer has several segments they go to its shard; one with more than ``most_segments`` of them is cut into its single windows,
-   dealt out by their own hash, so no frequent passage gathers in one task.
+   counted before they move (copies of a passage are one row per task), and travel once with their number. A segment that
+   is alone under its minimizer can't repeat; all others go to the minimizer's shard. A minimizer with more than
+   ``most_segments`` of them has its segments cut into single windows, dealt out by their own hash, so no frequent
+   passage gathers in one task. Minimizers only route: what may be equal meets in one shard.
 3. A shard's segments are one text of word numbers under a compressed FM-index: a wavelet matrix of the Burrows-Wheeler
-   transform, in packed bits with ranks per 64. Segments found once are streamed against it: backward search gives each
-   end's matching statistic, up to ``window``; where it reaches that and stands twice, the interval is reported.
+   transform, in packed bits with ranks per 64, and the sums of the segments' numbers in suffix order. All its
+   segments are streamed against it: backward search gives each place's matching statistic, the length up to ``window``
+   of the longest run ending there that stands in two places or more; the intervals where it reaches ``window`` are reported.
 4. Intervals go back to the documents by segment; covered words are dropped, judged on the input alone.
 
 Defined results: null, empty or shorter texts lose nothing; a passage repeated inside one text counts; rows equal in
 doc_id and text are separate places of that text, and both lose it; rows of one doc_id with different texts are judged
-each; null doc_id rows take part like others; an empty table gives an empty result; extra columns are ignored.
+each; null doc_id rows take part like others; an empty table gives an empty result; extra columns are ignored; doc_id is
+cast to long, so text that is no number raises an error.
 """
 
 from __future__ import annotations
@@ -59,9 +62,12 @@ def runs(places: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Counts occurrences of word runs in an array of symbols (small non-negative integers, 0 kept for the end)."""
+    """Counts occurrences of word runs in an array of symbols (small non-negative integers, 0 kept for the end).
 
-    def __init__(self, symbols: np.ndarray, depth: int):
+    An occurrence counts ``times`` of its place, 1 by default.
+    """
+
+    def __init__(self, symbols: np.ndarray, depth: int, times: np.ndarray | None = None):
         text = np.concatenate((symbols + 1, [0]))
         n = len(text)
         rank, length = text.astype(np.int64), 1
@@ -77,6 +83,8 @@ class FMIndex:
             if length > depth or int(rank.max()) == n - 1:
                 break
         bwt = text[order - 1]
+        own = np.concatenate((np.ones(n - 1, np.int64) if times is None else times, [0]))
+        self.upto = np.concatenate(([0], np.cumsum(own[order])))
         self.n, self.sigma = n, int(text.max()) + 1
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.sigma))))
         self.levels = max(1, (self.sigma - 1).bit_length())
@@ -103,19 +111,21 @@ class FMIndex:
         base = self.before[symbol] - self.origin[symbol]
         return base + self._down(symbol, low), base + self._down(symbol, high)
 
-    def repeated(self, symbols: np.ndarray, stops: np.ndarray, window: int) -> np.ndarray:
-        """Of the runs that end before ``stops``: is the matching statistic (for two places or more) the whole window?"""
+    def matching(self, symbols: np.ndarray, stops: np.ndarray, longest: int) -> np.ndarray:
+        """Matching statistics: the length, up to ``longest``, of the longest run before each stop that occurs twice or more."""
+        out = np.zeros(len(stops), np.int64)
         alive = np.arange(len(stops))
         symbol = symbols[stops - 1] + 1
         low, high = self.before[symbol], self.before[symbol + 1]
-        for back in range(2, window + 1):
-            keep = high - low >= 2
+        for length in range(1, longest + 1):
+            keep = self.upto[high] - self.upto[low] >= 2
+            alive, low, high = alive[keep], low[keep], high[keep]
+            out[alive] = length
+            keep = stops[alive] > length
             alive, low, high = alive[keep], low[keep], high[keep]
-            if not len(alive):
+            if length == longest or not len(alive):
                 break
-            low, high = self.step(symbols[stops[alive] - back] + 1, low, high)
-        out = np.zeros(len(stops), bool)
-        out[alive[high - low >= 2]] = True
+            low, high = self.step(symbols[stops[alive] - length - 1] + 1, low, high)
         return out
 
 
@@ -147,9 +157,10 @@ def marked(documents: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def segments(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """Occurrences of the segments of repeated minimizers."""
+    """Occurrences of the segments of repeated minimizers; a task writes the words of a segment that it has seen before no more."""
 
     def work(batches):
+        seen: set[int] = set()
         for batch in batches:
             docs, texts, wanted = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), batch.column("keys").to_pylist()
             out: list[tuple] = []
@@ -167,13 +178,16 @@ def segments(candidates: DataFrame, window: int, gram: int) -> DataFrame:
                         seg = b" ".join(raw[starts[a] : ends[a + count + window - 2]].split()).decode()
                         out.append((int(hashes[j]), docs[first + i], texts[first + i], a - int(rows[i]), count, seg))
                 if len(out) > 20_000:
-                    yield from emit(out)
-            yield from emit(out)
+                    yield from emit(out, seen)
+            yield from emit(out, seen)
 
-    def emit(out):
+    def emit(out, seen):
         if out:
             c = list(zip(*out))
             sid = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in c[5]]
+            c[5] = [None if x in seen or seen.add(x) else seg for x, seg in zip(sid, c[5])]
+            if len(seen) > 500_000:
+                seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c[0], pa.int64()), pa.array(sid, pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.string())],
                 ["key", "sid", "doc_id", "t", "at", "windows", "seg"],
@@ -183,15 +197,15 @@ def segments(candidates: DataFrame, window: int, gram: int) -> DataFrame:
     return candidates.mapInArrow(lean(work), OCCURRENCES)
 
 
-def single_windows(occurrences: DataFrame, window: int) -> DataFrame:
-    """Each occurrence as its windows, every one a segment with a key of its own."""
+def single_windows(distinct: DataFrame, window: int) -> DataFrame:
+    """key, sid, n, place, ukey, usid, seg: the windows of each segment, every one with a key of its own."""
     words = F.split("seg", " ")
-    each = occurrences.select("doc_id", "t", "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.array_join(F.slice(words, i, window), " "))).alias("i", "s"))
-    return each.select(F.xxhash64("s").alias("key"), F.xxhash64(F.reverse("s")).alias("sid"), "doc_id", "t", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("windows"), F.col("s").alias("seg"))
+    each = distinct.select("key", "sid", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.array_join(F.slice(words, i, window), " "))).alias("place", "seg"))
+    return each.select("key", "sid", "n", F.col("place").cast("long").alias("place"), F.xxhash64("seg").alias("ukey"), F.conv(F.substring(F.sha2(F.col("seg").cast("binary"), 256), 1, 15), 16, 10).cast("long").alias("usid"), "seg")
 
 
 def search(shards: DataFrame, window: int) -> DataFrame:
-    """key, sid, from, to: window numbers of segments found once that stand elsewhere in their shard."""
+    """key, sid, from, to: window numbers of the segments (key, sid, n, seg) of each shard that stand in two places or more."""
 
     def shard(t: pa.Table) -> pa.Table:
         numbers: dict[bytes, int] = {}
@@ -205,12 +219,11 @@ def search(shards: DataFrame, window: int) -> DataFrame:
         text = np.fromiter((x for i, p in enumerate(parts) for x in (*p, len(numbers) + i)), np.int64)
         lengths = np.array(lengths)
         begin = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
-        index = FMIndex(text, window)
-        once = np.flatnonzero(t.column("n").to_numpy() == 1)
-        count = lengths[once] - window + 1
-        of = np.repeat(once, count)
+        index = FMIndex(text, window, np.repeat(t.column("n").to_numpy(), lengths + 1))
+        count = lengths - window + 1
+        of = np.repeat(np.arange(m), count)
         number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        hit = index.repeated(text, begin[of] + number + window, window)
+        hit = index.matching(text, begin[of] + number + window, window) >= window
         of, number = of[hit], number[hit]
         first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (number[1:] != number[:-1] + 1)))) if len(of) else np.zeros(0, np.int64)
         last = np.concatenate((first[1:], [len(of)])) - 1 if len(of) else first
@@ -235,21 +248,24 @@ def drop_repeats(documents: DataFrame, window: int = 35, gram: int = 18, shard_w
     candidates = scratch.write(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u"))).drop("d", "u"), "candidates")
     occurrences = scratch.write(segments(candidates, window, gram), "occurrences")
 
-    per = occurrences.groupBy("key", "sid").agg(F.count("*").alias("n"))
-    size = scratch.write(per.groupBy("key").agg(F.count("*").alias("segments")).filter("segments > 1"), "sizes")
+    distinct = scratch.write(occurrences.groupBy("key", "sid").agg(F.count("*").alias("n"), F.max("seg").alias("seg"), F.max("windows").alias("windows")), "segments")
+    size = scratch.write(distinct.groupBy("key").agg(F.count("*").alias("segments"), F.max("n").alias("most")).filter("segments > 1 or most > 1"), "sizes")
+    units = distinct.join(size.filter(F.col("segments") <= most_segments).select("key"), "key", "left_semi").select("key", "sid", "n", "seg")
     heavy = size.filter(F.col("segments") > most_segments).select("key")
+    cut = None
     if heavy.limit(1).count():
-        cut = single_windows(occurrences.join(heavy, "key"), window)
-        occurrences = scratch.write(occurrences.join(heavy, "key", "left_anti").unionByName(cut), "occurrences-cut")
-        per = occurrences.groupBy("key", "sid").agg(F.count("*").alias("n"))
-        size = per.groupBy("key").agg(F.count("*").alias("segments")).filter("segments > 1")
-    distinct = scratch.write(occurrences.groupBy("key", "sid").agg(F.count("*").alias("n"), F.first("seg").alias("seg"), F.first("windows").alias("windows")), "segments")
-    several = distinct.join(size.select("key"), "key", "left_semi")
-    total = several.agg(F.coalesce(F.sum(F.col("windows") + (window - 1)), F.lit(0)).alias("n")).first()["n"]
+        cut = scratch.write(single_windows(distinct.join(heavy, "key"), window), "windows")
+        more = cut.groupBy("ukey", "usid").agg(F.sum("n").alias("n"), F.max("seg").alias("seg")).withColumnsRenamed({"ukey": "key", "usid": "sid"})
+        units = scratch.write(units.withColumn("cut", F.lit(False)).unionByName(more.withColumn("cut", F.lit(True))), "units")
+    total = units.agg(F.coalesce(F.sum(F.length("seg") - F.length(F.replace("seg", F.lit(" "))) + 1), F.lit(0)).alias("n")).first()["n"]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // shard_words))
-    found = search(several.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).select("shard", "key", "sid", "n", "seg"), window)
-    whole = distinct.filter("n > 1").select("key", "sid", F.lit(0).cast("long").alias("from"), (F.col("windows") - 1).cast("long").alias("to"))
-    found = scratch.write(whole.unionByName(found), "intervals")
+    of = lambda df: search(df.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).select("shard", "key", "sid", "n", "seg"), window)
+    if cut is None:
+        found = scratch.write(of(units), "intervals")
+    else:
+        single = scratch.write(of(units.filter("cut")), "repeated-windows").select(F.col("key").alias("ukey"), F.col("sid").alias("usid"))
+        single = cut.join(single, ["ukey", "usid"]).select("key", "sid", F.col("place").alias("from"), F.col("place").alias("to"))
+        found = scratch.write(of(units.filter("not cut")).unionByName(single), "intervals")
 
     spans = occurrences.select("key", "sid", "doc_id", "t", "at").join(found, ["key", "sid"]).select("doc_id", "t", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to") + window).alias("to"))
     spans = spans.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans")).withColumnsRenamed({"doc_id": "d", "t": "u"})
