@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import sys
+import unicodedata
 import zlib
 from array import array
 
@@ -57,6 +58,32 @@ def plain_form(word: str) -> tuple[str, str]:
     return (base, tail) if max(base) < EUROPEAN and base.lower().isalpha() else (word, "")
 
 
+#: the signs that byte-level vocabularies write bytes with: printable ones stand for themselves, the others follow from 256 on
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
+
+
+def simple(word: str) -> bool:
+    """Is the word one run of lower-case letters that the tokenizer neither composes nor lower-cases nor splits?"""
+    return word.isalpha() and (word.isascii() or max(word) < EUROPEAN and unicodedata.is_normalized("NFC", word)) and word == word.lower()
+
+
+def spell(words: set[str]) -> None:
+    """Puts the ids of ``words`` into the cache. Simple words go to the byte-pair model itself, in its byte signs."""
+    _, tokenizer = _tokenizer
+    merge = tokenizer.model.tokenize
+    others = []
+    for w in words:
+        if simple(w):
+            _words[w] = little_endian([x.id for x in merge(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_SIGNS))])
+        else:
+            others.append(w)
+    for i in range(0, len(others), 20_000):
+        part = others[i : i + 20_000]
+        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            _words[w] = little_endian(e.ids)
+
+
 def token_bytes(texts: list[str], tokenizer_path: str, cache: int) -> "list[bytes]":
     """Little-endian 32-bit ids of each text, end token not included."""
     if _tokenizer[0] != tokenizer_path:
@@ -66,15 +93,13 @@ def token_bytes(texts: list[str], tokenizer_path: str, cache: int) -> "list[byte
         _tokenizer[:] = tokenizer_path, Tokenizer.from_file(tokenizer_path)
         _words.clear()
     split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = [w for w in set().union(*split) if w not in _words]
+    new = list(set().union(*split).difference(_words))
     # the vocabulary is lower case and takes letters apart from signs: a word with capitals, a comma or a full stop is
     # spelt from its plain form, which is mostly known
     plain = [plain_form(w) for w in new]
-    ask = list({b for b, t in plain if b not in _words} | {t for _, t in plain if t and t not in _words})
-    for i in range(0, len(ask), 20_000):
-        part = ask[i : i + 20_000]
-        for w, e in zip(part, _tokenizer[1].encode_batch_fast(part, add_special_tokens=False)):
-            _words[w] = little_endian(e.ids)
+    ask = {b for b, _ in plain} | {t for _, t in plain if t}
+    ask.difference_update(_words)
+    spell(ask)
     for w, (base, tail) in zip(new, plain):
         if w not in _words:
             _words[w] = _words[base] + _words[tail] if tail else _words[base]
@@ -82,7 +107,7 @@ def token_bytes(texts: list[str], tokenizer_path: str, cache: int) -> "list[byte
     out = [b"".join(map(look, words)) for words in split]
     if len(_words) > cache:  # a full cache keeps the words it met first, which are the frequent ones
         for w in {*new, *ask}:
-            del _words[w]
+            _words.pop(w, None)
     return out
 
 
@@ -209,7 +234,7 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-
     return plan
 
 
-def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, step: int = 8, buckets: int | None = None, cache: int = 800_000, rank_rows: int = 500_000) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, step: int = 8, buckets: int | None = None, cache: int = 1_600_000, rank_rows: int = 500_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long), one row per piece.
 
     Ranks are dealt to ``buckets``, by default one for every ``rank_rows`` pieces, so that a bucket doesn't grow with the input.
