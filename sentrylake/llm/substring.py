@@ -10,8 +10,8 @@ r"""Substring deduplication: passages of at least ``window`` words that stand an
    passage gathers in one task. Minimizers only route: what may be equal meets in one shard.
 3. A shard's segments are one text of word numbers under a compressed FM-index: a wavelet matrix of the Burrows-Wheeler
    transform, in packed bits with ranks per 64, and the sums of the segments' numbers in suffix order. All its
-   segments are streamed against it: backward search gives each place's matching statistic, the length up to ``window``
-   of the longest run ending there that stands in two places or more; the intervals where it reaches ``window`` are reported.
+   segments are streamed against it: backward search gives a place's matching statistic, the length of the longest
+   run ending there that stands in two places or more; the intervals where it reaches ``window`` are reported.
 4. Intervals go back to the documents by segment; covered words are dropped, judged on the input alone.
 
 Defined results: null, empty or shorter texts lose nothing; a passage repeated inside one text counts; rows equal in
@@ -23,13 +23,14 @@ cast to long, so text that is no number raises an error.
 from __future__ import annotations
 
 import hashlib
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, gram_hashes, lean, mix, text_slices, word_hashes, words_of
+from .shared import Scratch, gram_hashes, lean, mix, text_slices, trim, word_hashes, words_of
 
 
 def minimizers(column, window: int, gram: int):
@@ -111,21 +112,43 @@ class FMIndex:
         base = self.before[symbol] - self.origin[symbol]
         return base + self._down(symbol, low), base + self._down(symbol, high)
 
-    def matching(self, symbols: np.ndarray, stops: np.ndarray, longest: int) -> np.ndarray:
-        """Matching statistics: the length, up to ``longest``, of the longest run before each stop that occurs twice or more."""
+    def matching(self, symbols: np.ndarray, stops: np.ndarray, longest) -> np.ndarray:
+        """Matching statistics: the length, up to ``longest`` (of each), of the longest run before each stop that occurs twice or more."""
+        longest = np.broadcast_to(np.asarray(longest), stops.shape)
         out = np.zeros(len(stops), np.int64)
-        alive = np.arange(len(stops))
-        symbol = symbols[stops - 1] + 1
+        alive = np.flatnonzero(np.minimum(longest, stops) > 0)
+        symbol = symbols[stops[alive] - 1] + 1
         low, high = self.before[symbol], self.before[symbol + 1]
-        for length in range(1, longest + 1):
-            keep = self.upto[high] - self.upto[low] >= 2
+        length = 0
+        while len(alive):
+            length += 1
+            found = self.upto[high] - self.upto[low] >= 2
+            out[alive[found]] = length
+            keep = found & (np.minimum(longest, stops)[alive] > length)
             alive, low, high = alive[keep], low[keep], high[keep]
-            out[alive] = length
-            keep = stops[alive] > length
-            alive, low, high = alive[keep], low[keep], high[keep]
-            if length == longest or not len(alive):
-                break
-            low, high = self.step(symbols[stops[alive] - length - 1] + 1, low, high)
+            if len(alive):
+                low, high = self.step(symbols[stops[alive] - length - 1] + 1, low, high)
+        return out
+
+    def repeated(self, symbols: np.ndarray, begin: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+        """For each window of the runs that start at ``begin``, run by run: does it occur twice or more?
+
+        A run's matching statistic at its end settles the windows it reaches over. The others are taken from the left:
+        where the statistic at a window's end falls short, the run one longer stands once, and so do all windows over it, which are skipped.
+        """
+        count = lengths - window + 1
+        at = np.concatenate(([0], np.cumsum(count)))
+        reach = self.matching(symbols, begin + lengths, lengths)
+        over = reach >= window
+        edges = np.zeros(at[-1] + 1, np.int64)
+        np.add.at(edges, (at[:-1] + lengths - reach)[over], 1)
+        np.add.at(edges, at[1:][over], -1)
+        out = np.cumsum(edges[:-1]) > 0
+        place, end = np.zeros(len(begin), np.int64), np.where(over, lengths - reach, count - 1)
+        while len(rows := np.flatnonzero(place < end)):
+            length = self.matching(symbols, begin[rows] + place[rows] + window, window)
+            out[(at[rows] + place[rows])[length >= window]] = True
+            place[rows] += np.maximum(window - length, 1)
         return out
 
 
@@ -198,39 +221,54 @@ def segments(candidates: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def single_windows(distinct: DataFrame, window: int) -> DataFrame:
-    """key, sid, n, place, ukey, usid, seg: the windows of each segment, every one with a key of its own."""
+    """key, sid, n, place, ukey, usid, seg: the windows of each segment (key, sid, n, seg), every one with a key of its own."""
     words = F.split("seg", " ")
-    each = distinct.select("key", "sid", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.array_join(F.slice(words, i, window), " "))).alias("place", "seg"))
+    each = distinct.select("key", "sid", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda i: F.array_join(F.slice(words, i, window), " "))).alias("place", "seg"))
     return each.select("key", "sid", "n", F.col("place").cast("long").alias("place"), F.xxhash64("seg").alias("ukey"), F.conv(F.substring(F.sha2(F.col("seg").cast("binary"), 256), 1, 15), 16, 10).cast("long").alias("usid"), "seg")
 
 
-def search(shards: DataFrame, window: int) -> DataFrame:
-    """key, sid, from, to: window numbers of the segments (key, sid, n, seg) of each shard that stand in two places or more."""
+def search(counts: DataFrame, texts: DataFrame, window: int, shards: int) -> DataFrame:
+    """key, sid, from, to: windows, of the segments of ``counts`` (key, sid, n), that stand in two places or more.
+
+    ``texts`` has the words of each segment (key, sid, seg) at least once; both travel to the key's shard.
+    """
 
-    def shard(t: pa.Table) -> pa.Table:
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: dict[tuple[int, int], int] = {}
         numbers: dict[bytes, int] = {}
-        parts, lengths = [], []
-        for seg in t.column("seg").to_pylist():
-            own = [numbers.setdefault(w, len(numbers)) for w in seg.encode().split(b" ")]
-            parts.append(own)
-            lengths.append(len(own))
+        seen: dict[tuple[int, int], list[int]] = {}
+        for batch in batches:  # one batch at a time: the words of a segment come from every task that met it, and are kept once
+            for k, s, n, seg in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "n", "seg"))):
+                if seg is None:
+                    times[k, s] = n
+                elif (k, s) not in seen:
+                    seen[k, s] = [numbers.setdefault(w, len(numbers)) for w in seg.encode().split(b" ")]
+        units = [u for u in seen if u in times]
+        if not units:
+            return
+        parts, weights = [seen[u] for u in units], [times[u] for u in units]
+        lengths = [len(p) for p in parts]
         # every segment ends with a symbol of its own, so no match runs over its end
         m = len(parts)
         text = np.fromiter((x for i, p in enumerate(parts) for x in (*p, len(numbers) + i)), np.int64)
         lengths = np.array(lengths)
         begin = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
-        index = FMIndex(text, window, np.repeat(t.column("n").to_numpy(), lengths + 1))
+        index = FMIndex(text, int(lengths.max()), np.repeat(weights, lengths + 1))
         count = lengths - window + 1
+        hit = index.repeated(text, begin, lengths, window)
         of = np.repeat(np.arange(m), count)
-        number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        hit = index.matching(text, begin[of] + number + window, window) >= window
-        of, number = of[hit], number[hit]
+        number = (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))[hit]
+        of = of[hit]
         first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (number[1:] != number[:-1] + 1)))) if len(of) else np.zeros(0, np.int64)
         last = np.concatenate((first[1:], [len(of)])) - 1 if len(of) else first
-        own = t.select(["key", "sid"]).take(pa.array(of[first], pa.int64()))
-        return pa.table({"key": own.column(0), "sid": own.column(1), "from": pa.array(number[first], pa.int64()), "to": pa.array(number[last], pa.int64())})
+        own = np.array(units, np.int64)[of[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(number[first], pa.int64()), pa.array(number[last], pa.int64())], ["key", "sid", "from", "to"])
+        trim()
 
-    return shards.groupBy("shard").applyInArrow(shard, "key long, sid long, `from` long, `to` long")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = counts.select("key", "sid", "n", none("string").alias("seg")).unionByName(texts.select("key", "sid", none("long").alias("n"), "seg"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return rows.groupBy("shard").applyInArrow(shard, "key long, sid long, `from` long, `to` long")
 
 
 def drop_repeats(documents: DataFrame, window: int = 35, gram: int = 18, shard_words: int = 400_000, most_segments: int = 4096) -> DataFrame:
@@ -248,24 +286,25 @@ def drop_repeats(documents: DataFrame, window: int = 35, gram: int = 18, shard_w
     candidates = scratch.write(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u"))).drop("d", "u"), "candidates")
     occurrences = scratch.write(segments(candidates, window, gram), "occurrences")
 
-    distinct = scratch.write(occurrences.groupBy("key", "sid").agg(F.count("*").alias("n"), F.max("seg").alias("seg"), F.max("windows").alias("windows")), "segments")
-    size = scratch.write(distinct.groupBy("key").agg(F.count("*").alias("segments"), F.max("n").alias("most")).filter("segments > 1 or most > 1"), "sizes")
-    units = distinct.join(size.filter(F.col("segments") <= most_segments).select("key"), "key", "left_semi").select("key", "sid", "n", "seg")
+    # numbers of equal segments; the words stay behind, they go to the shards straight away
+    distinct = scratch.write(occurrences.groupBy("key", "sid").agg(F.count("*").alias("n"), F.max("windows").alias("windows")), "segments")
+    texts = occurrences.filter("seg is not null").select("key", "sid", "seg")
+    size = distinct.groupBy("key").agg(F.count("*").alias("segments"), F.sum(F.col("windows").cast("long") + (window - 1)).alias("words"))
+    size = scratch.write(size, "sizes")
+    shards_of = lambda words: max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(words or 0) // shard_words))
     heavy = size.filter(F.col("segments") > most_segments).select("key")
-    cut = None
-    if heavy.limit(1).count():
-        cut = scratch.write(single_windows(distinct.join(heavy, "key"), window), "windows")
-        more = cut.groupBy("ukey", "usid").agg(F.sum("n").alias("n"), F.max("seg").alias("seg")).withColumnsRenamed({"ukey": "key", "usid": "sid"})
-        units = scratch.write(units.withColumn("cut", F.lit(False)).unionByName(more.withColumn("cut", F.lit(True))), "units")
-    total = units.agg(F.coalesce(F.sum(F.length("seg") - F.length(F.replace("seg", F.lit(" "))) + 1), F.lit(0)).alias("n")).first()["n"]
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // shard_words))
-    of = lambda df: search(df.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).select("shard", "key", "sid", "n", "seg"), window)
-    if cut is None:
-        found = scratch.write(of(units), "intervals")
+    total = size.agg(F.sum(F.when(F.col("segments") <= most_segments, F.col("words")))).first()[0]
+    if not heavy.limit(1).count():
+        found = scratch.write(search(distinct, texts, window, shards_of(total)), "intervals")
     else:
-        single = scratch.write(of(units.filter("cut")), "repeated-windows").select(F.col("key").alias("ukey"), F.col("sid").alias("usid"))
+        found = search(distinct.join(heavy, "key", "left_anti"), texts.join(heavy, "key", "left_anti"), window, shards_of(total))
+        whole = distinct.join(heavy, "key").join(texts.join(heavy, "key").dropDuplicates(["key", "sid"]), ["key", "sid"])
+        cut = scratch.write(single_windows(whole, window), "windows")
+        single = cut.groupBy(F.col("ukey").alias("key"), F.col("usid").alias("sid")).agg(F.sum("n").alias("n"))
+        own = cut.select(F.col("ukey").alias("key"), F.col("usid").alias("sid"), "seg").dropDuplicates(["key", "sid"])
+        single = scratch.write(search(single, own, window, shards_of(cut.count() * window)), "repeated-windows").select(F.col("key").alias("ukey"), F.col("sid").alias("usid"))
         single = cut.join(single, ["ukey", "usid"]).select("key", "sid", F.col("place").alias("from"), F.col("place").alias("to"))
-        found = scratch.write(of(units.filter("not cut")).unionByName(single), "intervals")
+        found = scratch.write(found.unionByName(single), "intervals")
 
     spans = occurrences.select("key", "sid", "doc_id", "t", "at").join(found, ["key", "sid"]).select("doc_id", "t", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to") + window).alias("to"))
     spans = spans.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans")).withColumnsRenamed({"doc_id": "d", "t": "u"})

@@ -196,6 +196,28 @@ def test_fm_index_matching_statistics():
             assert index.matching(text, stops, n).tolist() == expected
 
 
+def test_fm_index_repeated_windows():
+    """Windows of many runs, with and without copies and shared passages, against counting."""
+    r = np.random.default_rng(5)
+    shared_part = r.integers(0, 9, 30)
+    runs = [np.concatenate((r.integers(0, 9, r.integers(0, 12)), shared_part[a:b], r.integers(0, 9, r.integers(0, 12)))) for a, b in r.integers(0, 31, (60, 2))]
+    runs = [x for x in runs if len(x) >= 6]
+    runs += [runs[0][:7]]
+    times = r.integers(1, 3, len(runs))
+    text = np.concatenate([x for i, own in enumerate(runs) for x in (own, [9 + i])])
+    lengths = np.array([len(x) for x in runs])
+    begin = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
+    index = substring.FMIndex(text, int(lengths.max()), np.repeat(times, lengths + 1))
+    for window in (2, 4, 6):
+        seen = {}
+        for own, n in zip(runs, times):
+            for i in range(len(own) - window + 1):
+                seen[tuple(own[i : i + window])] = seen.get(tuple(own[i : i + window]), 0) + n
+        expected = [seen[tuple(own[i : i + window])] > 1 for own in runs for i in range(len(own) - window + 1)]
+        assert index.repeated(text, begin, lengths, window).tolist() == expected
+    assert 0 < sum(expected) < len(expected)
+
+
 def test_decontaminate(spark, edge):
     item = prose(500, 14)
     bench = spark.createDataFrame([(2, item), (10, item), (1, "Two words"), (3, None), (4, ""), (10, item)], "item_id long, text string")
