@@ -3,8 +3,9 @@ r"""Quality rules with thresholds taken from mergeable quantile sketches, in Dat
 Per-document figures are array and string functions over the whole text. For each (lang, source) a KLL sketch of
 every ratio is built (partial sketches per task are merged, so a hot source is only ever a sketch after the map
 side); sketches of a language's sources are merged again for sources with few documents, and all of them for small
-languages. A document is kept if no ratio lies outside its group's fences: the quartiles widened by ``reach`` times
-their distance, which is taken as at least ``least`` of that ratio, so alike documents don't condemn each other.
+languages. A document is kept if no ratio lies outside its group's fences: ``reach`` times the distance from the median to
+a high (or low) quantile of the group, which follows the group's own tail. Only where almost all of a group are alike
+is that distance taken as ``least`` of the ratio, so that they don't condemn each other.
 
 Defined results: null or empty text has no words (base_failed); null lang or source is a group of its own; equal
 rows count each; an empty table gives an empty result; extra columns are ignored.
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .shared import Scratch, split_words
 
 WHITE = r"[\x20\x09-\x0D]"
-#: ratio: (the least spread that counts, whether a low value is also outside)
-RATIOS = {"symbol_ratio": (0.02, False), "repeat_ratio": (0.03, False), "dup_line_ratio": (0.03, False), "mean_word": (0.8, True)}
+#: ratio: (the high quantile, the low one if a low value is also outside, the least distance that counts)
+RATIOS = {"symbol_ratio": (0.95, None, 0.02), "repeat_ratio": (0.975, None, 0.03), "dup_line_ratio": (0.975, None, 0.03), "mean_word": (0.95, 0.01, 0.4)}
 
 
 def with_repeated_words(df: DataFrame, words: str, name: str, k: int = 5) -> DataFrame:
@@ -56,7 +57,7 @@ def document_figures(documents: DataFrame, keep: tuple[str, ...] = ("doc_id", "l
     return figures.withColumn("base_failed", failed)
 
 
-def adaptive_filter(documents: DataFrame, reach: float = 3.0, least_group: int = 64, sketch_k: int = 200) -> DataFrame:
+def adaptive_filter(documents: DataFrame, reach: float = 2.5, least_group: int = 64, sketch_k: int = 200) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Thresholds come from documents that passed the base rules. A (lang, source) of fewer than ``least_group`` of
@@ -79,10 +80,10 @@ def adaptive_filter(documents: DataFrame, reach: float = 3.0, least_group: int =
 
     def fences(df: DataFrame, prefix: str) -> DataFrame:
         out = df
-        for r, (spread, both) in RATIOS.items():
-            low, high = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(q)) for q in (0.25, 0.75))
-            wide = F.greatest(high - low, F.lit(spread))
-            out = out.withColumn(f"{prefix}{r}_lo", (low - reach * wide) if both else F.lit(None).cast("double")).withColumn(f"{prefix}{r}_hi", high + reach * wide)
+        for r, (high, low, least) in RATIOS.items():
+            at = lambda q: F.kll_sketch_get_quantile_double(F.col(r), F.lit(q))  # noqa: B023, E731
+            out = out.withColumn(f"{prefix}{r}_hi", at(0.5) + reach * F.greatest(at(high) - at(0.5), F.lit(least)))
+            out = out.withColumn(f"{prefix}{r}_lo", F.lit(None).cast("double") if low is None else at(0.5) - reach * F.greatest(at(0.5) - at(low), F.lit(least)))
         return out.drop(*RATIOS).withColumnRenamed("size", f"{prefix}size")
 
     # as many rows as there are groups; languages and sources, never documents

@@ -598,3 +598,69 @@ def test_word_probabilities_do_not_exceed_one(vocabulary):
     words = ["".join(x) for k in range(1, 9) for x in itertools.product("ab", repeat=k)]
     byte = lattice.Lattice(pieces + [f"<0x{i:02X}>" for i in range(256) if i != 0xE2], np.concatenate((p, np.full(255, -50.0))))
     assert 0.79 < np.exp(byte.words([""] + words)).sum() <= 0.8
+
+
+def test_quality_figures_by_brute_force(spark, edge):
+    """Every base column of odd texts, counted in plain Python."""
+    r = np.random.default_rng(8)
+    bits = ["a", "B", "é", "日本", "#", "a#b", "*$%", "&|<>", "x y", "\n", "\n\n", " \t", "\x0b", "\x0c\r", "\x85", " ", "same line\n", "p q r s t u\n"]
+    texts = [None, "", "\n", *EDGES, *("".join(bits[i] + (" " if r.random() < 0.5 else "") for i in r.integers(0, len(bits), r.integers(1, 120))) for _ in range(200))]
+    got = {x["doc_id"]: x for x in quality.adaptive_filter(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(words[j : j + 5]) for j in range(len(words) - 4)]
+        seen = {w: windows.count(w) for w in set(windows)} if len(windows) < 5000 else __import__("collections").Counter(windows)
+        again = {j + k for j, w in enumerate(windows) if seen[w] > 1 for k in range(5)}
+        expected = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(again))
+        assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == expected, i
+        assert got[i]["base_failed"] == (len(words) < 10 or 100 * len(again) > 20 * len(words))
+
+
+def test_quality_fences_follow_their_group(spark):
+    """The same document is kept where its source is often like it, and rejected where it is not."""
+    tidy = [prose(i, 80) for i in range(80)]
+    signs = [" ".join(w + "#" * (j % 10 < 1 + i % 6) for j, w in enumerate(prose(200 + i, 80).split())) for i in range(80)]
+    rows = [(i, t, "x", "tidy") for i, t in enumerate(tidy)] + [(100 + i, t, "x", "signs") for i, t in enumerate(signs)] + [(300, signs[5], "x", "tidy")]
+    got = {x["doc_id"]: x["kept"] for x in quality.adaptive_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(80)) and all(got[100 + i] for i in range(80)) and not got[300]
+
+
+def brute_profiles(rows, size):
+    def grams(text):
+        out = {}
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            w = f"_{word}_"
+            for n in (1, 2, 3):
+                for i in range(len(w) - n + 1):
+                    g = w[i : i + n]
+                    if g.strip("_"):
+                        out[g] = out.get(g, 0) + 1
+        return out
+
+    return grams
+
+
+def test_language_predictions_by_brute_force(spark):
+    """Whole predictions against an out-of-place distance in plain Python; no count is tied within the profile's size."""
+    r = np.random.default_rng(2)
+    alphabet = {"aa": "abcdefgh", "bb": "defghijk"}
+    word = lambda a: "".join(a[int(min(7, r.geometric(0.25) - 1))] for _ in range(r.integers(2, 7)))
+    texts = [(lang, " ".join(word(a) for _ in range(300))) for lang, a in alphabet.items() for _ in range(6)]
+    texts += [(None, " ".join(word(alphabet[x]) for _ in range(n))) for x in alphabet for n in (1, 3, 10, 80)]
+    table = docs(spark, [t for _, t in texts], [x for x, _ in texts])
+    size = 40
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predict(table, langid.learn_profiles(table, size=size), size=size).collect()}
+    grams = brute_profiles(texts, size)
+    key = lambda g: (len(g), [ord(c) if c != "_" else 0 for c in g])
+    rank = lambda counts: {g: i for i, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], key(x[0])))[:size])}
+    totals = {lang: {} for lang in alphabet}
+    for lang, t in texts:
+        for g, n in grams(t).items() if lang else ():
+            totals[lang][g] = totals[lang].get(g, 0) + n
+    profiles = {lang: rank(c) for lang, c in totals.items()}
+    for i, (_, t) in enumerate(texts):
+        own = rank(grams(t))
+        far = {lang: sum(abs(p[g] - j) if g in p else size for g, j in own.items()) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i][0] == best and got[i][1] == pytest.approx(1 - far[best] / (size * len(own)))
