@@ -7,7 +7,8 @@ the next. As batches ascend, the runs hold every key once, with the smallest doc
 key's document is a smaller one. A frequent line is one row per task after the map side, and the one join of all lines
 with the runs is shuffled on both sides, so AQE splits a hot key.
 
-Keys are hashes of 96 bits (xxhash64 and crc32), 20 bytes a line in all.
+Keys are 120 bits of SHA-256 in two numbers, so that no made-up line passes for another. Runs have a bucket for every
+``bucket_rows`` lines of the input.
 
 Defined results: null or empty text is one empty line; keys shorter than ``least`` code points are kept always; a
 line repeated in one document only is kept there; rows of one doc_id are one document; rows with null doc_id are kept
@@ -30,10 +31,10 @@ KEY = ["h", "g"]
 class LevelledRuns:
     """Sorted runs (h, g, first) by level, in the shared folder, named in the session's catalog."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
+    def __init__(self, spark: SparkSession, fanout: int = 2, rows: int = 0, bucket_rows: int = 4_000_000):
         self.spark, self.fanout, self.scratch = spark, fanout, Scratch(spark, "lineruns")
         self.levels: list[list[str]] = [[]]
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // bucket_rows))
 
     def _save(self, df: DataFrame) -> str:
         name = f"linerun_{uuid.uuid4().hex}"
@@ -86,6 +87,13 @@ class LevelledRuns:
         return self.spark.read.schema("h long, g long, first long").parquet(*folders) if folders else self.all_of(self.runs())
 
 
+    def forget(self) -> None:
+        """Takes the runs' names out of the catalog; the files stay with the run's other tables."""
+        for name in self.runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels = [[]]
+
+
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
@@ -94,7 +102,9 @@ def keyed_lines(documents: DataFrame, least: int) -> DataFrame:
     """doc_id, t (hash of the text), pos, h, g of the lines that count."""
     lines = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     keyed = fixed(lines, "key", line_key(F.col("line"))).filter(F.length("key") >= least)
-    return keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h"), F.crc32(F.col("key").cast("binary")).cast("long").alias("g"))
+    keyed = fixed(keyed, "digest", F.sha2(F.col("key").cast("binary"), 256))
+    part = lambda at: F.conv(F.substring("digest", at, 15), 16, 10).cast("long")
+    return keyed.select("doc_id", "t", "pos", part(1).alias("h"), part(16).alias("g"))
 
 
 def dedup_lines(documents: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -105,7 +115,7 @@ def dedup_lines(documents: DataFrame, least: int = 10, batches: int = 4, fanout:
     lines = scratch.write(keyed_lines(documents, least), "lines")
     cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] or []
     bounds = [None, *sorted(set(cuts)), None]
-    runs = LevelledRuns(spark, fanout)
+    runs = LevelledRuns(spark, fanout, lines.count())
     for low, high in zip(bounds, bounds[1:]):
         batch = lines
         if low is not None:
@@ -113,7 +123,9 @@ def dedup_lines(documents: DataFrame, least: int = 10, batches: int = 4, fanout:
         if high is not None:
             batch = batch.filter(F.col("doc_id") <= high)
         runs.add(batch)
-    late = lines.join(runs.seen().hint("merge"), KEY).filter(F.col("doc_id") > F.col("first"))
+    seen = runs.seen()
+    runs.forget()
+    late = lines.join(seen.hint("merge"), KEY).filter(F.col("doc_id") > F.col("first"))
     drops = late.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("_drop"))
     joined = rest.withColumn("_t", F.xxhash64("text")).join(drops.withColumnsRenamed({"doc_id": "_id", "t": "_u"}), (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_u")), "left")
     joined = fixed(joined, "_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
