@@ -2,6 +2,12 @@
 
 Stages get (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents. Every
 threshold is a parameter of the operator that the stage calls.
+
+Defined results of the stages: a null or empty text has no language and goes with the first stage; nulls in the other columns
+are kept as they are (a null lang teaches nothing); rows with a null doc_id are in no group, share no line and are
+never contaminated, so only the language stage can drop them; equal rows meet the same fate, and a near-duplicate group
+named by their doc_id keeps all rows of that id; ties go as the operators state; an empty table stays empty; columns
+beside those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from sentrylake.llm.shared import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; profiles and the least score of each language are learned from the labelled ones."""
     found = Scratch(spark, "language").write(langid.predict(docs.select(*COLUMNS), langid.learn_profiles(docs)), "found")
