@@ -20,6 +20,7 @@ import sys
 import unicodedata
 import zlib
 from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -92,19 +93,18 @@ def token_bytes(texts: list[str], tokenizer_path: str, cache: int) -> "list[byte
 
         _tokenizer[:] = tokenizer_path, Tokenizer.from_file(tokenizer_path)
         _words.clear()
+        _words[""] = b""
     split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
     new = list(set().union(*split).difference(_words))
     # the vocabulary is lower case and takes letters apart from signs: a word with capitals, a comma or a full stop is
     # spelt from its plain form, which is mostly known
     plain = [plain_form(w) for w in new]
-    ask = {b for b, _ in plain} | {t for _, t in plain if t}
-    ask.difference_update(_words)
+    ask = ({b for b, _ in plain} | {t for _, t in plain if t}).difference(_words)
     spell(ask)
     for w, (base, tail) in zip(new, plain):
         if w not in _words:
             _words[w] = _words[base] + _words[tail] if tail else _words[base]
-    look = _words.__getitem__
-    out = [b"".join(map(look, words)) for words in split]
+    out = [b"".join(itemgetter(*words, "")(_words)) for words in split]
     if len(_words) > cache:  # a full cache keeps the words it met first, which are the frequent ones
         for w in {*new, *ask}:
             _words.pop(w, None)
@@ -117,7 +117,7 @@ def cut(documents: DataFrame, tokenizer_path: str, end_id: int, capacity: int, c
     def pieces(batches):
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), []
-            for at, _, offsets in text_slices(batch.column("text"), 2 << 20):
+            for at, _, offsets in text_slices(batch.column("text"), 128 << 10):
                 texts = batch.column("text").slice(at, len(offsets) - 1).to_pylist()
                 for doc, own in zip(ids[at : at + len(texts)], token_bytes([t or "" for t in texts], tokenizer_path, cache)):
                     own += end_id.to_bytes(4, "little")
