@@ -8,30 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.functions import predicates as P
+from sentrylake.operators.ordered import picked, prefix_sums, quantiles
 
 #: feature, operator, threshold; fixed values of the rule baseline's form, any list may be given
 RULES = [("failure_ratio", ">=", 0.5), ("off_hours_ratio", ">=", 0.8), ("distinct_sources_count", ">=", 5), ("distinct_hosts", ">=", 10), ("ntlm_ratio", ">=", 0.9), ("rare_logon_type_count", ">=", 5)]
 
 
+def one_row(df: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """``df`` with the columns of tables of one row each."""
+    for part in parts:
+        df = df.crossJoin(F.broadcast(part))
+    return df
+
+
 def imputed(matrix: DataFrame, train: Column, features: list[str], how: str = "median") -> DataFrame:
     """Nulls by the training median, mean or zero; a feature without training values gets 0."""
-    fit = {"median": lambda c: F.median(c), "mean": F.avg, "zero": lambda c: F.lit(0.0)}[how]
-    values = matrix.filter(train).agg(*[F.coalesce(fit(F.col(c)), F.lit(0.0)).alias(f"_fill_{c}") for c in features])
-    wide = matrix.crossJoin(F.broadcast(values))  # one row
-    return wide.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")) for c in features}).drop(*[f"_fill_{c}" for c in features])
+    fit = matrix.filter(train)
+    if how == "median":
+        parts = [quantiles(fit, c, [0.5]).select(F.coalesce(F.col("q")[0], F.lit(0.0)).alias(f"_fill_{c}")) for c in features]
+    else:
+        parts = [fit.agg(*[F.coalesce(F.avg(c) if how == "mean" else F.lit(0.0), F.lit(0.0)).alias(f"_fill_{c}") for c in features])]
+    return one_row(matrix, parts).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")) for c in features}).drop(*[f"_fill_{c}" for c in features])
 
 
 def scaled(matrix: DataFrame, train: Column, features: list[str], how: str = "robust") -> DataFrame:
     """Median and IQR, or mean and standard deviation, of the training rows; a spread of 0 counts as 1."""
-    aggs = [F.percentile(c, [0.25, 0.5, 0.75]).alias(f"_q_{c}") if how == "robust" else F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"_q_{c}") for c in features]
-    wide = matrix.crossJoin(F.broadcast(matrix.filter(train).agg(*aggs)))  # one row
+    fit = matrix.filter(train)
+    if how == "robust":
+        parts = [quantiles(fit, c, [0.25, 0.5, 0.75], name=f"_q_{c}") for c in features]
+    else:
+        parts = [fit.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"_q_{c}") for c in features])]
 
     def one(c: str) -> Column:
         q = F.col(f"_q_{c}")
         middle, spread = (q[1], q[2] - q[0]) if how == "robust" else (q["m"], q["s"])
         return (F.col(c) - middle) / F.when(spread > 0, spread).otherwise(1.0)
 
-    return wide.withColumns({c: one(c) for c in features}).drop(*[f"_q_{c}" for c in features])
+    return one_row(matrix, parts).withColumns({c: one(c) for c in features}).drop(*[f"_q_{c}" for c in features])
 
 
 def quantile_normal(matrix: DataFrame, train: Column, feature: str, name: str) -> DataFrame:
@@ -44,14 +57,30 @@ def quantile_normal(matrix: DataFrame, train: Column, feature: str, name: str) -
 
 
 def mad_scales(train: DataFrame, features: list[str], by: list[str] | None = None, floor_q: float = 0.25, tolerance: float = 1e-9) -> DataFrame:
-    """Per group and feature: median, and 1.4826 MAD with a floor at a quantile of the non-zero deviations; null scale for a constant."""
+    """Per group and feature: median, and 1.4826 MAD with a floor at a quantile of the non-zero deviations; null scale for a constant.
+
+    All features' values are counted in one table; equal values of a group are one row from then on.
+    """
     by = by or []
     long = train.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in features])).alias("x")).select(*by, "x.*").filter("v is not null")
-    middle = long.groupBy(*by, "f").agg(F.median("v").alias("m"), F.count("*").alias("n"))
-    apart = long.join(middle, [*by, "f"]).withColumn("d", F.abs(F.col("v") - F.col("m")))
-    mad = apart.groupBy(*by, "f").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.median("d").alias("mad"), F.percentile(F.when(F.col("d") > tolerance, F.col("d")), floor_q).alias("floor"))
+    counted = long.groupBy(*by, "f", "v").agg(F.count("*").alias("n"))
+    place = Window.partitionBy(*by, "f")
+
+    def at(value: str, p: float, least: Column | None = None) -> Column:
+        """An exact linear quantile over counted rows that are ordered by ``value``, as an aggregate."""
+        size, before = (F.col("_all"), F.col("_upto") - F.col("n"))
+        h = F.lit(p) * (size - 1)
+        low, high = (F.min(F.when(before + F.col("n") > r(h), F.col(value))) for r in (F.floor, F.ceil))
+        part = F.max(h - F.floor(h))
+        return F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
+
+    ordered = lambda df, value: df.withColumn("_upto", F.sum("n").over(place.orderBy(value))).withColumn("_all", F.sum("n").over(place))
+    middle = ordered(counted, "v").groupBy(*by, "f").agg(at("v", 0.5).alias("m"), F.max("_all").alias("rows"))
+    apart = counted.join(middle, [*by, "f"]).withColumn("d", F.abs(F.col("v") - F.col("m")))
+    mad = ordered(apart, "d").groupBy(*by, "f").agg(F.first("m").alias("m"), F.first("rows").alias("rows"), at("d", 0.5).alias("mad"))
+    floor = ordered(apart.filter(F.col("d") > tolerance), "d").groupBy(*by, "f").agg(at("d", floor_q).alias("floor"))
     scale = 1.4826 * F.when(F.col("mad") > tolerance, F.col("mad")).otherwise(F.col("floor"))
-    return mad.select(*by, "f", "m", "n", scale.alias("scale"))
+    return mad.join(floor, [*by, "f"], "left").select(*by, "f", "m", F.col("rows").alias("n"), scale.alias("scale"))
 
 
 def z_scores(matrix: DataFrame, train: Column, features: list[str], keys: list[str], how: str = "max", account: list[str] | None = None, least_days: int = 5) -> DataFrame:
@@ -95,20 +124,10 @@ def content_random(matrix: DataFrame, features: list[str]) -> DataFrame:
 
 
 def ecdf_table(matrix: DataFrame, train: Column, feature: str, name: str, side: str = "left") -> DataFrame:
-    """_v and the share of training values below it (left), up to it (right), or midway.
-
-    Values are counted before they are ordered, and ordered in two levels: totals of coarse buckets first, so no task
-    holds all values. Only distinct values meet in a bucket.
-    """
+    """_v and the share of training values below it (left), up to it (right), or midway, by running sums over counted values."""
     values = matrix.filter(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("double").alias("_v")).agg(F.count_if(train).alias("_t"))
-    bounds = values.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    values = values.crossJoin(F.broadcast(bounds)).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor(255 * (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).otherwise(0))
-    within = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = values.groupBy("_b").agg(F.sum("_t").alias("_n"))
-    base = buckets.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # at most 256 rows
-    below = values.join(F.broadcast(base), "_b").withColumn("_below", F.col("_base") + F.coalesce(F.sum("_t").over(within), F.lit(0)))
     part = {"left": F.lit(0), "right": F.col("_t"), "mid": F.col("_t") / 2}[side]
-    return below.select("_v", ((F.col("_below") + part) / F.nullif("_all", F.lit(0))).alias(name))
+    return prefix_sums(values, "_v", ["_t"]).select("_v", ((F.col("_t_before") + part) / F.nullif("_t_all", F.lit(0))).alias(name))
 
 
 def ecdf(matrix: DataFrame, train: Column, feature: str, name: str, side: str = "left") -> DataFrame:
@@ -134,11 +153,10 @@ def ecdf_rules(matrix: DataFrame, train: Column, features: list[str]) -> DataFra
 def budget_threshold(scores: DataFrame, score: str, rate: float, method: str = "linear") -> DataFrame:
     """The training quantile at 1 - rate: linear (alerts at or above), or higher (alerts above)."""
     if method == "linear":
-        return scores.agg(F.percentile(score, 1 - rate).alias("threshold"))
-    # index ceil((n - 1) p) of the ordered scores, by counts of distinct values
-    n = scores.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    ordered = n.withColumn("upto", F.sum("n").over(Window.orderBy("s"))).crossJoin(n.agg(F.sum("n").alias("all")))
-    return ordered.filter(F.col("upto") > F.ceil((F.col("all") - 1) * (1 - rate))).agg(F.min("s").alias("threshold"))
+        return quantiles(scores, score, [1 - rate]).select(F.col("q")[0].alias("threshold"))
+    # index ceil((n - 1) p) of the ordered scores
+    n = prefix_sums(scores.groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n")), "v", ["n"])
+    return n.agg(picked(F.ceil((F.col("n_all") - 1) * (1 - rate))).alias("threshold"))
 
 
 def duplicate_groups(matrix: DataFrame, features: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrylake.operators.ordered import prefix_sums
+
 
 def split_day(matrix: DataFrame, ratio: float = 0.7) -> DataFrame:
     """The last training day whose share of rows is nearest to ``ratio``; the earlier one of a tie."""
@@ -22,17 +24,15 @@ def with_labels(matrix: DataFrame, labels: DataFrame, keys: list[str]) -> DataFr
 
 
 def by_score(scores: DataFrame, score: str, label: str) -> DataFrame:
-    """Distinct scores with their positives and rows, and both cumulated from the top."""
+    """Distinct scores with their positives and rows, both cumulated from the top, and both of all."""
     d = scores.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("s"))
-    return d.withColumn("tp", F.sum("p").over(w)).withColumn("k", F.sum("n").over(w))
+    d = prefix_sums(d, "s", ["p", "n"])
+    return d.select("s", "p", "n", (F.col("p_all") - F.col("p_before")).alias("tp"), (F.col("n_all") - F.col("n_before")).alias("k"), F.col("p_all").alias("pos"), F.col("n_all").alias("all"))
 
 
 def ranking(scores: DataFrame, score: str, label: str) -> DataFrame:
     """positives, rows, average precision by the step rule, ROC AUC with ties halved; null without both classes."""
     d = by_score(scores, score, label)
-    t = d.agg(F.sum("p").alias("pos"), F.sum("n").alias("all"))
-    d = d.crossJoin(F.broadcast(t))  # one row
     ap = F.sum(F.col("p") / F.nullif("pos", F.lit(0)) * F.col("tp") / F.col("k"))
     below = (F.col("all") - F.col("pos")) - (F.col("k") - F.col("tp"))  # negatives with a smaller score
     auc = F.sum(F.col("p").cast("double") * (below + (F.col("n") - F.col("p")) / 2))
@@ -41,7 +41,7 @@ def ranking(scores: DataFrame, score: str, label: str) -> DataFrame:
 
 def pr_curve(scores: DataFrame, score: str, label: str) -> DataFrame:
     d = by_score(scores, score, label)
-    return d.crossJoin(F.broadcast(d.agg(F.max("tp").alias("pos")))).select("s", (F.col("tp") / F.col("k")).alias("precision"), (F.col("tp") / F.nullif("pos", F.lit(0))).alias("recall"))
+    return d.select("s", (F.col("tp") / F.col("k")).alias("precision"), (F.col("tp") / F.nullif("pos", F.lit(0))).alias("recall"))
 
 
 def mean_pr(curves: DataFrame, run: str, steps: int = 100) -> DataFrame:
@@ -68,8 +68,10 @@ def precision_at(scores: DataFrame, score: str, label: str, keys: list[str], ks:
 
 def daily_budget(scores: DataFrame, score: str, label: str, keys: list[str], n: int) -> DataFrame:
     """Alerts of the ``n`` highest scores of each day: rows, alerts, hits, positives by day."""
-    r = ranked(scores, score, keys, ["day"]).withColumn("y", F.col(label).cast("long"))
-    return r.groupBy("day").agg(F.count("*").alias("rows"), F.count_if(F.col("rank") <= n).alias("alerts"), F.sum(F.when(F.col("rank") <= n, F.col("y")).otherwise(0)).alias("hits"), F.sum("y").alias("positives"))
+    y = F.col(label).cast("long")
+    # tasks keep their own n highest of a day before any are moved
+    top = ranked(scores, score, keys, ["day"]).filter(F.col("rank") <= n).groupBy("day").agg(F.count("*").alias("alerts"), F.sum(y).alias("hits"))
+    return scores.groupBy("day").agg(F.count("*").alias("rows"), F.sum(y).alias("positives")).join(top, "day").select("day", "rows", "alerts", "hits", "positives")
 
 
 def daily_summary(daily: DataFrame) -> DataFrame:
@@ -95,18 +97,15 @@ def campaign_recall(scores: DataFrame, score: str, campaign: str, threshold: flo
 
 
 def by_subset(scores: DataFrame, score: str, label: str, subset: str) -> DataFrame:
-    """Ranking metrics of each subset's positives against all negatives, in one pass over distinct scores."""
-    neg = scores.filter(F.col(label) == 0).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("q"))
+    """Ranking metrics of each subset's positives against all negatives, which are cumulated once and looked up."""
+    neg = prefix_sums(scores.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 0).alias("q")), "s", ["q"])
     pos = scores.filter((F.col(label) == 1) & F.col(subset).isNotNull()).groupBy(subset, F.col(score).alias("s")).agg(F.count("*").alias("p"))
-    names = pos.select(subset).distinct()
-    grid = neg.crossJoin(F.broadcast(names)).select(subset, "s", F.lit(0).cast("long").alias("p"), "q")  # scenarios are few
-    d = pos.select(subset, "s", "p", F.lit(0).cast("long").alias("q")).unionByName(grid).groupBy(subset, "s").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    w = Window.partitionBy(subset).orderBy(F.desc("s"))
+    d = pos.join(neg, "s")
     whole = Window.partitionBy(subset)
-    d = d.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("q").over(w)).withColumn("pos", F.sum("p").over(whole)).withColumn("neg", F.sum("q").over(whole))
+    d = d.withColumn("tp", F.sum("p").over(whole.orderBy(F.desc("s")))).withColumn("pos", F.sum("p").over(whole)).withColumn("fp", F.col("q_all") - F.col("q_before"))
     ap = F.sum(F.col("p") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    auc = F.sum(F.col("p") / F.col("pos") * (F.col("neg") - F.col("fp") + F.col("q") / 2) / F.nullif("neg", F.lit(0)))
-    return d.groupBy(subset).agg(F.max("pos").alias("positives"), ap.alias("pr_auc"), auc.alias("roc_auc"), F.max(F.col("pos") / (F.col("pos") + F.col("neg"))).alias("floor"))
+    auc = F.sum(F.col("p") / F.col("pos") * (F.col("q_before") + F.col("q") / 2) / F.nullif("q_all", F.lit(0)))
+    return d.groupBy(subset).agg(F.max("pos").alias("positives"), ap.alias("pr_auc"), auc.alias("roc_auc"), F.max(F.col("pos") / (F.col("pos") + F.col("q_all"))).alias("floor"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -114,7 +113,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def average_ranks(c: str) -> DataFrame:
         d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        return d.withColumn(f"_r{c}", F.sum("n").over(Window.orderBy(c)) - (F.col("n") - 1) / 2).drop("n")
+        return prefix_sums(d, c, ["n"]).select(c, (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"_r{c}"))
 
     r = df.join(average_ranks(a), a).join(average_ranks(b), b)
     constant = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))

@@ -10,8 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.operators.baselines import ecdf_table, with_shares
+from sentrylake.operators.baselines import ecdf_table, one_row, with_shares
 from sentrylake.operators.evaluation import ranked
+from sentrylake.operators.ordered import prefix_sums
+from sentrylake.operators.ordered import quantiles as exact_quantiles
 
 # ---------------------------------------------------------------- joins and windows of general use
 
@@ -64,7 +66,7 @@ def quantiles(df: DataFrame, value: str, by: list[str], at: Iterable[float], met
     """Exact quantiles of each group: linear, nearest or higher. Distinct values are counted first, so a group is not gathered."""
     at = list(at)
     if method == "linear":
-        return df.groupBy(*by).agg(*[F.percentile(value, p).alias(f"q{round(100 * p)}") for p in at])
+        return exact_quantiles(df, value, at, by).select(*by, *[F.col("q")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(at)])
     n = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by)
     n = n.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
@@ -79,7 +81,7 @@ def scenario_detection(scores: DataFrame, score: str, label: str, scenario: str,
     """Per scenario: rows, recall at the threshold and in the daily top, and the median rank share (rank 1 is the highest)."""
     day = ranked(scores, score, keys, ["day"]).withColumnRenamed("rank", "_day")
     d = scores.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    place = d.withColumn("_upto", F.sum("n").over(Window.orderBy(F.desc("s")))).withColumn("_all", F.sum("n").over(Window.partitionBy())).select("s", (100 * F.col("_upto") / F.col("_all")).alias("_pct"))
+    place = prefix_sums(d, "s", ["n"]).select("s", (100 * (F.col("n_all") - F.col("n_before")) / F.col("n_all")).alias("_pct"))
     hit = day.join(place, F.col(score) == F.col("s")).filter((F.col(label) == 1) & F.col(scenario).isNotNull())
     return hit.groupBy(scenario).agg(F.count("*").alias("n"), F.avg((F.col(score) >= threshold).cast("double")).alias("recall_threshold"), F.avg((F.col("_day") <= per_day).cast("double")).alias("recall_daily"), F.avg((F.col("_pct") <= 1).cast("double")).alias("recall_top1pct"), F.median("_pct").alias("median_rank_pct"))
 
@@ -117,8 +119,7 @@ def review_set(scored: DataFrame, train, models: list[str], features: list[str],
     for m in models:
         top = scored.orderBy(F.desc(m), *keys).limit(n).withColumn("model", F.lit(m))  # a top-n report
         parts = top if parts is None else parts.unionByName(top)
-    q = scored.filter(train).agg(*[F.percentile(c, [0.25, 0.5, 0.75, 0.99]).alias(f"_q_{c}") for c in features])
-    wide = parts.crossJoin(F.broadcast(q))  # one row
+    wide = one_row(parts, [exact_quantiles(scored.filter(train), c, [0.25, 0.5, 0.75, 0.99], name=f"_q_{c}") for c in features])
 
     def one(c: str):
         p = F.col(f"_q_{c}")
@@ -130,7 +131,7 @@ def review_set(scored: DataFrame, train, models: list[str], features: list[str],
 def score_summary(scores: DataFrame, score: str, model: str) -> DataFrame:
     """One experiment-log row: count, mean, deviation and seven quantiles."""
     at = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    one = scores.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"), F.percentile(score, at).alias("q"))
+    one = scores.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max")).crossJoin(F.broadcast(exact_quantiles(scores, score, at)))  # one row each
     return one.select(F.lit(model).alias("model"), "n", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(at)])
 
 

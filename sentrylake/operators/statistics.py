@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrylake.operators.ordered import prefix_sums
+
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """n, mean, sd, bias-corrected skewness and kurtosis, zero share, quartiles of every column, in one aggregation."""
@@ -37,8 +39,7 @@ def vif(df: DataFrame, columns: list[str]) -> dict[str, float]:
 def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
     """Mann-Whitney U of group 1 against group 0 with average ranks: AUC, Cliff's delta, and the normal approximation's z."""
     d = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == 1).alias("a"), F.count_if(F.col(group) == 0).alias("b"))
-    lower = F.coalesce(F.sum("b").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = d.withColumn("u", F.col("a").cast("double") * (lower + F.col("b") / 2)).agg(F.sum("u").alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n0"))
+    u = prefix_sums(d, "v", ["b"]).withColumn("u", F.col("a").cast("double") * (F.col("b_before") + F.col("b") / 2)).agg(F.sum("u").alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n0"))
     nm = F.nullif(F.col("n1") * F.col("n0"), F.lit(0)).cast("double")
     return u.select("n1", "n0", (F.col("u") / nm).alias("auc"), (2 * F.col("u") / nm - 1).alias("cliffs_delta"), ((F.col("u") - nm / 2) / F.sqrt(nm * (F.col("n1") + F.col("n0") + 1) / 12)).alias("z"))
 
