@@ -1,4 +1,4 @@
-"""Account-by-day features of one day's events: one aggregation pass plus one for the distributions."""
+"""Account-by-day features of one day's events, from two aggregations: events by second, and events by value."""
 
 from __future__ import annotations
 
@@ -15,41 +15,70 @@ def evenness(h: Column, states: Column) -> Column:
     return F.when(states > 1, h / F.ln(states.cast("double"))).otherwise(F.lit(0.0))
 
 
-def distribution(events: DataFrame, value: Column, name: str, peak: bool = False) -> DataFrame:
-    """Pielou evenness of ``value`` per account-day, and its most frequent value (ties: the least) if asked for."""
-    n = events.select(*KEYS, value.alias("v")).filter("v is not null").groupBy(*KEYS, "v").agg(F.count("*").alias("n"))
-    # H = ln N - sum(n ln n) / N, so no second look at the total is needed
-    extra = [F.max_by("v", F.struct("n", -F.col("v"))).alias(f"{name}_peak")] if peak else []
-    agg = n.groupBy(*KEYS).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln(F.col("n").cast("double"))).alias("s"), F.count("*").alias("k"), *extra)
-    h = F.ln(F.col("t").cast("double")) - F.col("s") / F.col("t")
-    return agg.select(*KEYS, evenness(h, F.col("k")).alias(name), *[f"{name}_peak"] * peak)
-
-
-def account_days(events: DataFrame) -> DataFrame:
-    """One row per (DomainName, UserName, day): volume, ratios, gaps, peak hour, evenness, distinct hosts and sources, entity type."""
+def seconds(events: DataFrame) -> DataFrame:
+    """One row per (account-day, second) with its counts: at most 86,400 a day, however busy the account is."""
     failed = F.col("EventID") == 4625
-    low_source = P.stripped(F.col("Source"))
-    missing = P.blank(F.col("Source")) | (F.col("Source") == "Unknown")
-    gaps = events.withColumn("gap", F.col("Time") - F.lag("Time").over(Window.partitionBy(*KEYS).orderBy("Time")))
     process = F.lower("ProcessName").startswith("proc") if "ProcessName" in events.columns else F.lit(False)
-    agg = gaps.groupBy(*KEYS).agg(
-        F.count("*").alias("total_logons"),
+    source = F.col("Source")
+    return events.groupBy(*KEYS, "Time").agg(
+        F.count("*").alias("n"),
         F.count_if(failed).alias("_fail"),
         F.count_if(failed & F.lower("FailureReason").contains("account locked out")).alias("_locked"),
-        F.count_if(P.off_hours(F.col("Time"))).alias("_off"),
-        F.avg("gap").alias("interarrival_dt_mean"),
-        F.stddev_samp("gap").alias("_gap_std"),
-        F.count_if(F.col("gap") == 0).alias("_same"),
         F.count_if(F.col("LogonType") == 2).alias("_interactive"),
         F.count_if(~F.col("LogonType").isin(2, 3)).alias("rare_logon_type_count"),
         F.count_if(F.lower("AuthenticationPackage").contains("ntlm")).alias("_ntlm"),
-        (F.count_distinct("LogHost") + F.max(F.col("LogHost").isNull().cast("int"))).alias("distinct_hosts"),
-        F.count_distinct(F.when(F.col("Source").isNotNull() & (F.col("Source") != "Unknown"), F.col("Source"))).alias("distinct_sources_count"),
-        F.count_if(missing).alias("_missing"),
-        F.count_if(F.col("Source").isNotNull() & (low_source != "Unknown") & (F.col("Source") != F.col("LogHost"))).alias("_remote"),
+        F.count_if(P.blank(source) | (source == "Unknown")).alias("_missing"),
+        F.count_if(source.isNotNull() & (P.stripped(source) != "Unknown") & (source != F.col("LogHost"))).alias("_remote"),
         F.count_if(process).alias("_custom"),
     )
+
+
+def hosts_and_sources(events: DataFrame) -> DataFrame:
+    """Per account-day: distinct hosts (null is one) and sources, and the evenness of the usable hosts."""
+    host, source = F.col("LogHost"), F.col("Source")
+    kinds = F.array(
+        F.struct(F.lit("host").alias("kind"), host.alias("v")),
+        F.struct(F.lit("usable").alias("kind"), F.when(P.present(host), P.stripped(host)).alias("v")),
+        F.struct(F.lit("source").alias("kind"), F.when(source != "Unknown", source).alias("v")),
+    )
+    n = events.select(*KEYS, F.explode(kinds).alias("x")).filter("x.v is not null or x.kind = 'host'").groupBy(*KEYS, "x.kind", "x.v").agg(F.count("*").alias("n"))
+    usable = F.col("kind") == "usable"
+    agg = n.groupBy(*KEYS).agg(
+        F.count_if(F.col("kind") == "host").alias("distinct_hosts"),
+        F.count_if(F.col("kind") == "source").alias("distinct_sources_count"),
+        F.count_if(usable).alias("k"),
+        F.sum(F.when(usable, F.col("n"))).alias("t"),
+        F.sum(F.when(usable, F.col("n") * F.ln(F.col("n").cast("double")))).alias("s"),
+    )
+    # H = ln N - sum(n ln n) / N, so no second look at the total is needed
+    h = F.ln(F.col("t").cast("double")) - F.col("s") / F.col("t")
+    return agg.select(*KEYS, "distinct_hosts", "distinct_sources_count", F.coalesce(evenness(h, F.col("k")), F.lit(0.0)).alias("dst_host_entropy"))
+
+
+def account_days(events: DataFrame) -> DataFrame:
+    """One row per (DomainName, UserName, day): volume, ratios, gaps, peak hour, evenness, distinct hosts and sources, entity type."""
+    by = Window.partitionBy(*KEYS).orderBy("Time")
+    # gaps within a second are 0: each second brings n - 1 of them and one to the second before
+    rows = seconds(events).withColumn("gap", (F.col("Time") - F.lag("Time").over(by)).cast("double")).withColumn("hour", P.hour(F.col("Time")))
+    total = lambda c: F.sum(c).alias(c)
+    agg = rows.groupBy(*KEYS).agg(
+        F.sum("n").alias("total_logons"),
+        *[total(c) for c in ("_fail", "_locked", "_interactive", "rare_logon_type_count", "_ntlm", "_missing", "_remote", "_custom")],
+        F.sum(F.when(P.off_hours(F.col("Time")), F.col("n")).otherwise(0)).alias("_off"),
+        (F.sum("n") - F.count("*")).alias("_same"),
+        (F.max("Time") - F.min("Time")).cast("double").alias("_length"),
+        F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)).alias("_squares"),
+        F.array(*[F.sum(F.when(F.col("hour") == h, F.col("n")).otherwise(0)) for h in range(24)]).alias("_hours"),
+    )
     share = lambda c: (F.col(c) / F.col("total_logons"))
+    gaps = F.col("total_logons") - 1
+    mean = F.when(gaps > 0, F.col("_length") / gaps)
+    spread = F.sqrt(F.greatest((F.col("_squares") - F.col("_length") * F.col("_length") / gaps) / (gaps - 1), F.lit(0.0)))
+    agg = agg.withColumn("interarrival_dt_mean", mean).withColumn("_gap_std", F.when(gaps > 1, spread))
+    used = F.filter("_hours", lambda n: n > 0)
+    agg = agg.withColumn("_sum", F.aggregate(used, F.lit(0.0), lambda a, n: a + n * F.ln(n.cast("double")))).withColumn("_k", F.size(used))
+    peak = F.array_position("_hours", F.array_max("_hours")) - 1
+    turn = 2 * 3.141592653589793 / 24
     out = agg.select(
         *KEYS,
         P.entity_type(F.col("UserName")).alias("entity_type"),
@@ -64,23 +93,14 @@ def account_days(events: DataFrame) -> DataFrame:
         share("_interactive").alias("interactive_ratio"),
         "rare_logon_type_count",
         share("_ntlm").alias("ntlm_ratio"),
-        "distinct_hosts",
-        "distinct_sources_count",
         share("_missing").alias("missing_source_ratio"),
         share("_remote").alias("remote_logon_ratio"),
         share("_custom").alias("custom_proc_share"),
+        evenness(F.ln(F.col("total_logons").cast("double")) - F.col("_sum") / F.col("total_logons"), F.col("_k")).alias("hour_entropy"),
+        F.sin(peak * turn).alias("activity_peak_hour_sin"),
+        F.cos(peak * turn).alias("activity_peak_hour_cos"),
     )
-    hours = distribution(events, P.hour(F.col("Time")), "hour_entropy", peak=True)
-    hosts = distribution(events, F.when(P.present(F.col("LogHost")), P.stripped(F.col("LogHost"))), "dst_host_entropy")
-    turn = 2 * 3.141592653589793 / 24
-    return (
-        out.join(hours, KEYS)
-        .join(hosts, KEYS, "left")
-        .withColumn("activity_peak_hour_sin", F.sin(F.col("hour_entropy_peak") * turn))
-        .withColumn("activity_peak_hour_cos", F.cos(F.col("hour_entropy_peak") * turn))
-        .drop("hour_entropy_peak")
-        .na.fill(0.0, ["dst_host_entropy"])
-    )
+    return out.join(hosts_and_sources(events), KEYS)
 
 
 def processed(matrix: DataFrame) -> DataFrame:

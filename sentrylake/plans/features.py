@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.functions import predicates as P
 from sentrylake.operators.history import ACCOUNT, KEYS, at, robust_z
 from sentrylake.operators.intraday import evenness
+from sentrylake.operators.ordered import quantiles
 from sentrylake.plans.grammar import Feature, by_name
+from sentrylake.storage import Scratch
 
 MINUTES = {"5m": 300, "15m": 900, "60m": 3600}
 
@@ -34,90 +38,96 @@ def prepared(events: DataFrame) -> DataFrame:
     )
 
 
+#: columns that a profile can be asked for, besides the account-day
+VALUES = ["Source", "LogHost", "pair", "hour", "logon_type", "auth", "fail_reason"]
+FLAGS = ["fail", "success", "night"]
+
+
 class Planner:
-    """Builds each shared table once and reuses it for every feature that needs it."""
+    """Turns features into tables of (account-day, x), which ``build`` brings together in one aggregation.
+
+    The events are read once into a cube: counts by account-day, flags and values, written. Profiles come from the
+    cube; one that several of the named features need is written too. A table has a row only where its feature isn't at its default.
+    """
 
-    def __init__(self, events: DataFrame, types: DataFrame | None = None):
-        self.events = prepared(events)
-        self.days = self.events.groupBy(*KEYS).agg(F.count("*").alias("n_all"), *[F.count_if(F.col(o)).alias(f"n_{o}") for o in ("fail", "success", "night")])
+    def __init__(self, events: DataFrame, types: DataFrame | None = None, names: list[str] = ()):
+        self.events, self.scratch = prepared(events), Scratch(events.sparkSession, "features")
+        self.cube = self.scratch.write(self.events.groupBy(*KEYS, *FLAGS, *VALUES).agg(F.count("*").alias("n")), "cube")
+        self.days = self.scratch.write(self.cube.groupBy(*KEYS).agg(F.sum("n").alias("n_all"), *[F.sum(F.when(F.col(o), F.col("n")).otherwise(0)).alias(f"n_{o}") for o in FLAGS]), "days")
         self.types = types if types is not None else self.days.select(*KEYS, P.entity_type(F.col("UserName")).alias("entity_type"))
         self._first = self.days.agg(F.min("day").alias("first"))
-        self._profiles: dict[tuple[str, str], DataFrame] = {}
+        self._needed = Counter((f.obj, f.entity) for f in map(by_name, names) if f.entity in VALUES)
+        self._made: dict[tuple, DataFrame] = {}
 
     def profile(self, obj: str, entity: str) -> DataFrame:
         """keys, v, n: how often each value occurs among the object's events."""
-        if (obj, entity) not in self._profiles:
-            rows = self.events.filter(F.col(obj) & F.col(entity).isNotNull())
-            self._profiles[obj, entity] = rows.groupBy(*KEYS, F.col(entity).alias("v")).agg(F.count("*").alias("n"))
-        return self._profiles[obj, entity]
+        if (obj, entity) not in self._made:
+            rows = self.cube if obj == "all" else self.cube.filter(F.col(obj))
+            made = rows.filter(F.col(entity).isNotNull()).groupBy(*KEYS, F.col(entity).alias("v")).agg(F.sum("n").alias("n"))
+            self._made[obj, entity] = self.scratch.write(made, "profile") if self._needed[obj, entity] > 1 else made
+        return self._made[obj, entity]
 
-    def _fill(self, part: DataFrame, value: Column, name: str) -> DataFrame:
-        """All account-days, with ``value`` over the columns of ``part``."""
-        return self.days.select(*KEYS).join(part, KEYS, "left").select(*KEYS, value.alias(name))
-
-    def _warm(self, df: DataFrame, days: int, name: str) -> DataFrame:
+    def _warm(self, df: DataFrame, days: int) -> DataFrame:
         df = df.crossJoin(F.broadcast(self._first))  # one row
-        return df.select(*KEYS, F.when(F.col("day") - days >= F.col("first"), F.col(name)).alias(name))
+        return df.select(*KEYS, F.when(F.col("day") - days >= F.col("first"), F.col("x")).alias("x"))
 
     def base(self, f: Feature) -> DataFrame:
+        """keys and base of all account-days."""
         if f.base == "count":
             return self.days.select(*KEYS, F.log1p(f"n_{f.obj}").alias("base"))
         if f.base == "share":
             return self.days.select(*KEYS, (F.col(f"n_{f.obj}") / F.col("n_all")).alias("base"))
-        n = self.profile(f.obj, f.entity).groupBy(*KEYS).agg(F.count("*").alias("k"))
-        return self._fill(n, F.log1p(F.coalesce("k", F.lit(0))), "base")
+        k = self.profile(f.obj, f.entity).select(*KEYS, F.lit(1).alias("k")).unionByName(self.days.select(*KEYS, F.lit(0).alias("k")))
+        return k.groupBy(*KEYS).agg(F.log1p(F.sum("k")).alias("base"))
 
-    def column(self, f: Feature, window: int | None = None) -> DataFrame:
-        """keys and the feature, under its own name; ``window`` overrides the days of the past and keeps the name."""
+    def column(self, f: Feature, window: int | None = None) -> tuple[DataFrame, float | None]:
+        """(keys, x) and the feature's value on the other account-days; ``window`` overrides the days of the past."""
         if not f.grammatical:
             raise ValueError(f"{f.name} means nothing")
-        w = window or f.days
-        return getattr(self, f"_{f.measure}")(f, w)
+        part = getattr(self, f"_{f.measure}")(f, window or f.days)
+        return part, 0.0 if f.measure in ("count", "distinct", "fanout", "novelty") else None
 
     def _count(self, f: Feature, w: int) -> DataFrame:
         if f.window == "1d":
-            return self.days.select(*KEYS, F.log1p(f"n_{f.obj}").alias(f.name))
+            return self.days.select(*KEYS, F.log1p(f"n_{f.obj}").alias("x"))
         bucket = F.floor(F.col("Time") / MINUTES[f.window])
-        most = self.events.filter(F.col(f.obj)).groupBy(*KEYS, bucket.alias("b")).agg(F.count("*").alias("n")).groupBy(*KEYS).agg(F.max("n").alias("m"))
-        return self._fill(most, F.log1p(F.coalesce("m", F.lit(0))), f.name)
+        most = self.events.filter(F.col(f.obj)).groupBy(*KEYS, bucket.alias("b")).agg(F.count("*").alias("n"))
+        return most.groupBy(*KEYS).agg(F.log1p(F.max("n")).alias("x"))
 
     def _share(self, f: Feature, w: int) -> DataFrame:
-        return self.days.select(*KEYS, (F.col(f"n_{f.obj}") / F.col("n_all")).alias(f.name))
+        return self.days.select(*KEYS, (F.col(f"n_{f.obj}") / F.col("n_all")).alias("x"))
 
     def _distinct(self, f: Feature, w: int) -> DataFrame:
         if f.window == "1d":
-            return self.base(f).withColumnRenamed("base", f.name)
+            return self.profile(f.obj, f.entity).groupBy(*KEYS).agg(F.log1p(F.count("*")).alias("x"))
         bucket = F.floor(F.col("Time") / MINUTES[f.window])
-        rows = self.events.filter(F.col(f.obj) & F.col(f.entity).isNotNull()).groupBy(*KEYS, bucket.alias("b")).agg(F.count_distinct(f.entity).alias("n"))
-        return self._fill(rows.groupBy(*KEYS).agg(F.max("n").alias("m")), F.log1p(F.coalesce("m", F.lit(0))), f.name)
+        rows = self.events.filter(F.col(f.obj) & F.col(f.entity).isNotNull()).groupBy(*KEYS, bucket.alias("b"), f.entity).agg(F.lit(1).alias("one"))
+        return rows.groupBy(*KEYS, "b").agg(F.count("*").alias("n")).groupBy(*KEYS).agg(F.log1p(F.max("n")).alias("x"))
 
     def _evenness(self, f: Feature, w: int) -> DataFrame:
         agg = self.profile(f.obj, f.entity).groupBy(*KEYS).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln(F.col("n").cast("double"))).alias("s"), F.count("*").alias("k"))
-        h = F.ln(F.col("t").cast("double")) - F.col("s") / F.col("t")
-        return self._fill(agg, F.when(F.col("k").isNotNull(), evenness(h, F.col("k"))), f.name)
+        return agg.select(*KEYS, evenness(F.ln(F.col("t").cast("double")) - F.col("s") / F.col("t"), F.col("k")).alias("x"))
 
     def _fanout(self, f: Feature, w: int) -> DataFrame:
-        # accounts per value of a day by a count of distinct account rows: no self-join
-        n = self.profile(f.obj, f.entity).withColumn("m", F.count("*").over(Window.partitionBy("day", "v")))
-        return self._fill(n.groupBy(*KEYS).agg(F.max("m").alias("m")), F.log1p(F.coalesce("m", F.lit(0))), f.name)
+        # accounts per value of a day are counted before they meet the accounts again: a value that all accounts have is one row
+        n = self.profile(f.obj, f.entity).select(*KEYS, "v")
+        return n.join(n.groupBy("day", "v").agg(F.count("*").alias("m")), ["day", "v"]).groupBy(*KEYS).agg(F.log1p(F.max("m")).alias("x"))
 
     def _dated(self, f: Feature, w: int) -> DataFrame:
         prev = F.lag("day").over(Window.partitionBy(*ACCOUNT, "v").orderBy("day"))
         return self.profile(f.obj, f.entity).withColumn("prev", prev).withColumn("new", F.col("prev").isNull() | (F.col("prev") < F.col("day") - w))
 
     def _novelty(self, f: Feature, w: int) -> DataFrame:
-        return self._fill(self._dated(f, w).groupBy(*KEYS).agg(F.count_if("new").alias("k")), F.log1p(F.coalesce("k", F.lit(0))), f.name)
+        return self._dated(f, w).groupBy(*KEYS).agg(F.log1p(F.count_if("new")).alias("x"))
 
     def _novelty_share(self, f: Feature, w: int) -> DataFrame:
-        part = self._dated(f, w).groupBy(*KEYS).agg((F.sum(F.when(F.col("new"), F.col("n")).otherwise(0)) / F.sum("n")).alias("s"))
-        return self._fill(part, F.col("s"), f.name)
+        return self._dated(f, w).groupBy(*KEYS).agg((F.sum(F.when(F.col("new"), F.col("n")).otherwise(0)) / F.sum("n")).alias("x"))
 
     def _recency(self, f: Feature, w: int) -> DataFrame:
         if f.entity == "event":
             gap = F.col("day") - F.lag("day").over(Window.partitionBy(*ACCOUNT).orderBy("day"))
-            return self.days.select(*KEYS, gap.cast("double").alias(f.name))
-        part = self._dated(f, 0).groupBy(*KEYS).agg(F.min(F.col("day") - F.col("prev")).cast("double").alias("r"))
-        return self._fill(part, F.col("r"), f.name)
+            return self.days.select(*KEYS, gap.cast("double").alias("x"))
+        return self._dated(f, 0).groupBy(*KEYS).agg(F.min(F.col("day") - F.col("prev")).cast("double").alias("x"))
 
     def _past_profile(self, f: Feature, w: int) -> DataFrame:
         """keys (of active days within ``w`` days after), v, past: the values of the days before, pooled."""
@@ -129,25 +139,29 @@ class Planner:
         """keys, v, now, past by one union and one aggregation, instead of a full join."""
         now = self.profile(f.obj, f.entity).select(*KEYS, "v", F.col("n").alias("now"), F.lit(0).cast("long").alias("past"))
         then = self._past_profile(f, w).select(*KEYS, "v", F.lit(0).cast("long").alias("now"), "past")
-        return now.unionByName(then).groupBy(*KEYS, "v").agg(F.sum("now").alias("now"), F.sum("past").alias("past"))
+        key = ("both", f.obj, f.entity, w)
+        if key not in self._made:
+            made = now.unionByName(then).groupBy(*KEYS, "v").agg(F.sum("now").alias("now"), F.sum("past").alias("past"))
+            self._made[key] = self.scratch.write(made, "both") if self._needed[f.obj, f.entity] > 1 else made
+        return self._made[key]
 
     def _jaccard(self, f: Feature, w: int) -> DataFrame:
         a = self._both(f, w).groupBy(*KEYS).agg(F.count_if((F.col("now") > 0) & (F.col("past") > 0)).alias("i"), F.count("*").alias("u"), F.count_if(F.col("past") > 0).alias("h"))
-        return self._fill(a, F.when(F.col("h") > 0, F.col("i") / F.col("u")), f.name)
+        return a.select(*KEYS, F.when(F.col("h") > 0, F.col("i") / F.col("u")).alias("x"))
 
     def _dist_shift(self, f: Feature, w: int) -> DataFrame:
         per = Window.partitionBy(*KEYS)
         both = self._both(f, w).withColumn("tn", F.sum("now").over(per)).withColumn("tp", F.sum("past").over(per))
         gap = F.abs(F.coalesce(F.col("now") / F.nullif("tn", F.lit(0)), F.lit(0.0)) - F.col("past") / F.nullif("tp", F.lit(0)))
         a = both.groupBy(*KEYS).agg((F.sum(gap) / 2).alias("d"), F.max("tn").alias("tn"), F.max("tp").alias("tp"))
-        return self._fill(a, F.when((F.col("tp") > 0) & (F.col("tn") > 0), F.col("d")), f.name)
+        return a.select(*KEYS, F.when((F.col("tp") > 0) & (F.col("tn") > 0), F.col("d")).alias("x"))
 
     def _delta_mean(self, f: Feature, w: int) -> DataFrame:
         past = Window.partitionBy(*ACCOUNT).orderBy("day").rangeBetween(-w, -1)
         b = self.base(f)
         # counts of inactive days are 0, shares of inactive days don't exist
         mean = F.avg("base").over(past) if f.base == "share" else F.coalesce(F.sum("base").over(past), F.lit(0.0)) / w
-        return self._warm(b.withColumn(f.name, F.col("base") - mean), w, f.name)
+        return self._warm(b.withColumn("x", F.col("base") - mean), w)
 
     def _deviation(self, f: Feature, w: int) -> DataFrame:
         past = Window.partitionBy(*ACCOUNT).orderBy("day").rangeBetween(-w, -1)
@@ -157,25 +171,28 @@ class Planner:
         b = b.withColumn("m", F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / w)
         std = F.sqrt(F.aggregate(p, F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))) / (w - 1))
         b = b.withColumn("s", std)
-        return self._warm(b.withColumn(f.name, robust_z(F.col("base"), at(p, 0.5, w), at(p, 0.25, w), at(p, 0.75, w), F.col("s"))), w, f.name)
+        return self._warm(b.withColumn("x", robust_z(F.col("base"), at(p, 0.5, w), at(p, 0.25, w), at(p, 0.75, w), F.col("s"))), w)
 
     def _active_days(self, f: Feature, w: int) -> DataFrame:
         past = Window.partitionBy(*ACCOUNT).orderBy("day").rangeBetween(-w, -1)
-        return self._warm(self.days.withColumn(f.name, F.count("*").over(past).cast("double")), w, f.name)
+        return self._warm(self.days.withColumn("x", F.count("*").over(past).cast("double")), w)
 
     def _peer_z(self, f: Feature, w: int) -> DataFrame:
         b = self.base(f).join(self.types, KEYS)
+        by = ["day", "entity_type"]
         # peers by aggregation and join, not by a window that holds a whole peer group in one task
-        peers = b.groupBy("day", "entity_type").agg(F.percentile("base", [0.25, 0.5, 0.75]).alias("q"), F.stddev_samp("base").alias("sd"))
+        peers = quantiles(b, "base", [0.25, 0.5, 0.75], by).join(b.groupBy(*by).agg(F.stddev_samp("base").alias("sd")), by)
         z = robust_z(F.col("base"), F.col("q")[1], F.col("q")[0], F.col("q")[2], F.coalesce("sd", F.lit(0.0)))
-        return b.join(peers, ["day", "entity_type"]).select(*KEYS, z.alias(f.name))
-
-
-def build(events: DataFrame, names: list[str], window: int | None = None, suffix: str = "") -> DataFrame:
-    """All account-days with the named features; ``suffix`` marks another window's columns."""
-    planner = Planner(events)
-    out = planner.days.select(*KEYS)
-    for name in names:
-        column = planner.column(by_name(name), window)
-        out = out.join(column.withColumnRenamed(name, name + suffix), KEYS, "left")
-    return out
+        return b.join(peers, by).select(*KEYS, z.alias("x"))
+
+
+def build(events: DataFrame, names: list[str], window: int | None = None, suffix: str = "", planner: Planner | None = None) -> DataFrame:
+    """All account-days with the named features; ``suffix`` marks another window's columns. One union and one aggregation."""
+    planner = planner or Planner(events, names=names)
+    rows, columns = planner.days.select(*KEYS, F.lit(-1).alias("f"), F.lit(None).cast("double").alias("x")), []
+    for i, name in enumerate(names):
+        part, default = planner.column(by_name(name), window)
+        rows = rows.unionByName(part.select(*KEYS, F.lit(i).alias("f"), F.col("x").cast("double").alias("x")))
+        x = F.max(F.when(F.col("f") == i, F.col("x")))
+        columns.append((x if default is None else F.coalesce(x, F.lit(default))).alias(name + suffix))
+    return rows.groupBy(*KEYS).agg(*columns)
