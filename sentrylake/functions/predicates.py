@@ -131,5 +131,9 @@ def nearest_quantile(values: Column, p: float) -> Column:
 
 
 def hash_uniform(*keys: Column) -> Column:
-    """A value in [0, 1) that depends on the keys alone: seeded sampling that survives any partitioning."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    """A value in [0, 1) that depends on the keys alone: seeded sampling that survives any partitioning, and any engine.
+
+    The first 52 bits of the MD5 of the keys' texts, joined by a bar; a null key is an empty text.
+    """
+    text = F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)

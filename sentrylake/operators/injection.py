@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sentrylake.functions import predicates as P
 
 ACCOUNT = ["DomainName", "UserName"]
-#: fields that each operation may change; fixed values
+#: fields that each operation may change; fixed values of the log
 CHANGES = {"retarget": {"UserName", "DomainName", "SubjectUserName", "SubjectDomainName"}, "times": {"Time", "day"}, "source": {"Source"}, "loghost": {"LogHost"}, "retype": {"LogonType", "LogonTypeDescription"}, "failures": {"EventID", "FailureReason", "Status", "Time", "day"}}
 
 
@@ -29,7 +29,7 @@ def between(low: int, high: int, *keys: Column) -> Column:
 def template_pool(events: DataFrame, first: int, last: int, peers_per_group: int = 200, seed: int = 42) -> DataFrame:
     """Training events only: all of the accounts' own, and a capped, hash-ordered pool per entity type and event id for peers."""
     train = events.filter(F.col("day").between(first, last)).withColumn("entity_type", P.entity_type(F.col("UserName")))
-    order = Window.partitionBy("entity_type", "EventID").orderBy(F.xxhash64("event_id", F.lit(seed)), "event_id")
+    order = Window.partitionBy("entity_type", "EventID").orderBy(P.hash_uniform(F.col("event_id"), F.lit(seed)), "event_id")
     peers = train.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= peers_per_group).drop("r").withColumn("origin", F.lit("peer"))
     return train.withColumn("origin", F.lit("own")).unionByName(peers)
 
@@ -37,7 +37,7 @@ def template_pool(events: DataFrame, first: int, last: int, peers_per_group: int
 def pick(pool: DataFrame, by: list[str], n: int, seed: int, replace: bool = False) -> DataFrame:
     """``n`` templates per key by hash order; with replacement, the same template may come again under another ``copy``."""
     if not replace:
-        w = Window.partitionBy(*by).orderBy(F.xxhash64("event_id", F.lit(seed)), "event_id")
+        w = Window.partitionBy(*by).orderBy(P.hash_uniform(F.col("event_id"), F.lit(seed)), "event_id")
         return pool.withColumn("copy", F.row_number().over(w)).filter(F.col("copy") <= n)
     numbered = pool.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("event_id")) - 1)
     draws = pool.groupBy(*by).agg(F.count("*").alias("size")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
@@ -66,7 +66,11 @@ def retype(events: DataFrame, logon_type: int) -> DataFrame:
     return out.withColumn("LogonTypeDescription", F.lit(P.LOGON_TYPES.get(logon_type, "Unknown"))) if "LogonTypeDescription" in events.columns else out
 
 
-def as_failures(events: DataFrame, reason: str = "Unknown user name or bad password.") -> DataFrame:
+#: how the log words a wrong password; a fixed value
+WRONG_PASSWORD = "Unknown user name or bad password."
+
+
+def as_failures(events: DataFrame, reason: str = WRONG_PASSWORD) -> DataFrame:
     return events.withColumn("EventID", F.lit(4625)).withColumn("FailureReason", F.lit(reason))
 
 
@@ -91,7 +95,7 @@ def spread(day: Column, from_hour: int, to_hour: int, *keys: Column) -> Column:
 
 
 def compressed_night(time: Column) -> Column:
-    """The whole day laid into the five hours from one o'clock."""
+    """The whole day laid into the five hours from one o'clock; the hour and the length are fixed values of the scenario."""
     base = F.floor(time / P.DAY) * P.DAY
     return base + 3600 + F.floor((time - base) * 5 / 24)
 
@@ -121,17 +125,24 @@ def low_off_hours(events: DataFrame, most: float = 0.1) -> DataFrame:
     return events.groupBy(*ACCOUNT).agg((F.count_if(P.off_hours(F.col("Time"))) / F.count("*")).alias("off_hours_ratio")).filter(F.col("off_hours_ratio") <= most)
 
 
-def unseen_sources(events: DataFrame, low: float, high: float) -> DataFrame:
-    """account, Source: sources of a popularity band (by accounts) that the account never used, as candidates of one hash-chosen each."""
-    popular = events.filter(P.profile_source(F.col("Source"))).groupBy("Source").agg(F.count_distinct(F.struct(*ACCOUNT)).alias("n"))
+def unseen_sources(events: DataFrame, low: float, high: float, seed: int = 42) -> DataFrame:
+    """account, Source: one source of a popularity band (by accounts) that the account never used; no row for one that used them all.
+
+    Each account starts at a hash-drawn place of the band's list and takes the next source, cyclically, that it has not
+    used: the first gap in its own used places, so no pairs of accounts and sources are formed.
+    """
+    used = events.filter(P.profile_source(F.col("Source"))).select(*ACCOUNT, "Source").distinct()
+    popular = used.groupBy("Source").agg(F.count("*").alias("n"))
     band = popular.withColumn("q", F.percent_rank().over(Window.orderBy("n", "Source"))).filter(F.col("q").between(low, high)).select("Source")  # one row a machine
     numbered = band.withColumn("i", F.row_number().over(Window.orderBy("Source")) - 1)
     size = numbered.agg(F.count("*").alias("size"))
-    # several hash draws per account instead of all pairs; the first unseen one is taken
-    who = events.select(*ACCOUNT).distinct().crossJoin(F.broadcast(size)).filter("size > 0").withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(8))))
-    drawn = who.withColumn("i", F.floor(P.hash_uniform(*[F.col(c) for c in ACCOUNT], F.col("try")) * F.col("size")).cast("int")).join(numbered, "i")
-    fresh = drawn.join(events.select(*ACCOUNT, "Source").distinct(), [*ACCOUNT, "Source"], "left_anti")
-    return fresh.groupBy(*ACCOUNT).agg(F.min_by("Source", "try").alias("Source"))
+    start = F.floor(P.hash_uniform(*[F.col(c) for c in ACCOUNT], F.lit(seed)) * F.col("size"))
+    mine = used.join(numbered, "Source").crossJoin(F.broadcast(size)).withColumn("ahead", F.pmod(F.col("i") - start, F.col("size")))
+    order = Window.partitionBy(*ACCOUNT).orderBy("ahead")  # at most as many rows as the band has sources
+    gaps = mine.withColumn("k", F.row_number().over(order) - 1).groupBy(*ACCOUNT).agg(F.coalesce(F.min(F.when(F.col("ahead") != F.col("k"), F.col("k"))), F.count("*")).alias("step"))
+    who = events.select(*ACCOUNT).distinct().join(gaps, ACCOUNT, "left").crossJoin(F.broadcast(size))
+    who = who.withColumn("step", F.coalesce("step", F.lit(0))).filter(F.col("step") < F.col("size"))
+    return who.withColumn("i", F.pmod(start + F.col("step"), F.col("size")).cast("int")).join(numbered, "i").select(*ACCOUNT, "Source")
 
 
 def quota(rows: int, rate: float) -> int:
@@ -196,11 +207,11 @@ def logon_type_switch(events: DataFrame, to: int = 5) -> DataFrame:
 
 def lateral_fanout(own: DataFrame, hosts: DataFrame, per_victim: int = 10, seed: int = 42) -> DataFrame:
     """Successes on many hosts: each victim's rows walk a hash-ordered list of hosts (``host`` column)."""
-    numbered = hosts.withColumn("i", F.row_number().over(Window.orderBy(F.xxhash64("host", F.lit(seed)), "host")) - 1)  # one row a machine
+    numbered = hosts.withColumn("i", F.row_number().over(Window.orderBy(P.hash_uniform(F.col("host"), F.lit(seed)), "host")) - 1)  # one row a machine
     size = numbered.agg(F.count("*").alias("size"))
     one = own.groupBy(*ACCOUNT).agg(F.min_by(F.struct(*[c for c in own.columns if c not in ACCOUNT]), "event_id").alias("t")).select(*ACCOUNT, "t.*").drop("LogHost")
     rows = one.crossJoin(F.broadcast(size)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(per_victim - 1))))
-    rows = rows.withColumn("i", F.pmod(F.xxhash64(*ACCOUNT, F.lit(seed)) + F.col("copy"), F.col("size")).cast("int")).join(numbered, "i").withColumnRenamed("host", "LogHost")
+    rows = rows.withColumn("i", F.pmod(F.floor(P.hash_uniform(*[F.col(c) for c in ACCOUNT], F.lit(seed)) * F.col("size")) + F.col("copy"), F.col("size")).cast("int")).join(numbered, "i").withColumnRenamed("host", "LogHost")
     return at_times(rows.withColumn("EventID", F.lit(4624)).withColumn("FailureReason", F.lit(None).cast("string")), burst(F.col("Time"), 3600, F.col("copy"), F.lit(seed))).drop("i", "size", "copy")
 
 

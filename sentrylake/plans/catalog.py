@@ -15,6 +15,7 @@ from sentrylake.operators import baselines, cleaning, detectors, evaluation, his
 from sentrylake.plans import features, grammar
 from sentrylake.sources import authlog
 from sentrylake.sources.authlog import AUTH_SQL
+from sentrylake.storage import Scratch
 
 FLAGSHIP = "f_account_day"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,7 +118,8 @@ def f_failure_streaks(spark, d):
 
 @query(
     "f_contract",
-    f"""SELECT count(*) AS rows, count(*) AS distinct_keys, 0::BIGINT AS null_keys, 0::BIGINT AS out_of_range_failure_ratio, 0::BIGINT AS out_of_range_ntlm_ratio FROM (SELECT {K} FROM auth GROUP BY {K})""",
+    f"""SELECT count(*) AS rows, count(DISTINCT (DomainName, UserName, day)) AS distinct_keys, count_if(DomainName IS NULL OR UserName IS NULL OR day IS NULL) AS null_keys, count_if(f < 0 OR f > 1) AS out_of_range_failure_ratio, count_if(t < 0 OR t > 1) AS out_of_range_ntlm_ratio
+FROM (SELECT {K}, count_if(EventID = 4625) / count(*) AS f, count_if(lower(AuthenticationPackage) LIKE '%ntlm%') / count(*) AS t FROM auth GROUP BY {K})""",
 )
 def f_contract(spark, d):
     return intraday.validate(intraday.account_days(auth(spark, d)), ["failure_ratio", "ntlm_ratio"])
@@ -158,12 +160,35 @@ def h_volume_z(spark, d):
 # ---------------------------------------------------------------- grammar and its features
 
 
-@query("g_catalog")
+def text_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+#: the grammar's rules over its fixed values: what fits, names, costs, targets, and why a combination is left out
+GRAMMAR_SQL = f"""m AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {text_list(v.entities)}, {text_list(v.windows)}, {v.weight}, '{v.direction}', {text_list(v.objects)})" for k, v in grammar.MEASURES.items())}) AS t(measure, entities, windows, weight, direction, objects)),
+e AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in grammar.SPOKEN.items())}) AS t(entity, spoken)),
+known AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{o}', '{e}', '{w}')" for k, v in grammar.KNOWN.items() for o, e, w in v)}) AS t(measure, obj, entity, "window")),
+x AS (SELECT measure, obj, entity, "window", direction, weight, spoken, windows, measure IN ('deviation', 'delta_mean', 'peer_z') AS on_base, measure IN ('novelty', 'novelty_share', 'jaccard', 'dist_shift', 'deviation', 'delta_mean') AS past,
+    CASE WHEN entity <> 'event' THEN 'distinct' WHEN obj = 'all' THEN 'count' ELSE 'share' END AS base, entity IN ('Source', 'LogHost', 'pair') AS place,
+    list_contains(objects, obj) AND list_contains(entities, entity) AND list_contains(windows, "window") AND NOT (entity = 'fail_reason' AND obj <> 'fail') AND NOT (entity = 'hour' AND (obj = 'night' OR "window" IN ('5m', '15m', '60m'))) AS fits
+  FROM m CROSS JOIN (SELECT unnest({text_list(grammar.OBJECTS)}) AS obj) CROSS JOIN e CROSS JOIN (SELECT unnest({text_list(grammar.WINDOWS)}) AS "window")),
+y AS (SELECT *, concat_ws('_', measure, CASE WHEN on_base THEN base END, nullif(obj, 'all'), nullif(spoken, ''), nullif("window", '1d')) AS name,
+    weight + CAST(obj <> 'all' AS INT) + CAST(entity IN ('pair', 'auth', 'fail_reason') AS INT) + CAST("window" IN ('14d', 'hist') AS INT) AS cost,
+    CASE WHEN obj = 'fail' THEN CASE WHEN place OR entity = 'event' THEN 'brute_force,password_spraying' WHEN entity = 'fail_reason' THEN 'brute_force' ELSE '' END
+      WHEN obj = 'night' THEN CASE WHEN entity = 'event' THEN 'off_hours' ELSE '' END
+      WHEN entity IN ('hour', 'logon_type') THEN CASE WHEN NOT past THEN '' WHEN entity = 'hour' THEN 'off_hours' ELSE 'logon_type_switch' END
+      WHEN place THEN CASE WHEN measure IN ('evenness', 'fanout') THEN '' WHEN entity = 'Source' THEN 'new_workstation_burst' WHEN entity = 'LogHost' THEN 'lateral_fanout' ELSE 'lateral_fanout,new_workstation_burst' END
+      WHEN entity = 'event' AND measure IN ('delta_mean', 'deviation', 'active_days', 'recency') THEN 'dormant_wakeup' ELSE '' END AS scenarios,
+    ("window" = '14d' AND list_contains(windows, '7d')) OR "window" IN ('5m', '60m') OR measure = 'deviation' OR (obj = 'success' AND measure NOT IN ('novelty', 'novelty_share')) AS redundant FROM x),
+g AS (SELECT measure, obj, entity, "window", name, cost, direction, CASE WHEN NOT fits THEN 'grammar_invalid' WHEN (measure, obj, entity, "window") IN (SELECT (measure, obj, entity, "window") FROM known) THEN 'dropped_r1' WHEN scenarios = '' THEN 'dropped_r2' WHEN cost > 3 THEN 'dropped_r3' WHEN redundant THEN 'dropped_r4' ELSE 'round2' END AS status, scenarios FROM y)"""
+
+
+@query("g_catalog", f"WITH {GRAMMAR_SQL} SELECT * FROM g", with_auth=False)
 def g_catalog(spark, d):
     return grammar.catalog(spark)
 
 
-@query("g_funnel", "SELECT * FROM (VALUES ('grammar_invalid', 2665), ('dropped_r1', 20), ('dropped_r2', 209), ('dropped_r3', 56), ('dropped_r4', 108), ('round2', 78)) AS t(status, n)", with_auth=False)
+@query("g_funnel", f"WITH {GRAMMAR_SQL} SELECT status, CAST(count(*) AS INT) AS n FROM g GROUP BY status", with_auth=False)
 def g_funnel(spark, d):
     return grammar.catalog(spark).groupBy("status").agg(F.count("*").cast("int").alias("n"))
 
@@ -251,19 +276,38 @@ SELECT {K}, round(sum(CASE WHEN p IS NULL OR p < day - 7 THEN y.n ELSE 0 END) /
     "evenness_source": f""", {A}, {values_sql("Source", "TRUE")} SELECT {K}, CASE WHEN count(x.v) > 0 THEN round(CASE WHEN count(x.v) > 1 THEN (ln(sum(x.n)) - sum(x.n * ln(x.n)) / sum(x.n)) / ln(count(x.v)) ELSE 0.0 END, 6) + 0.0 END AS evenness_source FROM a LEFT JOIN x USING ({K}) GROUP BY {K}""",
     "recency_source_hist": f""", {A}, {values_sql("Source", "TRUE")}, y AS (SELECT *, lag(day) OVER (PARTITION BY DomainName, UserName, v ORDER BY day) AS p FROM x) SELECT {K}, CAST(min(day - p) AS DOUBLE) AS recency_source_hist FROM a LEFT JOIN y USING ({K}) GROUP BY {K}""",
     "active_days_7d": f""", {A} SELECT {K}, CASE WHEN day - 7 >= d0 THEN CAST(count(*) OVER (PARTITION BY DomainName, UserName ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS DOUBLE) END AS active_days_7d FROM a, d0""",
-    "deviation_7d": None,
+    "deviation_count_7d": _SQL["h_volume_z"].replace("volume_robust_z_7d", "deviation_count_7d").split(f"{AUTH_SQL}", 1)[1],
 }.items():
-    feature("deviation_count_7d" if _name == "deviation_7d" else _name, _sql)
+    feature(_name, _sql)
+
+
+def joined_sql(names: list[str], columns: str = "*") -> str:
+    """The account-days of several queries' SQL, side by side."""
+    first, *rest = (f"({_SQL[n]}) AS _{i}" for i, n in enumerate(names))
+    return f"SELECT {columns} FROM {first} " + " ".join(f"JOIN {x} USING ({K})" for x in rest)
+
+
+def fourteen(name: str) -> str:
+    """The SQL of a feature against 14 days instead of 7, its column marked so."""
+    return _SQL[f"e_{name}"].replace("day - 7", "day - 14").replace("RANGE BETWEEN 7 PRECEDING", "RANGE BETWEEN 14 PRECEDING").replace("0) / 7", "0) / 14").replace(f"AS {name}", f"AS {name}_14")
 
 
-@query("e_multiwindow")
+@query(
+    "e_multiwindow",
+    joined_sql(["e_novelty_logontype_7d", "e_delta_mean_count_7d"]) + f" JOIN ({fourteen('novelty_logontype_7d')}) AS _8 USING ({K}) JOIN ({fourteen('delta_mean_count_7d')}) AS _9 USING ({K})",
+    with_auth=False,
+)
 def e_multiwindow(spark, d):
     a = auth(spark, d)
     names = ["novelty_logontype_7d", "delta_mean_count_7d"]
     return features.build(a, names, 14, "_14").join(features.build(a, names), KEYS)
 
 
-@query("f_matrix")
+@query(
+    "f_matrix",
+    joined_sql(["f_account_day", "h_new_entities", "h_days_since", "h_volume_z", *[f"e_{n}" for n in grammar.SHIPPED]], "* EXCLUDE (new_source_count, source_recency)"),
+    with_auth=False,
+)
 def f_matrix(spark, d):
     """The whole matrix: intraday, history and the shipped grammar features."""
     a = auth(spark, d)
@@ -271,12 +315,24 @@ def f_matrix(spark, d):
     return m.join(features.build(a, grammar.SHIPPED), KEYS)
 
 
-@query("n_leakage", "SELECT 0::BIGINT AS novelty_logontype_7d, 0::BIGINT AS jaccard_source_7d, 0::BIGINT AS delta_mean_count_7d", with_auth=False)
+LEAKS = ["novelty_logontype_7d", "jaccard_source_7d", "delta_mean_count_7d"]
+
+
+def cut_sql(name: str) -> str:
+    """A feature's SQL over the first twenty days alone."""
+    return _SQL[f"e_{name}"].replace("FROM events)", "FROM events WHERE ts < TIMESTAMP '2024-01-21')").replace(f"AS {name}", f"AS {name}__cut")
+
+
+@query(
+    "n_leakage",
+    f"SELECT {', '.join(f'count_if(({c} IS NULL) <> ({c}__cut IS NULL) OR coalesce(abs({c} - {c}__cut) > 1e-9, FALSE)) AS {c}' for c in LEAKS)} FROM ({joined_sql([f'e_{c}' for c in LEAKS])}) AS a "
+    + " ".join(f"JOIN ({cut_sql(c)}) AS c{i} USING ({K})" for i, c in enumerate(LEAKS)),
+    with_auth=False,
+)
 def n_leakage(spark, d):
     """Cutting off the last ten days moves no feature of the days before."""
-    names = ["novelty_logontype_7d", "jaccard_source_7d", "delta_mean_count_7d"]
     a = auth(spark, d)
-    return statistics.unchanged_without(features.build(a, names), features.build(a.filter("day <= 20"), names), KEYS, names)
+    return statistics.unchanged_without(features.build(a, LEAKS), features.build(a.filter("day <= 20"), LEAKS), KEYS, LEAKS)
 
 
 # ---------------------------------------------------------------- cleaning and quality
@@ -316,7 +372,7 @@ def a_column_quality(spark, d):
     return cleaning.column_quality(auth(spark, d), ["Source", "FailureReason"])
 
 
-@query("d_sanity", """SELECT count(*) AS n, 0::BIGINT AS bad_event_id, count_if("Time" < 0) AS negative_time, 0::BIGINT AS success_with_reason, 0::BIGINT AS failure_without_reason, 0::BIGINT AS outside_day FROM auth""")
+@query("d_sanity", """SELECT count(*) AS n, count_if(EventID IS NULL OR EventID NOT IN (4624, 4625)) AS bad_event_id, count_if("Time" < 0) AS negative_time, count_if(EventID = 4624 AND trim(coalesce(FailureReason, '')) <> '') AS success_with_reason, count_if(EventID = 4625 AND trim(coalesce(FailureReason, '')) = '') AS failure_without_reason, count_if("Time" // 86400 + 1 <> day) AS outside_day FROM auth""")
 def d_sanity(spark, d):
     return cleaning.sanity(auth(spark, d))
 
@@ -452,7 +508,12 @@ def m_lockouts(spark, d):
     return profiles.lockouts(auth(spark, d), GAP)
 
 
-@query("m_lockout_threshold")
+@query(
+    "m_lockout_threshold",
+    f"""WITH s AS (SELECT streak FROM ({_SQL["m_lockouts"]}) WHERE streak >= 1), n AS (SELECT streak, count(*) AS n FROM s GROUP BY streak)
+SELECT (SELECT streak FROM n ORDER BY n DESC, streak LIMIT 1) AS threshold, max(n) AS support, CAST(sum(n) AS BIGINT) AS episodes, (SELECT median(streak) FROM s) AS median_streak FROM n""",
+    with_auth=False,
+)
 def m_lockout_threshold(spark, d):
     return profiles.lockout_threshold(profiles.lockouts(auth(spark, d), GAP))
 
@@ -502,7 +563,14 @@ def b_scale(spark, d):
     return baselines.scaled(orders(spark, d), F.col("train"), ["price"]).select("o_orderkey", "price")
 
 
-@query("b_quantile_normal")
+@query(
+    "b_quantile_normal",
+    f"""WITH {O_SQL}, c AS (SELECT price, count_if(train) AS t, sum(count_if(train)) OVER (ORDER BY price) AS upto, sum(count_if(train)) OVER () AS n FROM o GROUP BY price),
+p AS (SELECT price, greatest(1e-6, least(1 - 1e-6, (upto - t + t / 2) / n)) AS p FROM c), q AS (SELECT price, p, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM p),
+z AS (SELECT price, p, t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) AS z FROM q)
+SELECT o_orderkey, round(CASE WHEN p < 0.5 THEN -z ELSE z END, 6) + 0.0 AS z FROM o JOIN z USING (price)""".replace("count_if(train) AS t,", "CAST(sum(CAST(train AS INT)) AS DOUBLE) AS t,"),
+    with_auth=False,
+)
 def b_quantile_normal(spark, d):
     return baselines.quantile_normal(orders(spark, d), F.col("train"), "price", "z").select("o_orderkey", "z")
 
@@ -517,7 +585,14 @@ def b_zscore(spark, d):
     return baselines.z_scores(orders(spark, d), F.col("train"), ["price", "cust"], ["o_orderkey"])
 
 
-@query("b_zscore_account")
+@query(
+    "b_zscore_account",
+    f"""WITH {O_SQL}, l AS (SELECT o_orderkey, o_custkey, train, price AS v FROM o), g AS (SELECT median(v) AS m FROM l WHERE train), gs AS (SELECT any_value(m) AS m, 1.4826 * median(abs(v - m)) AS s FROM l, g WHERE train),
+a AS (SELECT o_custkey, median(v) AS am, count(*) AS n FROM l WHERE train GROUP BY o_custkey HAVING count(*) >= 5), d AS (SELECT o_custkey, am, abs(v - am) AS d FROM l JOIN a USING (o_custkey) WHERE train),
+s AS (SELECT o_custkey, any_value(am) AS am, 1.4826 * CASE WHEN median(d) > 1e-9 THEN median(d) ELSE quantile_cont(d, 0.25) FILTER (d > 1e-9) END AS as_ FROM d GROUP BY o_custkey)
+SELECT o_orderkey, o_custkey, round(CASE WHEN coalesce(as_, gs.s) > 0 THEN abs(v - coalesce(am, gs.m)) / coalesce(as_, gs.s) ELSE 0 END, 6) AS zscore FROM l LEFT JOIN s USING (o_custkey), gs""",
+    with_auth=False,
+)
 def b_zscore_account(spark, d):
     """An account's own scale where it has five training rows, else the global one."""
     return baselines.z_scores(orders(spark, d), F.col("train"), ["price"], ["o_orderkey", "o_custkey"], account=["o_custkey"])
@@ -535,12 +610,18 @@ def b_failure_count(spark, d):
     return baselines.failure_count(m, 2).select(*KEYS, "failure_count", "failure_alert")
 
 
-@query("b_random")
+def uniform_sql(*keys: str) -> str:
+    """The same draw as ``hash_uniform``."""
+    texts = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {texts})), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+@query("b_random", f"SELECT o_orderkey, round({uniform_sql('o_orderkey', '42', '0')}, 6) AS random_score FROM orders", with_auth=False)
 def b_random(spark, d):
     return baselines.random_score(orders(spark, d).select("o_orderkey"), ["o_orderkey"])
 
 
-@query("b_content_random")
+@query("b_content_random", f"WITH {O_SQL} SELECT o_orderkey, round(price, 6) AS price, round({uniform_sql('CAST(floor(price * 1e6) AS BIGINT)')}, 6) AS random_score FROM o", with_auth=False)
 def b_content_random(spark, d):
     return baselines.content_random(orders(spark, d).select("o_orderkey", "price"), ["price"])
 
@@ -623,7 +704,14 @@ def v_pr_curve(spark, d):
     return evaluation.pr_curve(scores(spark, d), "score", "y")
 
 
-@query("v_mean_pr")
+@query(
+    "v_mean_pr",
+    f"""WITH {S_SQL}, d AS (SELECT doc_id % 2 AS run, score, sum(y) AS p, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT run, sum(p) OVER w AS tp, sum(n) OVER w AS k, sum(p) OVER (PARTITION BY run) AS pos FROM d WINDOW w AS (PARTITION BY run ORDER BY score DESC)),
+g AS (SELECT run, i / 20 AS "at", max(tp / k) AS precision FROM c JOIN (SELECT unnest(range(21)) AS i) ON tp / pos >= i / 20 - 1e-12 GROUP BY run, i)
+SELECT round(g."at", 6) AS "at", round(avg(precision), 6) AS precision, count(*) AS runs FROM g GROUP BY g."at"
+""",
+    with_auth=False,
+)
 def v_mean_pr(spark, d):
     s = scores(spark, d)
     curves = None
@@ -794,25 +882,60 @@ def _plan(a: DataFrame) -> DataFrame:
     return injection.victims(a, [22, 23]).select("DomainName", "UserName", (F.lit(22) * P.DAY + 36_000).cast("long").alias("start"))
 
 
-@query("i_brute_force")
+def burst_sql(start: str, seconds: int, *keys: str) -> str:
+    return f"""least({start} + CAST(floor({uniform_sql(*keys)} * {seconds}) AS BIGINT), ({start} // 86400 + 1) * 86400 - 1)"""
+
+
+PLAN_SQL = f"""one AS (SELECT DomainName, UserName, min(event_id) AS event_id FROM auth WHERE day <= {SPLIT} GROUP BY ALL),
+plan AS (SELECT DomainName, UserName, CAST(22 * 86400 + 36000 AS BIGINT) AS start FROM auth WHERE day IN (22, 23) AND UserName LIKE 'User%' GROUP BY ALL)"""
+
+
+@query(
+    "i_brute_force",
+    f""", {PLAN_SQL}, b AS (SELECT *, {burst_sql("start", 600, "event_id", "copy", "42")} AS t FROM plan JOIN one USING (DomainName, UserName), (SELECT unnest(range(1, 31)) AS copy))
+SELECT DomainName, UserName, event_id, t AS "Time", CAST(t // 86400 + 1 AS INT) AS day, 4625 AS EventID, '{injection.WRONG_PASSWORD}' AS FailureReason FROM b""",
+)
 def i_brute_force(spark, d):
     a = auth(spark, d)
     return injection.brute_force(a.filter(F.col("day") <= SPLIT), _plan(a)).select("DomainName", "UserName", "event_id", "Time", "day", "EventID", "FailureReason")
 
 
-@query("i_spraying")
+@query(
+    "i_spraying",
+    f""", {PLAN_SQL}, b AS (SELECT *, {burst_sql("start", 1800, "event_id", "1", "42")} AS t FROM plan JOIN one USING (DomainName, UserName))
+SELECT DomainName, UserName, t AS "Time", CAST(t // 86400 + 1 AS INT) AS day, 4625 AS EventID, 'S99' AS Source FROM b""",
+)
 def i_spraying(spark, d):
     a = auth(spark, d)
     return injection.password_spraying(a.filter(F.col("day") <= SPLIT), _plan(a), "S99").select("DomainName", "UserName", "Time", "day", "EventID", "Source")
 
 
-@query("i_workstation_burst")
+UNSEEN_SQL = f"""used AS (SELECT DISTINCT DomainName, UserName, Source FROM auth WHERE Source IS NOT NULL), band AS (SELECT Source, row_number() OVER (ORDER BY Source) - 1 AS i, count(*) OVER () AS size FROM (SELECT DISTINCT Source FROM used)),
+who AS (SELECT DomainName, UserName, size, CAST(floor({uniform_sql("DomainName", "UserName", "42")} * size) AS BIGINT) AS start FROM (SELECT DISTINCT DomainName, UserName FROM auth), (SELECT max(size) AS size FROM band)),
+steps AS (SELECT w.DomainName, w.UserName, min((b.i - start + w.size) % w.size) AS step FROM who w CROSS JOIN band b WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.DomainName = w.DomainName AND u.UserName = w.UserName AND u.Source = b.Source) GROUP BY ALL),
+fresh AS (SELECT DomainName, UserName, Source AS fresh FROM who JOIN steps USING (DomainName, UserName) JOIN band ON i = (start + step) % who.size)"""
+
+
+@query("i_unseen_sources", f", {UNSEEN_SQL} SELECT DomainName, UserName, fresh AS Source FROM fresh")
+def i_unseen_sources(spark, d):
+    return injection.unseen_sources(auth(spark, d), 0.0, 1.0)
+
+
+@query(
+    "i_workstation_burst",
+    f""", {UNSEEN_SQL} SELECT DomainName, UserName, event_id, {burst_sql('"Time"', 300, "event_id", "copy", "42")} AS "Time", fresh AS Source FROM auth JOIN fresh USING (DomainName, UserName), (SELECT unnest(range(1, 6)) AS copy) WHERE day = 22""",
+)
 def i_workstation_burst(spark, d):
     a = auth(spark, d)
     return injection.workstation_burst(a.filter("day = 22"), injection.unseen_sources(a, 0.0, 1.0)).select("DomainName", "UserName", "event_id", "Time", "Source")
 
 
-@query("i_lateral_fanout")
+@query(
+    "i_lateral_fanout",
+    f""", h AS (SELECT host, row_number() OVER (ORDER BY {uniform_sql("host", "42")}, host) - 1 AS i, count(*) OVER () AS size FROM (SELECT DISTINCT LogHost AS host FROM auth)),
+one AS (SELECT DomainName, UserName, min_by("Time", event_id) AS t FROM auth WHERE day = 22 GROUP BY ALL), c AS (SELECT *, (CAST(floor({uniform_sql("DomainName", "UserName", "42")} * size) AS BIGINT) + copy) % size AS i FROM one, (SELECT max(size) AS size FROM h), (SELECT unnest(range(5)) AS copy))
+SELECT DomainName, UserName, {burst_sql("t", 3600, "copy", "42")} AS "Time", host AS LogHost FROM c JOIN h USING (i)""",
+)
 def i_lateral_fanout(spark, d):
     a = auth(spark, d)
     return injection.lateral_fanout(a.filter("day = 22"), a.select(F.col("LogHost").alias("host")).distinct(), 5).select("DomainName", "UserName", "Time", "LogHost")
@@ -889,10 +1012,27 @@ def v_complementarity(spark, d):
     return reporting.complementarity(scores(spark, d).withColumn("long", F.col("score") >= 3000).withColumn("poor", F.col("quality") == 0), "y", ["long", "poor"])
 
 
-@query("v_daily_scoring")
+WHY = ["failure_ratio", "off_hours_ratio", "total_logons", "distinct_hosts"]
+
+
+def tail_sql(c: str) -> str:
+    """Each value's share of training rows that lie farther out, ties halved."""
+    counts = f"SELECT {c}, CAST(sum(CAST(day <= {SPLIT} AS INT)) AS DOUBLE) AS t FROM b GROUP BY {c}"
+    return f"t_{c} AS (SELECT {c}, least(m, 1 - m) AS beyond_{c} FROM (SELECT {c}, (sum(t) OVER (ORDER BY {c}) - t + t / 2) / sum(t) OVER () AS m FROM ({counts})))"
+
+
+@query(
+    "v_daily_scoring",
+    f""", b AS (SELECT {K}, count(*) AS total_logons, count_if(EventID = 4625) / count(*) AS failure_ratio, count_if({OFF}) / count(*) AS off_hours_ratio, count(DISTINCT LogHost) AS distinct_hosts FROM auth GROUP BY {K}), {", ".join(map(tail_sql, WHY))},
+j AS (SELECT *, failure_ratio + off_hours_ratio AS score FROM b {" ".join(f"JOIN t_{c} USING ({c})" for c in WHY)}),
+r AS (SELECT {K}, f, row_number() OVER (PARTITION BY {K} ORDER BY beyond, f) AS i FROM ({" UNION ALL ".join(f"SELECT {K}, '{c}' AS f, coalesce(beyond_{c}, 0.5) AS beyond FROM j" for c in WHY)})),
+w AS (SELECT {K}, string_agg(f, ',' ORDER BY i) AS reasons FROM r WHERE i <= 3 GROUP BY {K})
+SELECT {K}, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY day ORDER BY score DESC, {K}) AS INT) AS rank, score >= 1.2 AS alert, reasons FROM j JOIN w USING ({K})""",
+)
 def v_daily_scoring(spark, d):
-    m = intraday.account_days(auth(spark, d)).withColumn("score", F.col("failure_ratio") + F.col("off_hours_ratio")).persist()  # read once per feature
-    return reporting.daily_scoring(m, F.col("day") <= SPLIT, ["failure_ratio", "off_hours_ratio", "total_logons", "distinct_hosts"], "score", KEYS, 1.2).withColumn("reasons", F.array_join("reasons", ","))
+    m = intraday.account_days(auth(spark, d)).select(*KEYS, *WHY).withColumn("score", F.col("failure_ratio") + F.col("off_hours_ratio"))
+    m = Scratch(spark, "scoring").write(m, "scored")  # read once per feature
+    return reporting.daily_scoring(m, F.col("day") <= SPLIT, WHY, "score", KEYS, 1.2).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("v_review_set", f"WITH {O_SQL}, q AS (SELECT quantile_cont(price, [0.25, 0.5, 0.75, 0.99]) AS q FROM o WHERE train), t AS (SELECT * FROM o ORDER BY price DESC, o_orderkey LIMIT 20) SELECT 'price' AS model, o_orderkey, 'price' AS feature, round(price, 6) AS value, round((price - q[2]) / (q[3] - q[1]), 6) AS deviation, price > q[4] AS beyond_p99 FROM t, q", with_auth=False)
