@@ -84,6 +84,12 @@ def entity_type(user: Column, admins: Iterable[str] = ("administrator",), system
     )
 
 
+def population(user: Column, drop_machine: bool = False, drop_system: bool = False) -> Column:
+    """Rows that stay: all, or all but machines, or all but system accounts."""
+    gone = [k for k, drop in (("Machine", drop_machine), ("System", drop_system)) if drop]
+    return ~entity_type(user).isin(*gone) if gone else F.lit(True)
+
+
 def failure_kind(event_id: Column, reason: Column) -> Column:
     """locked, bad_pw or other for a failure; null for anything else."""
     low = F.lower(reason)

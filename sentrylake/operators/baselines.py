@@ -143,11 +143,43 @@ def with_shares(matrix: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def ecdf_rules(matrix: DataFrame, train: Column, features: list[str]) -> DataFrame:
-    """The greatest left ECDF over the features; null counts as 0."""
-    out = with_shares(matrix, {c: ecdf_table(matrix, train, c, f"_e{i}") for i, c in enumerate(features)})
-    parts = [F.coalesce(F.col(f"_e{i}"), F.lit(0.0)) for i in range(len(features))]
-    return out.withColumn("ecdf_score", F.greatest(*parts, F.lit(0.0))).drop(*[f"_e{i}" for i in range(len(features))])
+def ecdf_rules(matrix: DataFrame, train: Column, features: list[str], external: dict[str, float] | None = None) -> DataFrame:
+    """The greatest left ECDF over the features; null counts as 0. A feature with an ``external`` threshold is 1 from there on, else 0."""
+    external = external or {}
+    if set(external) - set(features):
+        raise ValueError(f"external thresholds of other columns: {sorted(set(external) - set(features))}")
+    own = [c for c in features if c not in external]
+    out = with_shares(matrix, {c: ecdf_table(matrix, train, c, f"_e{i}") for i, c in enumerate(own)})
+    parts = [F.coalesce(F.col(f"_e{i}"), F.lit(0.0)) for i in range(len(own))]
+    parts += [F.coalesce((F.col(c) >= limit).cast("double"), F.lit(0.0)) for c, limit in external.items()]
+    return out.withColumn("ecdf_score", F.greatest(*parts, F.lit(0.0))).drop(*[f"_e{i}" for i in range(len(own))])
+
+
+def registry_z(matrix: DataFrame, train: Column, features: list[str], how: str = "robust") -> DataFrame:
+    """The greatest absolute z over the features, null as its middle: classic (mean, deviation) or robust (median; MAD, else
+    IQR / 1.349, else the deviation, else 1). Adds ``z_score``."""
+    if how not in ("classic", "robust"):
+        raise ValueError(how)
+    fit, parts = matrix.filter(train), []
+    for c in features:
+        moments = fit.agg(F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))
+        if how == "robust":
+            moments = moments.crossJoin(quantiles(fit, c, [0.25, 0.5, 0.75], name=f"_q_{c}"))
+            apart = fit.crossJoin(F.broadcast(quantiles(fit, c, [0.5], name="_m"))).select(F.abs(F.col(c) - F.col("_m")[0]).alias("d"))
+            moments = moments.crossJoin(quantiles(apart, "d", [0.5], name=f"_d_{c}"))
+        parts.append(moments)  # one row each
+
+    def z(c: str) -> Column:
+        if how == "classic":
+            middle, scale = F.col(f"_a_{c}"), F.col(f"_s_{c}")
+        else:
+            q, mad = F.col(f"_q_{c}"), 1.4826 * F.col(f"_d_{c}")[0]
+            iqr = (q[2] - q[0]) / 1.349
+            middle, scale = q[1], F.when(mad > 0, mad).when(iqr > 0, iqr).otherwise(F.col(f"_s_{c}"))
+        return F.coalesce(F.abs(F.col(c) - middle) / F.when(scale > 0, scale).otherwise(1.0), F.lit(0.0))
+
+    wide = one_row(matrix, parts)
+    return wide.withColumn("z_score", F.greatest(*[z(c) for c in features], F.lit(0.0))).select(*matrix.columns, "z_score")
 
 
 def budget_threshold(scores: DataFrame, score: str, rate: float, method: str = "linear") -> DataFrame:

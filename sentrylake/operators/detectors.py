@@ -7,6 +7,7 @@ basis of the SVM. Models of the forest and the SVM are plain dictionaries of lis
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentrylake.operators.baselines import ecdf
+from sentrylake.storage import Scratch
 
 
 def vector(features: list[str]):
@@ -24,8 +26,6 @@ def vector(features: list[str]):
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """A written table, as fitting reads it more than once."""
-    from sentrylake.llm.shared import Scratch  # the folder of spark.checkpoint.dir
-
     return Scratch(df.sparkSession, "detectors").write(df, name)
 
 
@@ -335,7 +335,10 @@ def fit_and_score(matrix: DataFrame, train, features: list[str], detector: str,
 
 
 def by_segment(matrix: DataFrame, train, features: list[str], detector: str, segment: str, segments: list[str], **parameters) -> DataFrame:
-    """A model of its own for every enabled segment; other rows are left out."""
+    """A model of its own for every enabled segment; rows of other segments are left out, with a warning that counts them."""
+    others = {r[0]: r[1] for r in matrix.filter(F.col(segment).isNull() | ~F.col(segment).isin(*segments)).groupBy(segment).count().collect()}  # one row a segment
+    if others:
+        warnings.warn(f"rows of other segments are not scored: {others}", stacklevel=2)
     out = None
     for s in segments:
         part = fit_and_score(matrix.filter(F.col(segment) == s), train, features, detector, **parameters)

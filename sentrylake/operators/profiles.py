@@ -114,7 +114,8 @@ def rule_statistics(events: DataFrame) -> DataFrame:
     keys = [*ACCOUNT, "day"]
     days = events.select(*keys).distinct().withColumn("first", F.min("day").over(Window.partitionBy(*ACCOUNT)))
     fails = events.filter((F.col("EventID") == 4625) & P.profile_source(F.col("Source"))).select(*keys, "Source").distinct()
-    spray = fails.withColumn("m", F.count("*").over(Window.partitionBy("day", "Source"))).groupBy(*keys).agg(F.max("m").alias("r2"))
+    # accounts of a source are counted before they meet the accounts again: a source that all use is one row
+    spray = fails.join(fails.groupBy("day", "Source").agg(F.count("*").alias("m")), ["day", "Source"]).groupBy(*keys).agg(F.max("m").alias("r2"))
 
     def unseen(value: str, usable, count) -> DataFrame:
         rows = events.filter(usable).groupBy(*keys, value).agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import itertools
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -92,6 +93,13 @@ def budget_curve(scores: DataFrame, score: str, label: str, keys: list[str], bud
     return r.agg(F.count("*").alias("n"), *[F.count_if(F.col("rank") <= b).alias(f"b{b}") for b in budgets]).select("n", F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), (F.col(f"b{b}") / F.nullif("n", F.lit(0))).alias("recall")) for b in budgets])).alias("x")).select("x.*")
 
 
+def top_fraction(scores: DataFrame, score: str, keys: list[str], fraction: float, how: str = "ceil") -> DataFrame:
+    """The highest share of all rows: rounded up, or to the nearest (half to even, at least one). A report of that many rows."""
+    n = scores.count()
+    size = math.ceil(fraction * n) if how == "ceil" else min(max(1, round(fraction * n)), n)
+    return scores.orderBy(F.desc(score), *keys).limit(size)
+
+
 def budget_needed(scores: DataFrame, score: str, label: str, scenario: str, keys: list[str]) -> DataFrame:
     """Daily budgets at which half and four fifths of a scenario's rows are caught."""
     r = ranked(scores, score, keys, ["day"]).filter((F.col(label) == 1) & F.col(scenario).isNotNull())

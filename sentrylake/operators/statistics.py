@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.operators.ordered import prefix_sums
+from sentrylake.operators.ordered import prefix_sums, quantiles
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -106,3 +106,40 @@ def unchanged_without(last: DataFrame, shorter: DataFrame, keys: list[str], colu
     j = last.join(shorter.select(*keys, *[F.col(c).alias(f"{c}__cut") for c in columns]), keys)
     differs = lambda c: (F.col(c).isNull() != F.col(f"{c}__cut").isNull()) | F.coalesce(F.abs(F.col(c) - F.col(f"{c}__cut")) > eps, F.lit(False))
     return j.agg(*[F.count_if(differs(c)).alias(c) for c in columns])
+
+
+def scenario_auc(rows: DataFrame, directions: dict[str, str], scenario: str, least: float = 0.7) -> DataFrame:
+    """feature, scenario, auc, passes: how well a feature ranks a scenario's rows above the unmarked ones.
+
+    A null feature counts as the unmarked rows' median. ``down`` turns the AUC round; ``both`` takes the better side.
+    """
+    normal, out = rows.filter(F.col(scenario).isNull()), None
+    names = [r[0] for r in rows.filter(F.col(scenario).isNotNull()).select(scenario).distinct().orderBy(scenario).collect()]  # scenarios are few
+    for feature, direction in directions.items():
+        filled = rows.crossJoin(F.broadcast(quantiles(normal, feature, [0.5], name="_m"))).withColumn("_x", F.coalesce(F.col(feature).cast("double"), F.col("_m")[0]))
+        d = filled.groupBy(F.col("_x").alias("v")).agg(F.count_if(F.col(scenario).isNull()).alias("b"), *[F.count_if(F.col(scenario) == n).alias(f"a{i}") for i, n in enumerate(names)])
+        d = prefix_sums(d, "v", ["b"])  # unmarked rows are cumulated once for all scenarios
+        u = d.agg(F.max("b_all").alias("unmarked"), *[x for i in range(len(names)) for x in (F.sum(F.col(f"a{i}") * (F.col("b_before") + F.col("b") / 2)).alias(f"u{i}"), F.sum(f"a{i}").alias(f"n{i}"))])
+        auc = lambda i: F.col(f"u{i}") / F.nullif(F.col(f"n{i}") * F.col("unmarked"), F.lit(0))
+        turned = {"up": auc, "down": lambda i: 1 - auc(i), "both": lambda i: F.greatest(auc(i), 1 - auc(i))}[direction]  # noqa: B023
+        one = u.select(F.explode(F.array(*[F.struct(F.lit(feature).alias("feature"), F.lit(n).alias("scenario"), turned(i).alias("auc")) for i, n in enumerate(names)])).alias("x")).select("x.*")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("passes", F.coalesce(F.col("auc") >= least, F.lit(False)))
+
+
+def by_kind(matrix: DataFrame, kind: str, one: str, other: str, expected: dict[str, str]) -> DataFrame:
+    """feature, medians, means and IQRs of two kinds of rows, and whether the expectation holds of the first against the second.
+
+    ``higher`` and ``lower`` compare medians, and means where those are equal; ``wider`` compares IQRs.
+    """
+    out = None
+    for feature, hope in expected.items():
+        q = quantiles(matrix, feature, [0.25, 0.5, 0.75], [kind]).join(matrix.groupBy(kind).agg(F.avg(feature).alias("mean")), kind)
+        at = lambda c, k: F.max(F.when(F.col(kind) == k, c))
+        row = q.agg(*[x for name, k in (("one", one), ("other", other)) for x in (at(F.col("q")[1], k).alias(f"median_{name}"), at(F.col("mean"), k).alias(f"mean_{name}"), at(F.col("q")[2] - F.col("q")[0], k).alias(f"iqr_{name}"))])
+        more = F.when(F.col("median_one") != F.col("median_other"), F.col("median_one") > F.col("median_other")).otherwise(F.col("mean_one") > F.col("mean_other"))
+        less = F.when(F.col("median_one") != F.col("median_other"), F.col("median_one") < F.col("median_other")).otherwise(F.col("mean_one") < F.col("mean_other"))
+        holds = {"higher": more, "lower": less, "wider": F.col("iqr_one") > F.col("iqr_other")}[hope]
+        row = row.select(F.lit(feature).alias("feature"), F.lit(hope).alias("expected"), "*", holds.alias("holds"))
+        out = row if out is None else out.unionByName(row)
+    return out

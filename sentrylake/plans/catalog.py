@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.functions import predicates as P
-from sentrylake.operators import baselines, cleaning, detectors, evaluation, history, injection, intraday, profiles, reporting, statistics
+from sentrylake.operators import baselines, cleaning, detectors, evaluation, history, injection, intraday, profiles, reporting, runner, statistics
 from sentrylake.plans import features, grammar
 from sentrylake.sources import authlog
 from sentrylake.sources.authlog import AUTH_SQL
@@ -1050,6 +1050,196 @@ def d_candidates(spark, d):
     return reporting.candidate_counts(auth(spark, d), 25, [2, 5], [0.6, 0.8])
 
 
+# ---------------------------------------------------------------- methods run together
+
+RANKED = f"rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r, row_number() OVER (PARTITION BY day ORDER BY score DESC, doc_id) AS dr FROM s)"
+SIZES = (10, 50, 100)
+
+
+def daily_sql(source: str) -> str:
+    per = ", ".join(f"count_if(dr <= {n}) AS a{n}, sum(CASE WHEN dr <= {n} THEN y ELSE 0 END) AS h{n}" for n in SIZES)
+    return f"dd AS (SELECT day, {per}, sum(y) AS p FROM {source} GROUP BY day)"
+
+
+@query("r_split_record", ", x AS (SELECT min(day) AS min_day, max(day) AS max_day, count_if(day <= 21) AS n_train, count_if(day > 21) AS n_eval, count(DISTINCT CASE WHEN day <= 21 THEN day END) AS n_train_days, count(DISTINCT CASE WHEN day > 21 THEN day END) AS n_eval_days FROM auth) SELECT 21 AS split_day, *, round(n_eval / (n_train + n_eval), 6) AS eval_ratio FROM x")
+def r_split_record(spark, d):
+    return runner.split_record(auth(spark, d), SPLIT)
+
+
+@query("r_eval_days", "SELECT day, count(*) AS n FROM auth WHERE day IN (23, 25) GROUP BY day")
+def r_eval_days(spark, d):
+    return runner.restrict_days(auth(spark, d), SPLIT, [25, 23]).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("r_percentile", f"WITH {S_SQL}, n AS (SELECT count(*) AS n FROM s WHERE y = 0) SELECT doc_id, round(greatest(0.0, least(1.0, ((SELECT count(*) FROM s AS r WHERE r.y = 0 AND r.score <= s.score) - 1) / (n - 1))), 6) + 0.0 AS pct FROM s, n", with_auth=False)
+def r_percentile(spark, d):
+    s = scores(spark, d)
+    return runner.percentile_among(s, "score", s.filter("y = 0"), "score", "pct").select("doc_id", "pct")
+
+
+@query(
+    "r_ks",
+    f"""WITH {S_SQL}, g AS (SELECT score AS v, count_if(day <= 10) AS a, count_if(day > 10) AS b FROM s GROUP BY score), n AS (SELECT sum(a) AS na, sum(b) AS nb FROM g),
+k AS (SELECT max(abs(fa - fb)) AS ks FROM (SELECT sum(a) OVER (ORDER BY v) / na AS fa, sum(b) OVER (ORDER BY v) / nb AS fb FROM g, n))
+SELECT CAST(na AS BIGINT) AS n_fit, CAST(nb AS BIGINT) AS n_eval, round(ks, 6) AS ks, round(1 - (SELECT count(*) FROM g WHERE b > 0) / nb, 6) AS ties_share, (SELECT v FROM g ORDER BY b DESC, v LIMIT 1) AS mode, round((SELECT max(b) FROM g) / nb, 6) AS mode_share FROM n, k""",
+    with_auth=False,
+)
+def r_ks(spark, d):
+    s = scores(spark, d)
+    return runner.ks_report(s.filter("day <= 10"), s.filter("day > 10"), "score")
+
+
+@query(
+    "r_labelled_metrics",
+    f"""WITH {S_SQL}, {CUM}, {RANKED}, {daily_sql("rk")}, u AS (SELECT sum(c.p / t.P * tp / k) AS ap, sum(c.p * (t.N - t.P - (k - tp) + (c.n - c.p) / 2)) / any_value(t.P * (t.N - t.P)) AS roc FROM c, t)
+SELECT CAST(t.P AS BIGINT) AS n_positive, round(100 * t.P / t.N, 6) AS positive_rate_pct, round(ap, 6) AS pr_auc, round(roc, 6) AS roc_auc, {", ".join(f"round(CASE WHEN t.N >= {k} THEN (SELECT sum(y) FROM rk WHERE r <= {k}) / {k} END, 6) AS precision_at_{k}" for k in SIZES)},
+round((SELECT sum(y) FROM rk WHERE r <= greatest(1, round_even(0.05 * t.N, 0))) / t.P, 6) AS recall_at_budget, {", ".join(f"round((SELECT sum(h{n}) FROM dd) / t.P, 6) AS recall_at_{n}_per_day, round((SELECT avg(h{n} / a{n}) FROM dd), 6) AS precision_at_{n}_per_day" for n in SIZES)} FROM t, u""",
+    with_auth=False,
+)
+def r_labelled_metrics(spark, d):
+    return runner.labelled_metrics(scores(spark, d), "score", "y", ["doc_id"], SIZES, 0.05, SIZES)
+
+
+@query(
+    "r_evaluate",
+    f"""WITH {S_SQL}, a AS (SELECT *, doc_id % 13 = 0 AS gone FROM s), e AS (SELECT * FROM a WHERE NOT gone), rk AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, doc_id) AS dr FROM e), {daily_sql("rk")},
+x AS (SELECT count_if(score > 5000 AND y = 1) AS tp, count_if(score > 5000 AND y <> 1) AS fp, count_if(score <= 5000 AND y = 1) AS fn, count_if(score <= 5000 AND y <> 1) AS tn FROM e),
+al AS (SELECT count(*) AS n_days, avg(n) AS m, median(n) AS md, min(n) AS lo, max(n) AS hi FROM (SELECT day, count_if(score > 5000) AS n FROM e GROUP BY day)), cp AS (SELECT count(*) AS campaigns, count_if(c) AS campaigns_caught FROM (SELECT source, bool_or(score > 5000) AS c FROM e WHERE y = 1 GROUP BY source)),
+c AS (SELECT score, sum(y) AS p, sum(sum(y)) OVER (ORDER BY score DESC) AS tp, sum(count(*)) OVER (ORDER BY score DESC) AS k FROM e GROUP BY score), t AS (SELECT sum(y) AS P, count(*) AS N FROM e)
+SELECT (SELECT count(*) FROM a) AS n_rows, (SELECT count_if(gone) FROM a) AS n_excluded, t.N AS n_eval, x.tp, fp, fn, tn, round(x.tp / nullif(x.tp + fp, 0), 6) AS precision, round(x.tp / nullif(x.tp + fn, 0), 6) AS recall, round((x.tp + fp) / t.N, 6) AS alert_rate, n_days, round(m, 6) AS alerts_per_day_mean, round(md, 6) AS alerts_per_day_median, lo AS alerts_per_day_min, hi AS alerts_per_day_max,
+  campaigns, campaigns_caught, {", ".join(f"round((SELECT sum(h{n}) FROM dd) / t.P, 6) AS recall_at_{n}_per_day" for n in SIZES)}, (SELECT round(sum(c.p / t.P * c.tp / c.k), 6) FROM c) AS pr_auc, round(t.P / t.N, 6) AS random_pr_auc FROM t, x, al, cp""",
+    with_auth=False,
+)
+def r_evaluate(spark, d):
+    s = scores(spark, d)
+    aligned = s.select("doc_id", "day", "score", F.col("y").alias("is_anomaly"), (F.col("doc_id") % 13 == 0).alias("eval_exclude"), F.col("source").alias("campaign_id"))
+    return runner.evaluate(aligned, "score", 5000, ["doc_id"], SIZES)
+
+
+GROUPED = ["zscore_global", "rule_ecdf", "random"]
+
+
+def _segments(spark, d):
+    o = orders(spark, d).withColumn("half", (F.col("o_orderkey") % 2).cast("int"))
+    return runner.run_segments(o, F.col("train"), ["price", "cust"], ["o_orderkey"], GROUPED, "half", [0, 1])
+
+
+def ecdf_part(c: str) -> str:
+    return f"SELECT half, {c}, (sum(count_if(train)) OVER w - count_if(train)) / sum(count_if(train)) OVER (PARTITION BY half) AS e FROM h WHERE {c} IS NOT NULL GROUP BY half, {c} WINDOW w AS (PARTITION BY half ORDER BY {c})"
+
+
+SEGMENT_SQL = f"""{O_SQL}, h AS (SELECT *, CAST(o_orderkey % 2 AS INT) AS half FROM o), l AS (SELECT o_orderkey, half, train, 'price' AS f, price AS v FROM h UNION ALL SELECT o_orderkey, half, train, 'cust', cust FROM h),
+m AS (SELECT half, f, median(v) AS m FROM l WHERE train AND v IS NOT NULL GROUP BY half, f), sc AS (SELECT half, f, any_value(m) AS m, 1.4826 * median(abs(v - m)) AS s FROM l JOIN m USING (half, f) WHERE train AND v IS NOT NULL GROUP BY half, f),
+z AS (SELECT half, 'zscore_global' AS method, o_orderkey, train, max(coalesce(abs(v - m) / s, 0)) AS score FROM l JOIN sc USING (half, f) GROUP BY half, o_orderkey, train),
+pe AS ({ecdf_part("price")}), ce AS ({ecdf_part("cust")}),
+e AS (SELECT h.half, 'rule_ecdf' AS method, o_orderkey, train, greatest(coalesce(pe.e, 0), coalesce(ce.e, 0)) AS score FROM h LEFT JOIN pe ON pe.half = h.half AND pe.price = h.price LEFT JOIN ce ON ce.half = h.half AND ce.cust = h.cust),
+r AS (SELECT half, 'random' AS method, o_orderkey, train, {uniform_sql("o_orderkey", "42", "0")} AS score FROM h), a AS (SELECT * FROM z UNION ALL SELECT * FROM e UNION ALL SELECT * FROM r),
+t AS (SELECT half AS segment, method, quantile_cont(score, 0.95) AS threshold, count(*) AS n_train FROM a WHERE train GROUP BY half, method)"""
+
+
+@query("r_thresholds", f"WITH {SEGMENT_SQL} SELECT segment, method, round(threshold, 6) AS threshold, n_train FROM t", with_auth=False)
+def r_thresholds(spark, d):
+    return _segments(spark, d)[1]
+
+
+@query("r_segment_scores", f"WITH {SEGMENT_SQL} SELECT half AS segment, method, o_orderkey, train AS is_train, round(score, 6) AS score FROM a", with_auth=False)
+def r_segment_scores(spark, d):
+    return _segments(spark, d)[0]
+
+
+@query("r_contamination", f"WITH {S_SQL}, q AS (SELECT 0.05 AS c, quantile_cont(score, 0.95) AS threshold FROM s WHERE day <= 10 UNION ALL SELECT 0.2, quantile_cont(score, 0.8) FROM s WHERE day <= 10), l AS (SELECT * FROM s WHERE day > 10), {CUM.replace('FROM s ', 'FROM l ').replace('FROM s)', 'FROM l)')}, u AS (SELECT sum(c.p / t.P * tp / k) AS ap, sum(c.p * (t.N - t.P - (k - tp) + (c.n - c.p) / 2)) / any_value(t.P * (t.N - t.P)) AS roc FROM c, t), x AS (SELECT c, any_value(threshold) AS threshold, count_if(score >= threshold AND y = 1) AS tp, count_if(score >= threshold) AS al, sum(y) AS p, count(*) AS n FROM l, q GROUP BY c) SELECT CAST(c AS DOUBLE) AS contamination, round(threshold, 6) AS threshold, round(ap, 6) AS pr_auc, round(roc, 6) AS roc_auc, round(tp / nullif(al, 0), 6) AS precision, round(tp / nullif(p, 0), 6) AS recall, round(al / n, 6) AS alert_rate FROM x, u", with_auth=False)
+def r_contamination(spark, d):
+    return runner.contamination_sweep(scores(spark, d).select("y", "score", (F.col("day") <= 10).alias("is_train")), [0.05, 0.2])
+
+
+RUNS_SQL = f"runs AS (SELECT doc_id % 3 AS config_id, day % 2 AS seed, avg(score) AS pr_auc FROM s GROUP BY ALL)"
+
+
+@query("r_best", f"WITH {S_SQL}, {RUNS_SQL}, m AS (SELECT CAST(config_id AS VARCHAR) AS config_id, avg(pr_auc) AS v FROM runs GROUP BY config_id) SELECT 'long' AS model, config_id, round(v, 4) AS pr_auc_mean FROM m ORDER BY v DESC, config_id LIMIT 1", with_auth=False)
+def r_best(spark, d):
+    s = scores(spark, d).groupBy((F.col("doc_id") % 3).cast("string").alias("config_id"), (F.col("day") % 2).alias("seed")).agg(F.avg("score").alias("pr_auc")).withColumn("model", F.lit("long"))
+    return rounded(runner.best_of(runner.summarised(s, ["pr_auc"])), 4)
+
+
+@query(
+    "r_stability",
+    f"""WITH {S_SQL}, k AS (SELECT doc_id, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS a, rank() OVER (ORDER BY score % 100) + (count(*) OVER (PARTITION BY score % 100) - 1) / 2 AS b, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS c,
+row_number() OVER (ORDER BY score DESC, doc_id) AS ra, row_number() OVER (ORDER BY score % 100 DESC, doc_id) AS rb, row_number() OVER (ORDER BY -score DESC, doc_id) AS rc FROM s),
+p AS (SELECT corr(a, b) AS s, count_if(ra <= 20 AND rb <= 20) / 20 AS o FROM k UNION ALL SELECT corr(a, c), count_if(ra <= 20 AND rc <= 20) / 20 FROM k UNION ALL SELECT corr(b, c), count_if(rb <= 20 AND rc <= 20) / 20 FROM k)
+SELECT 3 AS n_runs, round(avg(s), 6) AS spearman_mean, round(min(s), 6) AS spearman_min, round(avg(o), 6) AS topk_overlap_mean, round(min(o), 6) AS topk_overlap_min FROM p""",
+    with_auth=False,
+)
+def r_stability(spark, d):
+    s = scores(spark, d).select("doc_id", "score")
+    return runner.stability([s, s.withColumn("score", F.col("score") % 100), s.withColumn("score", -F.col("score"))], ["doc_id"], "score", 20)
+
+
+@query("r_random_reference", f"WITH {S_SQL}, x AS (SELECT seed, y, {uniform_sql('doc_id', 'seed', '0')} AS u FROM s, (VALUES (1), (2), (3)) AS v(seed)), c AS (SELECT seed, y, sum(y) OVER w AS tp, count(*) OVER w AS k, sum(y) OVER (PARTITION BY seed) AS p, count(*) OVER (PARTITION BY seed) AS n FROM x WINDOW w AS (PARTITION BY seed ORDER BY u DESC)), a AS (SELECT seed, sum(y / p * tp / k) AS ap, any_value(p / n) AS e FROM c GROUP BY seed) SELECT count(*) AS n_seeds, round(avg(ap), 6) AS pr_auc_mean, round(stddev_samp(ap), 6) AS pr_auc_std, round(max(e), 6) AS expected FROM a", with_auth=False)
+def r_random_reference(spark, d):
+    return runner.random_reference(scores(spark, d), "y", ["doc_id"], [1, 2, 3])
+
+
+@query("r_grid")
+def r_grid(spark, d):
+    """Two forests over two seeds on the embeddings, odd labels being the positives."""
+    v, x = vectors(spark, d)
+    v = v.withColumn("y", F.col("segment").cast("int"))
+    runs = runner.run_grid(v, F.col("train"), x, ["vec_id"], "y", [{"id": "small", "model": "iforest", "trees": 10}, {"id": "large", "model": "iforest", "trees": 30}], [1, 2])
+    return runner.summarised(runs)
+
+
+@query("v_top_fraction", f"WITH {S_SQL} SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM s) WHERE r <= ceil(0.03 * n)", with_auth=False)
+def v_top_fraction(spark, d):
+    return reporting.top_fraction(scores(spark, d), "score", ["doc_id"], 0.03).select("doc_id")
+
+
+@query("b_registry_z", f"WITH {O_SQL}, t AS (SELECT * FROM o WHERE train), m AS (SELECT median(price) AS pm, median(cust) AS cm FROM t), d AS (SELECT 1.4826 * median(abs(price - pm)) AS ps, 1.4826 * median(abs(cust - cm)) AS cs FROM t, m) SELECT o_orderkey, round(greatest(abs(price - pm) / ps, coalesce(abs(cust - cm) / cs, 0)), 6) AS z_score FROM o, m, d", with_auth=False)
+def b_registry_z(spark, d):
+    return baselines.registry_z(orders(spark, d), F.col("train"), ["price", "cust"]).select("o_orderkey", "z_score")
+
+
+@query("b_external_rules", f"WITH {O_SQL}, p AS (SELECT price, (sum(count_if(train)) OVER (ORDER BY price) - count_if(train)) / sum(count_if(train)) OVER () AS e FROM o GROUP BY price) SELECT o_orderkey, round(greatest(p.e, CAST(coalesce(cust >= 900, FALSE) AS INT)), 6) AS ecdf_score FROM o JOIN p USING (price)", with_auth=False)
+def b_external_rules(spark, d):
+    return baselines.ecdf_rules(orders(spark, d), F.col("train"), ["price", "cust"], {"cust": 900}).select("o_orderkey", "ecdf_score")
+
+
+@query(
+    "n_scenario_auc",
+    f"""WITH {S_SQL}, r AS (SELECT score AS x, CASE WHEN y = 1 THEN source END AS sc FROM s), pairs AS (SELECT a.sc, avg(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0.0 END) AS auc FROM r a, r b WHERE a.sc IS NOT NULL AND b.sc IS NULL GROUP BY a.sc)
+SELECT 'up' AS direction, sc AS scenario, round(auc, 6) AS auc, auc >= 0.7 AS passes FROM pairs UNION ALL SELECT 'down', sc, round(1 - auc, 6), 1 - auc >= 0.7 FROM pairs UNION ALL SELECT 'both', sc, round(greatest(auc, 1 - auc), 6), greatest(auc, 1 - auc) >= 0.7 FROM pairs""",
+    with_auth=False,
+)
+def n_scenario_auc(spark, d):
+    rows = scores(spark, d).withColumn("scenario", F.when(F.col("y") == 1, F.col("source")))
+    return statistics.scenario_auc(rows.select("scenario", *[F.col("score").alias(x) for x in ("up", "down", "both")]), {"up": "up", "down": "down", "both": "both"}, "scenario").withColumnRenamed("feature", "direction")
+
+
+@query(
+    "d_human_machine",
+    f""", a AS (SELECT {K}, {ETYPE} AS e, CAST(count(*) AS DOUBLE) AS total_logons, count_if({OFF}) / count(*) AS off_hours_ratio FROM auth GROUP BY {K}, e), l AS (SELECT 'total_logons' AS feature, 'wider' AS expected, e, total_logons AS v FROM a UNION ALL SELECT 'off_hours_ratio', 'higher', e, off_hours_ratio FROM a),
+q AS (SELECT feature, expected, median(v) FILTER (e = 'Machine') AS m1, avg(v) FILTER (e = 'Machine') AS a1, quantile_cont(v, 0.75) FILTER (e = 'Machine') - quantile_cont(v, 0.25) FILTER (e = 'Machine') AS i1, median(v) FILTER (e = 'User') AS m2, avg(v) FILTER (e = 'User') AS a2, quantile_cont(v, 0.75) FILTER (e = 'User') - quantile_cont(v, 0.25) FILTER (e = 'User') AS i2 FROM l GROUP BY feature, expected)
+SELECT feature, expected, round(m1, 6) AS median_one, round(a1, 6) AS mean_one, round(i1, 6) AS iqr_one, round(m2, 6) AS median_other, round(a2, 6) AS mean_other, round(i2, 6) AS iqr_other, CASE WHEN expected = 'wider' THEN i1 > i2 WHEN m1 <> m2 THEN m1 > m2 ELSE a1 > a2 END AS holds FROM q""",
+)
+def d_human_machine(spark, d):
+    m = intraday.account_days(auth(spark, d)).select("entity_type", F.col("total_logons").cast("double").alias("total_logons"), "off_hours_ratio")
+    return statistics.by_kind(m, "entity_type", "Machine", "User", {"total_logons": "wider", "off_hours_ratio": "higher"})
+
+
+@query("i_presence", "SELECT DISTINCT lower(DomainName) AS DomainName, UserName, day FROM auth WHERE day IN (22, 24)")
+def i_presence(spark, d):
+    return injection.presence(auth(spark, d), [22, 24])
+
+
+@query("i_replayed", """, f AS (SELECT DomainName, UserName, min("Time") AS t0 FROM auth WHERE day = 22 GROUP BY ALL), r AS (SELECT event_id, t0 + 7200 AS s, "Time" - t0 AS gap FROM auth JOIN f USING (DomainName, UserName) WHERE day = 22) SELECT event_id, least(s + CAST(floor(gap * 0.5) AS BIGINT), (s // 86400 + 1) * 86400 - 1) AS "Time" FROM r""")
+def i_replayed(spark, d):
+    return injection.replayed(auth(spark, d).filter("day = 22"), F.lit(7200), 0.5).select("event_id", "Time")
+
+
+@query("p_population", "SELECT count(*) AS n FROM auth WHERE UserName NOT LIKE '%$'")
+def p_population(spark, d):
+    return auth(spark, d).filter(P.population(F.col("UserName"), drop_machine=True, drop_system=True)).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -274,3 +274,140 @@ def test_unseen_sources_finds_the_last_one(spark):
     rows = [("UserA", 1, i, 4624, f"s{i:02d}", "h", 3) for i in range(40) if i != 17] + [("UserB", 1, i, 4624, f"s{i:02d}", "h", 3) for i in range(40)]
     got = {r["UserName"]: r["Source"] for r in injection.unseen_sources(log(spark, rows + [("UserC", 1, 5, 4624, None, "h", 3)]), 0.0, 1.0).collect()}
     assert got["UserA"] == "s17" and "UserB" not in got and got["UserC"].startswith("s")
+
+
+def labelled(spark, n=180, seed=3):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    rows = [(i, int(r.integers(1, 6)), float(r.integers(0, 40)), int(r.random() < 0.15)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id int, day int, s double, y int")
+
+
+def test_labelled_metrics_by_brute_force(spark):
+    from sentrylake.operators import runner
+
+    rows, df = labelled(spark)
+    got = runner.labelled_metrics(df, "s", "y", ["id"], (5, 50, 500), 0.1, (2, 9)).first()
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    positives = sum(r[3] for r in rows)
+    assert got["n_positive"] == positives and got["positive_rate_pct"] == pytest.approx(100 * positives / 180)
+    assert got["precision_at_5"] == pytest.approx(sum(r[3] for r in order[:5]) / 5) and got["precision_at_500"] is None
+    assert got["recall_at_budget"] == pytest.approx(sum(r[3] for r in order[:18]) / positives)
+    days = {d: [r for r in order if r[1] == d] for d in range(1, 6)}
+    for n in (2, 9):
+        assert got[f"recall_at_{n}_per_day"] == pytest.approx(sum(r[3] for v in days.values() for r in v[:n]) / positives)
+    assert got["precision_at_5_per_day"] == pytest.approx(sum(sum(r[3] for r in v[:5]) / 5 for v in days.values()) / 5)
+    better = sum((a[2] > b[2]) + (a[2] == b[2]) / 2 for a in rows for b in rows if a[3] and not b[3])
+    assert got["roc_auc"] == pytest.approx(better / positives / (180 - positives))
+    none = runner.labelled_metrics(df.withColumn("y", F.lit(0)), "s", "y", ["id"], (5,), 0.1, (2,)).first()
+    assert none["n_positive"] == 0 and all(none[c] is None for c in none.asDict() if c not in ("n_positive", "positive_rate_pct"))
+    undated = runner.labelled_metrics(df, "s", "y", ["id"], (5,), 0.1, (2,), daily=False).first()
+    assert undated["recall_at_2_per_day"] is None and undated["pr_auc"] == pytest.approx(got["pr_auc"])
+
+
+def test_evaluate_leaves_out_excluded_rows_first(spark):
+    from sentrylake.operators import runner
+
+    rows, df = labelled(spark)
+    aligned = df.select("id", "day", F.col("s").alias("score"), F.col("y").alias("is_anomaly"), (F.col("id") % 4 == 0).alias("eval_exclude"), F.when(F.col("y") == 1, (F.col("id") % 7).cast("string")).alias("campaign_id"))
+    got = runner.evaluate(aligned, "score", 30.0, ["id"], [3]).first()
+    kept = [r for r in rows if r[0] % 4]
+    hits = [r for r in kept if r[2] > 30]
+    assert (got["n_rows"], got["n_excluded"], got["n_eval"]) == (180, 45, 135)
+    assert (got["tp"], got["fp"]) == (sum(r[3] for r in hits), sum(1 - r[3] for r in hits))
+    assert got["campaigns"] == len({r[0] % 7 for r in kept if r[3]}) and got["campaigns_caught"] == len({r[0] % 7 for r in hits if r[3]})
+    assert got["alerts_per_day_max"] == max(sum(r[1] == d for r in hits) for d in range(1, 6))
+    assert got["random_pr_auc"] == pytest.approx(sum(r[3] for r in kept) / 135)
+
+
+def test_guards_and_days(spark):
+    from sentrylake.operators import runner
+
+    _, df = labelled(spark)
+    runner.check_scores(df, "s", "y")
+    for bad in (df.limit(0), df.withColumn("s", F.lit(float("nan"))), df.withColumn("y", F.lit(2)), df.withColumn("y", F.lit(0))):
+        with pytest.raises(ValueError):
+            runner.check_scores(bad, "s", "y")
+    assert runner.restrict_days(df, 1, [3, 2]).select("day").distinct().count() == 2
+    for days in ([], [1, 2], [2, 77]):
+        with pytest.raises(ValueError):
+            runner.restrict_days(df, 1, days)
+
+
+def test_percentile_and_threshold_against_numpy(spark):
+    import numpy as np
+
+    from sentrylake.operators import runner
+
+    rows, df = labelled(spark)
+    reference = np.sort([r[2] for r in rows if r[3]])
+    got = {r["id"]: r["p"] for r in runner.percentile_among(df, "s", df.filter("y = 1"), "s", "p").collect()}
+    for i, _, s, _ in rows:
+        assert got[i] == pytest.approx(np.clip((np.searchsorted(reference, s, "right") - 1) / (len(reference) - 1), 0, 1))
+    single = runner.percentile_among(df, "s", df.limit(1), "s", "p")
+    assert single.select("p").distinct().collect()[0][0] == 1.0
+    cut = runner.fitted_threshold(df, "s", 0.1)
+    assert cut == pytest.approx(np.quantile([r[2] for r in rows], 0.9)) and runner.predicted(df, "s", cut).filter("alert").count() == sum(r[2] >= cut for r in rows)
+
+
+def test_segments_and_grid_end_to_end(spark):
+    import numpy as np
+
+    from sentrylake.operators import runner
+
+    r = np.random.default_rng(9)
+    rows = [("d", f"User{i % 30}", 1 + i // 30, "A" if i % 3 else "B", *map(float, r.normal(size=2) + (8 if i in (200, 231) else 0)), int(i in (200, 231))) for i in range(240)]
+    df = spark.createDataFrame([*rows, ("d", "x", 9, "C", 0.0, 0.0, 0)], "DomainName string, UserName string, day int, kind string, a double, b double, y int")
+    keys, train = ["DomainName", "UserName", "day"], F.col("day") <= 5
+    with pytest.warns(UserWarning, match="C"):
+        scores, cuts = runner.run_segments(df, train, ["a", "b"], keys, ["zscore_global", "zscore_account", "rule_ecdf", "random", "iforest"], "kind", ["A", "B"])
+    assert scores.count() == 5 * 240 and cuts.count() == 10 and {r_["n_train"] for r_ in cuts.collect()} == {100, 50}
+    labels = df.filter("y = 1").select(*keys, F.lit(1).alias("is_anomaly"), F.lit(False).alias("eval_exclude"), F.lit("c").alias("campaign_id"))
+    table = {(x["segment"], x["method"]): x for x in runner.evaluate_segments(scores, cuts, labels, keys, [3]).collect()}
+    for s, m in table:
+        x = table[s, m]
+        assert x["n_eval"] == (60 if s == "A" else 30)
+    found = {s for s in "AB" if any(rows[i][3] == s for i in (200, 231))}
+    assert all(table[s, m]["pr_auc"] == pytest.approx(1.0) for s in found for m in ("zscore_global", "iforest"))
+    with pytest.raises(ValueError):
+        runner.run_segments(df, train, ["a"], keys, ["nothing"], "kind", ["A"])
+    grid = [{"id": "few", "model": "isolation_forest", "trees": 5}, {"id": "many", "model": "isolation_forest", "trees": 40}]
+    runs = runner.run_grid(df.filter("kind <> 'C'"), train, ["a", "b"], keys, "y", grid, [1, 2])
+    summary = {x["config_id"]: x for x in runner.summarised(runs).collect()}
+    assert runs.count() == 4 and summary["many"]["pr_auc_n"] == 2 and summary["many"]["pr_auc_mean"] > 0.9
+    assert runner.best_of(runner.summarised(runs)).first()["config_id"] in ("few", "many")
+    with pytest.raises(ValueError):
+        runner.run_grid(df, train, ["a"], keys, "y", grid + grid[:1], [1])
+
+
+def test_best_of_a_tie_is_the_first_id(spark):
+    from sentrylake.operators import runner
+
+    summary = spark.createDataFrame([("m", "b", 0.5), ("m", "a", 0.5), ("m", "c", None), ("n", "z", None)], "model string, config_id string, pr_auc_mean double")
+    assert {r["model"]: r["config_id"] for r in runner.best_of(summary).collect()} == {"m": "a", "n": "z"}
+
+
+def test_blocks_presence_and_exclusions(spark):
+    conf = {"common": {"split_day": 5, "template": {"n": 3, "m": 1}}, "blocks": {"dev": {"days": [7, 6], "seed": 4, "common": {"template": {"n": 9}}, "scenarios": {"x": {}, "y": {"enabled": False}}}, "late": {"days": [4], "seed": 1, "scenarios": {}}}}
+    got = injection.resolve_block(conf, "dev", 1)
+    assert (got["days"], got["seed"], got["run_id"], got["split_day"], list(got["scenarios"]), got["common"]["template"]) == ([6, 7], 4, "dev_seed4", 5, ["x"], {"n": 9, "m": 1})
+    assert injection.resolve_block(conf, "dev", 1, seed=8)["run_id"] == "dev_seed8"
+    with pytest.raises(ValueError):
+        injection.resolve_block(conf, "late", 1)
+    with pytest.raises(KeyError):
+        injection.resolve_block(conf, "none", 1)
+    events = log(spark, [("UserA", 6, 5, 4624, "s", "h", 3), ("UserA", 7, 5, 4624, "s", "h", 3), ("null", 6, 5, 4624, "s", "h", 3), ("UserB", 6, 9, 4624, "s", "h", 3)])
+    assert {(r["UserName"], r["day"]) for r in injection.presence(events, [6, 7]).collect()} == {("UserA", 6), ("UserA", 7), ("UserB", 6)}
+    with pytest.raises(ValueError):
+        injection.presence(events, [6, 8])
+    scores = spark.createDataFrame([("A", "m", "dom1", "UserA", 6, False, 2.0), ("A", "m", "dom1", "UserB", 6, False, 0.5), ("A", "m", "dom1", "UserA", 5, True, 9.0)], "segment string, method string, DomainName string, UserName string, day int, is_train boolean, score double")
+    out = injection.flagged(scores, spark.createDataFrame([("A", "m", 1.0)], "segment string, method string, threshold double"), "A", "m")
+    assert [tuple(r) for r in out.collect()] == [("dom1", "UserA", 6)]
+    assert {(r["UserName"], r["day"]) for r in injection.eligible(events, [6, 7], out).collect()} == {("UserA", 7), ("UserB", 6)}
+
+
+def test_replay_keeps_gaps_and_the_day(spark):
+    e = log(spark, [("UserA", 1, t, 4624, "s", "h", 3) for t in (100, 700, 80_000)])
+    got = [sorted(r["Time"] for r in injection.replayed(e, F.lit(s), c).collect()) for s, c in ((50, 1.0), (50, 0.5), (10_000, 1.0))]
+    assert got == [[150, 750, 80_050], [150, 450, 40_100], [10_100, 10_700, 86_399]]
