@@ -126,3 +126,24 @@ def rule_statistics(events: DataFrame) -> DataFrame:
     out = days.join(spray, keys, "left").join(sources, keys, "left").join(types, keys, "left")
     later = lambda c: F.when(F.col("day") > F.col("first"), F.coalesce(c, F.lit(0)))
     return out.select(*keys, F.coalesce("r2", F.lit(0)).alias("r2_spray_accounts"), later("Source").alias("r4_new_sources"), later("LogonType").alias("r6_new_logontype_events"))
+
+
+def known_values(events: DataFrame, column: str) -> DataFrame:
+    """DomainName, UserName, known (sorted array): every usable value that an account has; values of an account are few."""
+    usable = events.filter(P.profile_source(F.col(column))).select(*ACCOUNT, F.col(column).alias("v")).distinct()
+    return usable.groupBy(*ACCOUNT).agg(F.array_sort(F.collect_list("v")).alias("known"))
+
+
+def save_profiles(tables: dict[str, DataFrame], path: str) -> None:
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_profiles(spark, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The named tables; one that is absent is an error when it is read here, not later."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def account(tables: dict[str, DataFrame], domain: str, user: str) -> dict[str, DataFrame]:
+    """Every table's rows of one account."""
+    return {name: t.filter((F.col("DomainName") == domain) & (F.col("UserName") == user)) for name, t in tables.items()}

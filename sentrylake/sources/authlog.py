@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +105,72 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
 
 
+def footer_facts(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """file, rows, row_groups, columns, schema_ok of every parquet file below ``path``, from its footer alone; an unreadable one has ``error``.
+
+    Files are listed by Spark and their footers read by the tasks, a few kilobytes from the end of each.
+    """
+    wanted = [f.name for f in schema] if schema else None
+
+    def facts(batches):
+        import pyarrow as pa
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            out = []
+            for file in batch.column("path").to_pylist():
+                try:
+                    system, place = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if re.match("file:/[^/]", file) else file)
+                    with system.open_input_file(place) as f:
+                        m = pq.ParquetFile(f)
+                        out.append((file, m.metadata.num_rows, m.metadata.num_row_groups, m.metadata.num_columns, None if wanted is None else m.schema_arrow.names == wanted, None))
+                except Exception as e:  # one broken file must not hide the others
+                    out.append((file, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+            columns = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["file", "rows", "row_groups", "columns", "schema_ok", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.mapInArrow(facts, "file string, rows long, row_groups long, columns long, schema_ok boolean, error string")
+
+
+def convert_files(spark: SparkSession, paths: list[str], target: str, max_files: int | None = None) -> DataFrame:
+    """Raw files to typed ones, each committed by itself: file, rows, error. A file that fails is reported and the others go on."""
+    done = []
+    for path in sorted(paths)[:max_files]:  # max_files is the caller's wish, for a trial
+        try:
+            write_events(read_json_lines(spark, path).withColumn("file", F.lit(path.rsplit("/", 1)[-1])), target, ("EventID", "day", "file"), "append")
+            done.append((path, read_json_lines(spark, path).count(), None))
+        except Exception as e:
+            done.append((path, None, f"{type(e).__name__}: {e}"[:500]))
+    return spark.createDataFrame(done, "file string, rows long, error string")
+
+
+def split_by_event(spark: SparkSession, paths: list[str], target: str) -> None:
+    """Mixed files to one folder per event id and day. EventID may be text or a number; all files must have one schema otherwise."""
+    first = None
+    for path in paths:
+        fields = [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(path).schema if f.name != "EventID"]
+        if first is None:
+            first = fields
+        if fields != first:
+            raise ValueError(f"{path} has another schema: {sorted(set(fields) ^ set(first))}")
+    for path in paths:
+        mixed = spark.read.parquet(path).withColumn("EventID", F.expr("try_cast(EventID AS INT)"))
+        write_events(mixed.filter(F.col("EventID").isin(4624, 4625)), target, mode="append")
+
+
+def resolved_day(base: DataFrame, overlaid: DataFrame | None, day: int) -> DataFrame:
+    """One day's events from the overlay if it has that day, else from the base; an error if either event id lacks rows there."""
+    own = None if overlaid is None else overlaid.filter(F.col("day") == day)
+    rows = own if own is not None and own.limit(1).count() else base.filter(F.col("day") == day)
+    there = {r[0] for r in rows.select("EventID").distinct().collect()}  # two event ids
+    if there != {4624, 4625}:
+        raise ValueError(f"day {day} has event ids {sorted(there)}, both are needed")
+    return rows
+
+
 def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
 

@@ -411,3 +411,58 @@ def test_replay_keeps_gaps_and_the_day(spark):
     e = log(spark, [("UserA", 1, t, 4624, "s", "h", 3) for t in (100, 700, 80_000)])
     got = [sorted(r["Time"] for r in injection.replayed(e, F.lit(s), c).collect()) for s, c in ((50, 1.0), (50, 0.5), (10_000, 1.0))]
     assert got == [[150, 750, 80_050], [150, 450, 40_100], [10_100, 10_700, 86_399]]
+
+
+def test_footers_conversion_and_splitting(spark, tmp_path):
+    import bz2
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for day in (1, 2):
+        (raw / f"wls_day-0{day}.bz2").write_bytes(bz2.compress(b'{"Time": 5, "EventID": 4624, "UserName": "U"}\n{"Time": 6, "EventID": 4625, "UserName": "U"}\n'))
+    paths = [str(raw / f"wls_day-0{d}.bz2") for d in (1, 2)] + [str(raw / "wls_day-09.bz2")]
+    got = {r["file"][-6:-4]: (r["rows"], r["error"] is None) for r in authlog.convert_files(spark, paths, str(tmp_path / "typed")).collect()}
+    assert got == {"01": (2, True), "02": (2, True), "09": (None, False)}
+    assert authlog.convert_files(spark, paths, str(tmp_path / "one"), max_files=1).count() == 1
+    (tmp_path / "typed" / "broken.parquet").write_bytes(b"no parquet")
+    facts = authlog.footer_facts(spark, str(tmp_path / "typed")).collect()
+    assert sum(r["rows"] or 0 for r in facts) == 4 and sum(r["error"] is not None for r in facts) == 1 and all(r["row_groups"] == 1 for r in facts if r["rows"])
+    mixed = spark.createDataFrame([("4624", 1, 5), ("4625", 1, 6), ("x", 1, 7)], "EventID string, day int, Time long")
+    mixed.write.parquet(str(tmp_path / "a"))
+    mixed.withColumn("EventID", F.expr("try_cast(EventID AS INT)")).withColumn("day", F.lit(2)).write.parquet(str(tmp_path / "b"))
+    mixed.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "c"))
+    authlog.split_by_event(spark, [str(tmp_path / "a"), str(tmp_path / "b")], str(tmp_path / "split"))
+    back = spark.read.parquet(str(tmp_path / "split"))
+    assert sorted((r["EventID"], r["day"]) for r in back.collect()) == [(4624, 1), (4624, 2), (4625, 1), (4625, 2)]
+    with pytest.raises(ValueError):
+        authlog.split_by_event(spark, [str(tmp_path / "a"), str(tmp_path / "c")], str(tmp_path / "none"))
+    assert authlog.resolved_day(back, back.filter("day = 2"), 2).count() == 2 and authlog.resolved_day(back, None, 1).count() == 2
+    with pytest.raises(ValueError):
+        authlog.resolved_day(back, back.filter("day = 2 and EventID = 4624"), 2)
+
+
+def test_profiles_are_saved_and_looked_up(spark, tmp_path):
+    e = log(spark, [("UserA", 1, 1, 4624, "s2", "h", 3), ("UserA", 2, 1, 4624, "s1", "h", 3), ("UserB", 1, 1, 4624, "Unknown", "h", 3)])
+    profiles.save_profiles({"sources": profiles.known_values(e, "Source"), "types": profiles.logon_type_shares(e)}, str(tmp_path / "p"))
+    tables = profiles.load_profiles(spark, str(tmp_path / "p"), ["sources", "types"])
+    mine = profiles.account(tables, "dom1", "UserA")
+    assert mine["sources"].first()["known"] == ["s1", "s2"] and mine["types"].first()["n"] == 2
+    assert profiles.account(tables, "dom1", "UserB")["sources"].count() == 0
+    with pytest.raises(Exception):
+        profiles.load_profiles(spark, str(tmp_path / "p"), ["absent"])
+
+
+def test_streaming_sessions_and_batches(spark, tmp_path):
+    from sentrylake.streaming import live
+
+    e = live.with_event_time(log(spark, [("UserA", 1, t, 4625, "s", "h", 3) for t in (0, 600, 9000)] + [("UserA", 1, 300, 4624, "s", "h", 3)]))
+    e.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    q = live.failure_sessions(stream).writeStream.outputMode("complete").format("memory").queryName("runs").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["failures"] for r in spark.sql("select * from runs").collect()) == [1, 2]
+    q = live.score_by_batch(stream, lambda batch: batch.groupBy("UserName").count(), str(tmp_path / "out"), str(tmp_path / "check")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).first()["count"] == 4
