@@ -14,6 +14,7 @@ from sentrylake.storage import Scratch, work_dir  # noqa: F401  for the operator
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+
 def tasks_for(spark: SparkSession, total_bytes: int, per_task: int = 24 << 20) -> int:
     """A number of partitions that follows the input, at least the session's own."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // per_task))
